@@ -95,14 +95,23 @@ def name_clusters(clustered: DataFrame) -> DataFrame:
     return clustered.join(F.broadcast(cluster_names(cluster_means(clustered))), "Cluster", "left")
 
 
+def _spread(vectors: DataFrame) -> float:
+    """Inertia of a single cluster: squared distances to the overall mean."""
+    parts = vector_to_array("features")
+    about_mean = sum(F.var_pop(parts[i]) * F.count(F.lit(1)) for i in range(len(_SCALED)))
+    return float(vectors.agg(about_mean).first()[0])
+
+
 def elbow(rfm: DataFrame, ks: range = range(1, 11), seed: int = SEED) -> DataFrame:
     """Inertia and silhouette for each k, on metrics that are not capped."""
     vectors = features(rfm, clip=False).cache()
     points = []
     for k in ks:
+        if k == 1:
+            points.append((1, _spread(vectors), None))
+            continue
         model = _kmeans(vectors, k, seed)
-        score = silhouette(model.transform(vectors)) if k > 1 else None
-        points.append((k, float(model.summary.trainingCost), score))
+        points.append((k, float(model.summary.trainingCost), silhouette(model.transform(vectors))))
     vectors.unpersist()
     return rfm.sparkSession.createDataFrame(points, "k int, inertia double, silhouette double")
 

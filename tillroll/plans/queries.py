@@ -266,8 +266,8 @@ def _retention(tx: DataFrame) -> DataFrame:
     return cohorts.retention(cohorts.cohort_counts(tx))
 
 
-def _cohort_pivot(tx: DataFrame, value: str) -> DataFrame:
-    long = stage(_retention(tx), "cohort-retention")
+def _cohort_pivot(tx: DataFrame, value: str, kind: str) -> DataFrame:
+    long = stage(_retention(tx), "cohort-retention").withColumn(value, F.col(value).cast(kind))
     periods = [r[0] for r in long.select("CohortPeriod").distinct().orderBy("CohortPeriod").collect()]
     return cohorts.cohort_matrix(long, value, periods)
 
@@ -277,7 +277,7 @@ _on_transactions("cohort_period", lambda tx: cohorts.with_cohort_period(cohorts.
 _on_transactions("cohort_period_calendar", lambda tx: cohorts.with_cohort_period(
     cohorts.customer_months(tx), calendar=True))
 _on_transactions("cohort_counts", cohorts.cohort_counts)
-_on_transactions("cohort_matrix", lambda tx: _cohort_pivot(tx, "customers"))
+_on_transactions("cohort_matrix", lambda tx: _cohort_pivot(tx, "customers", "double"))
 _on_transactions("cohort_sizes", lambda tx: cohorts.cohort_sizes(cohorts.cohort_counts(tx)))
 _on_transactions("cohort_retention", lambda tx: rounded(_retention(tx), 6, "retention_pct"))
 _on_transactions("cohort_first_periods", lambda tx: rounded(
