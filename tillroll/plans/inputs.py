@@ -72,3 +72,9 @@ def plain(df: DataFrame) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(f"`{n}`").cast("double"), digits) for n in names})
+
+
+def rounded_half_up(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    """For values that often end in an exact half: rounded as decimals."""
+    return df.withColumns({
+        n: F.round(F.col(f"`{n}`").cast("decimal(38,6)"), digits).cast("double") for n in names})

@@ -10,7 +10,7 @@ from tillroll.operators import (
     churn, cleaning, clusters, clv, cohorts, forecast, profiling, recommend, revenue, rfm, transitions,
 )
 from tillroll.plans import inputs
-from tillroll.plans.inputs import plain, rounded
+from tillroll.plans.inputs import plain, rounded, rounded_half_up
 from tillroll.plans.reports import REPORTS, run_report
 from tillroll.sources import files, views
 from tillroll.sources.staging import stage, staging_path
@@ -156,8 +156,8 @@ _register("profile_cleaning_report", _cleaning_report)
 _on_transactions("profile_dataset_summary", profiling.dataset_summary)
 _on_customers("profile_describe_rfm", profiling.describe_rfm, staged=True)
 _on_customers("profile_rfm_histograms",
-              lambda c: rounded(profiling.rfm_histograms(c), 4, "bin_from", "bin_to"), staged=True)
-_on_customers("profile_churn_risk_histograms", lambda c: rounded(
+              lambda c: rounded_half_up(profiling.rfm_histograms(c), 4, "bin_from", "bin_to"), staged=True)
+_on_customers("profile_churn_risk_histograms", lambda c: rounded_half_up(
     profiling.churn_risk_histograms(stage(clusters.churn_risk(c), "customer-risk")), 6, "bin_from", "bin_to"),
     staged=True)
 _on_both("profile_coverage_check", profiling.coverage_check)
