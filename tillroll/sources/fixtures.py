@@ -12,8 +12,19 @@ from tillroll.operators.cleaning import clean_transactions
 from tillroll.schemas import MONEY, UNIT_PRICE
 
 
+# Columns used of each source table. Declared, so opening a table starts no job.
+_COLUMNS = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ",
+    "customer": "c_custkey BIGINT, c_nationkey INT",
+    "part": "p_partkey BIGINT, p_name STRING",
+    "nation": "n_nationkey INT, n_name STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(_COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _every(key: Column, n: int, rest: int = 0) -> Column:
@@ -22,18 +33,16 @@ def _every(key: Column, n: int, rest: int = 0) -> Column:
 
 def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
     buyers = (
-        _table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        .join(_table(spark, folder, "customer").select("c_custkey", "c_nationkey"),
-              F.col("o_custkey") == F.col("c_custkey"))
-        .join(_table(spark, folder, "nation").select("n_nationkey", "n_name"),
-              F.col("c_nationkey") == F.col("n_nationkey"))
+        _table(spark, folder, "orders")
+        .join(_table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(_table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     )
     lines = (
         _table(spark, folder, "lineitem")
-        .select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
+        # The lines are the largest input; never let a size estimate broadcast them.
+        .hint("merge")
         .join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(_table(spark, folder, "part").select("p_partkey", "p_name"),
-              F.col("l_partkey") == F.col("p_partkey"))
+        .join(_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     )
     order, part = F.col("l_orderkey"), F.col("l_partkey")
     line = order + F.col("l_linenumber")
