@@ -34,12 +34,12 @@ def test_elbow_and_silhouette(three_groups):
 
 def test_scaled_metrics_and_projection(three_groups):
     rows, customers = three_groups
-    scaled = clusters.standardise(customers).orderBy("CustomerID").collect()
+    scaled = clusters.standardise(customers, clip=False).orderBy("CustomerID").collect()
     data = np.array([[r[1], r[2], float(round(r[3], 2))] for r in rows])
     expected = (data - data.mean(axis=0)) / data.std(axis=0)
     found = np.array([[r["recency_scaled"], r["frequency_scaled"], r["monetary_scaled"]] for r in scaled])
     assert found == pytest.approx(expected, abs=1e-4)
-    projected = clusters.pca_projection(clusters.features(customers, clip=False)).orderBy("CustomerID").collect()
+    projected = clusters.pca_projection(clusters.with_features(customers, clip=False)).orderBy("CustomerID").collect()
     _, spread, axes = np.linalg.svd(found, full_matrices=False)
     assert abs(np.array([r["pc1"] for r in projected])) == pytest.approx(abs(found @ axes[0]), abs=1e-6)
     assert projected[0]["explained_pc1"] == pytest.approx(spread[0] ** 2 / (spread ** 2).sum())

@@ -15,7 +15,7 @@ def plan(df):
 @pytest.fixture(scope="module")
 def tables(spark, folder):
     tx = inputs.staged_transactions(spark, folder)
-    return tx, inputs.staged_customers(tx)
+    return tx, inputs.customers(tx)
 
 
 def test_filters_and_columns_reach_the_scan(spark, folder):

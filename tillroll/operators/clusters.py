@@ -8,41 +8,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillroll.operators.profiling import RFM_METRICS, clipped_at_percentile
+from tillroll.operators.profiling import RFM_METRICS, capped, percentile_caps
 from tillroll.sources.staging import stage
 
 # Cluster names, metrics capped before clustering, random seed.
 HIGH_VALUE, CHURNED, ACTIVE_REGULAR = "High Value", "Churned", "Active Regular"
 CAPPED_METRICS = ["frequency", "monetary"]
 SEED = 42
-_SCALED = [f"{m}_scaled" for m in RFM_METRICS]
+SCALED = [f"{m}_scaled" for m in RFM_METRICS]
 
 
 def clip_outliers(rfm: DataFrame) -> DataFrame:
-    """Frequency and monetary capped at their exact 99th percentile."""
-    return clipped_at_percentile(rfm, CAPPED_METRICS, 99)
+    """Frequency and monetary cut off at their exact 99th percentile."""
+    caps = percentile_caps(rfm, CAPPED_METRICS)
+    return rfm.withColumns({m: capped(m, caps) for m in CAPPED_METRICS})
 
 
-def standardise(customers: DataFrame) -> DataFrame:
-    """Adds (x - mean) / population deviation of each metric; 0 where all are equal."""
-    moments = customers.agg(*[
-        f(F.col(m).cast("double")).alias(f"{m}_{n}")
-        for m in RFM_METRICS for n, f in (("mean", F.avg), ("std", F.stddev_pop))
+def standardise(rfm: DataFrame, clip: bool) -> DataFrame:
+    """Adds (x - mean) / population deviation of each metric, 0 where all are equal;
+    `clip` cuts off outliers first. The metrics themselves are left as they are."""
+    caps = percentile_caps(rfm, CAPPED_METRICS) if clip else {}
+    moments = rfm.agg(*[
+        f(capped(m, caps)).alias(f"{m}_{n}") for m in RFM_METRICS for n, f in (("mean", F.avg), ("std", F.stddev_pop))
     ]).first()
 
     def scaled(metric: str):
-        centred = F.col(metric).cast("double") - F.lit(moments[f"{metric}_mean"])
+        centred = capped(metric, caps) - F.lit(moments[f"{metric}_mean"]).cast("double")
         return centred / F.lit(moments[f"{metric}_std"] or 1.0)
 
-    return customers.withColumns({s: scaled(m) for m, s in zip(RFM_METRICS, _SCALED)})
+    return rfm.withColumns({s: scaled(m) for m, s in zip(RFM_METRICS, SCALED)})
 
 
-def features(rfm: DataFrame, clip: bool) -> DataFrame:
+def with_features(rfm: DataFrame, clip: bool) -> DataFrame:
     """Customers with a vector of the three standardised metrics, staged because the
     fits read it many times."""
-    table = standardise(clip_outliers(rfm) if clip else rfm).select("CustomerID", *_SCALED)
-    staged = stage(table, "cluster-features")
-    return VectorAssembler(inputCols=_SCALED, outputCol="features").transform(staged).select("CustomerID", "features")
+    staged = stage(standardise(rfm, clip), "cluster-features")
+    return VectorAssembler(inputCols=SCALED, outputCol="features").transform(staged)
 
 
 def _kmeans(vectors: DataFrame, k: int, seed: int):
@@ -55,17 +56,15 @@ def silhouette(assigned: DataFrame) -> float:
     return ClusteringEvaluator(featuresCol="features", predictionCol="Cluster").evaluate(assigned)
 
 
-def assign_clusters(rfm: DataFrame, k: int = 3, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """`rfm` with a Cluster column, and the standardised vectors with the same."""
-    vectors = features(rfm, clip=True).cache()
-    assigned = _kmeans(vectors, k, seed).transform(vectors)
-    labels = assigned.select("CustomerID", "Cluster")
-    return rfm.join(labels, "CustomerID"), assigned
+def assign_clusters(rfm: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
+    """`rfm` with the vector and a Cluster column."""
+    vectors = with_features(rfm, clip=True)
+    return _kmeans(vectors, k, seed).transform(vectors)
 
 
 def fit_clusters(rfm: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
-    clustered, _ = assign_clusters(rfm, k, seed)
-    return name_clusters(stage(clustered, "clustered-customers"))
+    """`rfm` with Cluster and Cluster_Name."""
+    return name_clusters(assign_clusters(rfm, k, seed).drop(*SCALED, "features"))
 
 
 def cluster_means(rfm: DataFrame) -> DataFrame:
@@ -98,13 +97,13 @@ def name_clusters(clustered: DataFrame) -> DataFrame:
 def _spread(vectors: DataFrame) -> float:
     """Inertia of a single cluster: squared distances to the overall mean."""
     parts = vector_to_array("features")
-    about_mean = sum(F.var_pop(parts[i]) * F.count(F.lit(1)) for i in range(len(_SCALED)))
+    about_mean = sum(F.var_pop(parts[i]) * F.count(F.lit(1)) for i in range(len(SCALED)))
     return float(vectors.agg(about_mean).first()[0])
 
 
 def elbow(rfm: DataFrame, ks: range = range(1, 11), seed: int = SEED) -> DataFrame:
     """Inertia and silhouette for each k, on metrics that are not capped."""
-    vectors = features(rfm, clip=False).cache()
+    vectors = with_features(rfm, clip=False)
     points = []
     for k in ks:
         if k == 1:
@@ -112,7 +111,6 @@ def elbow(rfm: DataFrame, ks: range = range(1, 11), seed: int = SEED) -> DataFra
             continue
         model = _kmeans(vectors, k, seed)
         points.append((k, float(model.summary.trainingCost), silhouette(model.transform(vectors))))
-    vectors.unpersist()
     return rfm.sparkSession.createDataFrame(points, "k int, inertia double, silhouette double")
 
 

@@ -90,11 +90,16 @@ def describe_rfm(rfm: DataFrame, digits: int = 2) -> DataFrame:
     )
 
 
-def clipped_at_percentile(rfm: DataFrame, metrics: list[str], percentile: int = 99) -> DataFrame:
-    """Caps each metric at its exact percentile; the caps are one number per metric."""
+def percentile_caps(rfm: DataFrame, metrics: list[str], percentile: int = 99) -> dict[str, float]:
+    """The exact percentile of each metric: one number per metric."""
     found = exact_quantiles(long_metrics(rfm, metrics), ["metric"], "value", "CustomerID", [percentile])
-    caps = {r["metric"]: r["quantile"] for r in found.collect()}
-    return rfm.withColumns({m: F.least(F.col(m).cast("double"), F.lit(caps.get(m)).cast("double")) for m in metrics})
+    return {r["metric"]: r["quantile"] for r in found.collect()}
+
+
+def capped(metric: str, caps: dict[str, float]) -> Column:
+    """The metric as DOUBLE, cut off at its cap if it has one."""
+    value = F.col(metric).cast("double")
+    return F.least(value, F.lit(caps[metric])) if metric in caps else value
 
 
 def histogram(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
@@ -124,10 +129,10 @@ def histogram(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
 
 
 def rfm_histograms(rfm: DataFrame, bins: int = 40) -> DataFrame:
-    clipped = clipped_at_percentile(rfm, RFM_METRICS)
-    values = clipped.select(F.expr("stack(3, 'recency', recency, 'frequency', frequency, 'monetary', monetary)")
-                            .alias("metric", "value"))
-    return histogram(values, ["metric"], "value", bins)
+    """Histograms of the three metrics, cut off at their 99th percentiles."""
+    caps = percentile_caps(rfm, RFM_METRICS)
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), capped(m, caps).alias("value")) for m in RFM_METRICS])
+    return histogram(rfm.select(F.inline(pairs)), ["metric"], "value", bins)
 
 
 def churn_risk_histograms(rfm: DataFrame, bins: int = 30) -> DataFrame:

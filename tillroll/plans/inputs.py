@@ -36,19 +36,15 @@ def customers(tx: DataFrame) -> DataFrame:
     return stand_in_labels(rfm.compute_rfm(tx))
 
 
-def staged_customers(tx: DataFrame) -> DataFrame:
-    return stage(customers(tx), "customers")
-
-
 def clustered_customers(tx: DataFrame) -> DataFrame:
     """Scored customers with K-Means clusters."""
-    return clusters.fit_clusters(stage(rfm.compute_rfm(tx), "customers"))
+    return clusters.fit_clusters(rfm.compute_rfm(tx))
 
 
 def churn_training(scored: DataFrame):
     """Labelled customers with the split flag, staged, and the model fitted on the
     training part."""
-    split = stage(churn.stratified_split(stage(churn.churn_label(scored), "labelled")), "split")
+    split = stage(churn.stratified_split(churn.churn_label(scored)), "split")
     return split, churn.train_churn_model(split.filter(~F.col("is_test")))
 
 

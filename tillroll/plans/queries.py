@@ -35,20 +35,21 @@ def _on_purchases(name: str, operator: Callable[[DataFrame], DataFrame]) -> None
     _register(name, lambda spark, folder: operator(inputs.timed_purchases(spark, folder)))
 
 
-def _on_customers(name: str, operator: Callable[[DataFrame], DataFrame], staged: bool = False) -> None:
-    """`staged` for operators that read the customer table more than once."""
-    def build(spark, folder):
-        table = inputs.customers(inputs.transactions(spark, folder))
-        return operator(stage(table, "customers") if staged else table)
+def _on_customers(name: str, operator: Callable[[DataFrame], DataFrame]) -> None:
+    """Operators over scored customers (a scan of the staged customer history)."""
+    _on_transactions(name, lambda tx: operator(inputs.customers(tx)))
 
-    _register(name, build)
+
+def _on_base(name: str, operator: Callable[[DataFrame], DataFrame]) -> None:
+    """Operators that need recency, frequency and monetary only."""
+    _on_transactions(name, lambda tx: operator(rfm.rfm_base(tx)))
 
 
 def _on_both(name: str, operator: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Operators over transactions and customers."""
+    """Operators over transactions and scored customers."""
     def build(spark, folder):
         tx = inputs.staged_transactions(spark, folder)
-        return operator(tx, inputs.staged_customers(tx))
+        return operator(tx, inputs.customers(tx))
 
     _register(name, build)
 
@@ -154,12 +155,11 @@ _on_raw("profile_missing_values", profiling.missing_values)
 _on_raw("profile_cancellation_rate", profiling.cancellation_rate)
 _register("profile_cleaning_report", _cleaning_report)
 _on_transactions("profile_dataset_summary", profiling.dataset_summary)
-_on_customers("profile_describe_rfm", profiling.describe_rfm, staged=True)
-_on_customers("profile_rfm_histograms",
-              lambda c: rounded_half_up(profiling.rfm_histograms(c), 4, "bin_from", "bin_to"), staged=True)
+_on_base("profile_describe_rfm", profiling.describe_rfm)
+_on_base("profile_rfm_histograms",
+              lambda c: rounded_half_up(profiling.rfm_histograms(c), 4, "bin_from", "bin_to"))
 _on_customers("profile_churn_risk_histograms", lambda c: rounded_half_up(
-    profiling.churn_risk_histograms(stage(clusters.churn_risk(c), "customer-risk")), 6, "bin_from", "bin_to"),
-    staged=True)
+    profiling.churn_risk_histograms(stage(clusters.churn_risk(c), "customer-risk")), 6, "bin_from", "bin_to"))
 _on_both("profile_coverage_check", profiling.coverage_check)
 
 # ---- aggregations, rankings, limits -------------------------------------------
@@ -226,38 +226,36 @@ _on_transactions("rfm_scores", rfm.compute_rfm)
 # ---- clusters -----------------------------------------------------------------
 
 
-def _cluster_input(spark, folder):
-    return stage(rfm.compute_rfm(inputs.transactions(spark, folder)), "customers")
+def _scored(spark, folder):
+    return rfm.compute_rfm(inputs.transactions(spark, folder))
 
 
-def _fitted_vectors(spark, folder):
-    return clusters.assign_clusters(_cluster_input(spark, folder))[1]
+def _clustered_vectors(spark, folder):
+    base = rfm.rfm_base(inputs.transactions(spark, folder))
+    return clusters.assign_clusters(base)
 
 
 def _silhouette(spark, folder):
-    assigned = _fitted_vectors(spark, folder)
+    assigned = _clustered_vectors(spark, folder)
     return assigned.groupBy().agg(
         F.countDistinct("Cluster").alias("k"), F.count(F.lit(1)).alias("customers"),
         F.lit(clusters.silhouette(assigned)).alias("silhouette"))
 
 
-_on_customers("cluster_clip_outliers", lambda c: rounded(
-    clusters.clip_outliers(c).select("CustomerID", "recency", "frequency", "monetary"), 4, "frequency", "monetary"),
-    staged=True)
-_on_customers("cluster_standardise", lambda c: rounded(
-    clusters.standardise(clusters.clip_outliers(c)).select("CustomerID", *clusters._SCALED), 6, *clusters._SCALED),
-    staged=True)
-_register("cluster_kmeans", lambda spark, folder: clusters.fit_clusters(_cluster_input(spark, folder)).select(
-    "CustomerID", "Cluster", "Cluster_Name"))
+_on_base("cluster_clip_outliers", lambda c: rounded(
+    clusters.clip_outliers(c).select("CustomerID", "recency", "frequency", "monetary"), 4, "frequency", "monetary"))
+_on_base("cluster_standardise", lambda c: rounded(
+    clusters.standardise(c, clip=True).select("CustomerID", *clusters.SCALED), 6, *clusters.SCALED))
+_on_base("cluster_kmeans", lambda c: clusters.fit_clusters(c).select("CustomerID", "Cluster", "Cluster_Name"))
 _register("cluster_silhouette", _silhouette)
 _on_customers("cluster_means", lambda c: rounded(clusters.cluster_means(c), 2, "recency", "frequency", "monetary"))
 _on_customers("cluster_names", lambda c: clusters.name_clusters(c.drop("Cluster_Name")).select(
-    "CustomerID", "Cluster", "Cluster_Name"), staged=True)
-_register("cluster_elbow", lambda spark, folder: clusters.elbow(_cluster_input(spark, folder)))
-_register("cluster_pca", lambda spark, folder: clusters.pca_projection(_fitted_vectors(spark, folder)))
-_on_customers("cluster_churn_risk", lambda c: rounded(
-    clusters.churn_risk(c).select("CustomerID", "Churn_Risk"), 6, "Churn_Risk"), staged=True)
-_on_customers("cluster_mean_risk", lambda c: clusters.mean_risk_by_cluster(clusters.churn_risk(c)), staged=True)
+    "CustomerID", "Cluster", "Cluster_Name"))
+_on_base("cluster_elbow", clusters.elbow)
+_register("cluster_pca", lambda spark, folder: clusters.pca_projection(_clustered_vectors(spark, folder)))
+_on_base("cluster_churn_risk", lambda c: rounded(
+    clusters.churn_risk(c).select("CustomerID", "Churn_Risk"), 6, "Churn_Risk"))
+_on_customers("cluster_mean_risk", lambda c: clusters.mean_risk_by_cluster(clusters.churn_risk(c)))
 
 # ---- cohorts ------------------------------------------------------------------
 
@@ -311,7 +309,7 @@ def _labelled(c: DataFrame) -> DataFrame:
 def _with_model(use):
     """Queries that need the fitted churn model."""
     def build(spark, folder):
-        split, model = inputs.churn_training(_cluster_input(spark, folder))
+        split, model = inputs.churn_training(_scored(spark, folder))
         return use(spark, split, model)
 
     return build
@@ -327,12 +325,12 @@ def _model_evaluation(spark, split, model):
     return churn.roc_auc(test).withColumn("customers", F.lit(test.count()))
 
 
-_on_customers("churn_label", lambda c: _labelled(c).select("CustomerID", "recency", "Churned"))
-_on_customers("churn_label_balance", lambda c: churn.label_balance(_labelled(c)))
-_on_customers("churn_split", lambda c: churn.stratified_split(_labelled(c)).select(
-    "CustomerID", "Churned", "is_test"), staged=True)
-_on_customers("churn_class_weight", lambda c: rounded(churn.class_weight(
-    churn.stratified_split(_labelled(c)).filter(~F.col("is_test"))), 6, "churned_weight"), staged=True)
+_on_base("churn_label", lambda c: _labelled(c).select("CustomerID", "recency", "Churned"))
+_on_base("churn_label_balance", lambda c: churn.label_balance(_labelled(c)))
+_on_base("churn_split", lambda c: churn.stratified_split(_labelled(c)).select(
+    "CustomerID", "Churned", "is_test"))
+_on_base("churn_class_weight", lambda c: rounded(churn.class_weight(
+    churn.stratified_split(_labelled(c)).filter(~F.col("is_test"))), 6, "churned_weight"))
 _register("churn_model_evaluation", _with_model(_model_evaluation))
 _register("churn_model_scores", _with_model(lambda spark, split, model: churn.with_risk(
     churn.score_customers(split, model)).select("CustomerID", "F-Score", "M-Score", "churn_prob", "risk_level", "action")))
