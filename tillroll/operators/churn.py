@@ -160,7 +160,7 @@ def confusion_matrix(scored: DataFrame) -> DataFrame:
     counted = scored.groupBy("Churned").agg(
         F.count_if(guess == 0).alias("predicted_not_churned"), F.count_if(guess == 1).alias("predicted_churned"))
     return (
-        F.broadcast(names).join(counted, "Churned", "left")
+        names.join(F.broadcast(counted), "Churned", "left")
         .fillna(0, subset=["predicted_not_churned", "predicted_churned"])
         .orderBy("Churned").select("actual", "predicted_not_churned", "predicted_churned")
     )

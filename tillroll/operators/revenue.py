@@ -38,7 +38,7 @@ def _per_weekday(transactions: DataFrame, measure: Column) -> DataFrame:
     """One row per weekday, Monday first; NULL for a day without sales."""
     days = transactions.sparkSession.createDataFrame(list(enumerate(WEEKDAYS, 1)), "day_number int, DayOfWeek string")
     found = transactions.groupBy(weekday_name(F.col("InvoiceDate")).alias("DayOfWeek")).agg(measure)
-    return F.broadcast(days).join(found, "DayOfWeek", "left").orderBy("day_number")
+    return days.join(F.broadcast(found), "DayOfWeek", "left").orderBy("day_number")
 
 
 def orders_by_weekday(transactions: DataFrame) -> DataFrame:

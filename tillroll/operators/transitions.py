@@ -101,7 +101,7 @@ def transition_counts(pairs: DataFrame) -> DataFrame:
     frame = spark.createDataFrame(list(enumerate(SEGMENTS)), "place int, Segment string")
     wide = pairs.groupBy("Segment").pivot("Next_Segment", SEGMENTS).count()
     return (
-        F.broadcast(frame).join(wide, "Segment", "left")
+        frame.join(F.broadcast(wide), "Segment", "left")
         .orderBy("place")
         .select("Segment", *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(s) for s in SEGMENTS])
     )

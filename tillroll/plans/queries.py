@@ -226,10 +226,6 @@ _on_transactions("rfm_scores", rfm.compute_rfm)
 # ---- clusters -----------------------------------------------------------------
 
 
-def _scored(spark, folder):
-    return rfm.compute_rfm(inputs.transactions(spark, folder))
-
-
 def _clustered_vectors(spark, folder):
     base = rfm.rfm_base(inputs.transactions(spark, folder))
     return clusters.assign_clusters(base)
@@ -309,8 +305,7 @@ def _labelled(c: DataFrame) -> DataFrame:
 def _with_model(use):
     """Queries that need the fitted churn model."""
     def build(spark, folder):
-        split, model = inputs.churn_training(_scored(spark, folder))
-        return use(spark, split, model)
+        return use(spark, *inputs.churn_training(spark, folder))
 
     return build
 
@@ -363,10 +358,9 @@ def _staged_clv(operator):
 
 
 def _model_clv(spark, folder):
-    tx = inputs.staged_transactions(spark, folder)
-    clustered = inputs.clustered_customers(tx)
-    split, model = inputs.churn_training(clustered)
-    return clv.compute_clv(tx, churn.score_customers(split, model))
+    split, model = inputs.churn_training(spark, folder)
+    scored = churn.score_customers(clusters.fit_clusters(split), model)
+    return clv.compute_clv(inputs.transactions(spark, folder), scored)
 
 
 _CLV_FIGURES = ["months_active", "avg_monthly_spend", "churn_prob_annual", "expected_months"]
@@ -424,9 +418,8 @@ def _model_recommendations(spark, folder):
 
 
 def _model_profiles(spark, folder):
-    clustered = inputs.clustered_customers(inputs.transactions(spark, folder))
-    split, model = inputs.churn_training(clustered)
-    return recommend.customer_profiles(churn.score_customers(split, model))
+    split, model = inputs.churn_training(spark, folder)
+    return recommend.customer_profiles(churn.score_customers(clusters.fit_clusters(split), model))
 
 
 _on_transactions("recommend_popular", recommend.recommend_popular)
