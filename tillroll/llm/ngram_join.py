@@ -149,11 +149,11 @@ def shared_keys(docs: DataFrame) -> DataFrame:
     once per task, and routes() spreads what a block of texts already shows to be shared.
     """
     rows = map_batches(docs.select(F.col("text").cast("string")), _emit_keys, _KEYS_SQL)
-    meet = Window.partitionBy("key", meeting_route())
-    kept = (
-        rows.withColumn("low", F.min("node").over(meet)).withColumn("high", F.max("node").over(meet))
-        .filter("route > 0 OR low < high")
-    )
+    rows = rows.withColumn("meeting", meeting_route())
+    meet = Window.partitionBy("key", "meeting")
+    # Both figures in one projection, and the route as a column: one exchange and one sort.
+    kept = rows.select("key", "node", "n", "route", F.min("node").over(meet).alias("low"), F.max("node").over(meet).alias("high"))
+    kept = kept.filter("route > 0 OR low < high")
     return staged(kept.select("key", "node", "n").distinct(), "shared")
 
 

@@ -115,14 +115,15 @@ def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
     """
     texts = keyed_texts(docs)
     anchors = map_batches(texts, _emit_anchors(size), _ROWS_SQL)
-    meet = Window.partitionBy("hash", meeting_route())
-    twice = anchors.withColumn("rows", F.count("*").over(meet)).filter("route > 0 OR rows > 1")
+    meet = Window.partitionBy("hash", "meeting")
+    twice = anchors.withColumn("meeting", meeting_route()).withColumn("rows", F.count("*").over(meet))
+    twice = twice.filter("route > 0 OR rows > 1")
     # One list for each document, no longer than its words.
     twice = twice.groupBy("doc", "copy").agg(F.collect_list("at").alias("at"))
     joined = texts.join(twice, ["doc", "copy"]).select("doc", "copy", "text", "at")
     found = map_batches(joined, _emit_windows(size), _ROWS_SQL)
     turn = F.rank().over(meet.orderBy("doc", "copy", "at"))
-    return found.withColumn("turn", turn).filter("route > 1 OR turn > 1").select("doc", "copy", "at")
+    return found.withColumn("meeting", meeting_route()).withColumn("turn", turn).filter("route > 1 OR turn > 1").select("doc", "copy", "at")
 
 
 def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
