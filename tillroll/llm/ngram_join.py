@@ -85,21 +85,25 @@ def _keys(own: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
-_NODES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
-_NODES_SQL = "doc_id long, n_shingles long, node long"
+_NODES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+_NODES_SQL = "doc_id long, n_shingles long, node long, sketch array<long>"
 _KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("route", pa.int32())])
 _KEYS_SQL = "key long, node long, n int, route int"
 
 
 def _emit_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = np.zeros(batch.num_rows, np.int64)
-        nodes = np.zeros(batch.num_rows, _U)
+        sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, _U)
+        bits = np.zeros((batch.num_rows, 64 * SKETCH), np.uint8)
         for low, _, found in words(batch.column(1), fold=True):
             for k, own in enumerate(shingle_sets(found), low):
                 sizes[k], nodes[k] = len(own), _node(own)
+                place = (mix(own ^ _U(_KEY)) % _U(64 * SKETCH)).astype(np.int64)
+                bits[k] = np.bincount(place, minlength=64 * SKETCH) & 1
         node = pa.array(nodes.view(np.int64), mask=sizes == 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), node], schema=_NODES)
+        flat = np.packbits(bits, axis=1).view(np.int64).ravel()
+        sketch = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * SKETCH, pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), node, sketch], schema=_NODES)
 
 
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,22 +126,16 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, found in words(batch.column(0), fold=True):
-            nodes, sets, sketches = [], [], []
-            for own in shingle_sets(found):
-                if len(own):
-                    bits = np.bincount((mix(own ^ _U(_KEY)) % _U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
-                    nodes.append(int(_node(own)))
-                    sets.append(own.view(np.int64))
-                    sketches.append(np.packbits((bits & 1).astype(np.uint8)).view(np.int64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(nodes, _U).view(np.int64)), pa.array(sets, pa.list_(pa.int64())),
-                     pa.array(sketches, pa.list_(pa.int64()))], names=["node", "shingles", "sketch"])
+            sets = [own for own in shingle_sets(found) if len(own)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array([_node(own) for own in sets], _U).view(np.int64)),
+                 pa.array([own.view(np.int64) for own in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
 def shingle_nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node): the size of each document's set and a 64-bit name of the set
-    (equal sets have equal names); node is null for an empty set."""
+    """(doc_id, n_shingles, node, sketch): the size of each document's set, a 64-bit name of the set
+    (equal sets have equal names; null for an empty set), and its parity sketch: bit k says
+    whether the number of shingles with hash k is odd."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return map_batches(texts, _emit_nodes, _NODES_SQL)
 
@@ -157,13 +155,34 @@ def shared_keys(docs: DataFrame) -> DataFrame:
     return staged(kept.select("key", "node", "n").distinct(), "shared")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose overlap reaches the bound; counted exactly."""
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those whose sketches allow a link.
+
+    Each shingle in which two sets differ flips one bit, so the sketches differ in no more bits.
+    """
+    def side(end: str) -> DataFrame:
+        return sketches.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
+
+    flipped = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH)), F.lit(0))
+    close = (100 + PERCENT) * flipped <= (100 - PERCENT) * (F.col("na") + F.col("nb"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").filter(close).select("a", "b").distinct()
+
+
+def _links(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those whose overlap reaches the bound; counted exactly, on sets made anew
+    from one document (first: node, doc_id) of each class that occurs."""
+    pairs = staged(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = staged(first.join(ends, "node").select("doc_id").distinct(), "wanted")
+    # Null ids cannot be joined on; their texts are read along with the wanted ones.
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    chosen = texts.join(small_side(wanted), "doc_id", "left_semi").union(texts.filter("doc_id IS NULL"))
+    sets = staged(map_batches(chosen.select("text"), _emit_sets, "node long, shingles array<long>"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     overlap = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - overlap
-    return pairs.join(right, "b").join(left, "a").filter(100 * overlap >= PERCENT * union).select("a", "b")
+    return left.join(pairs, "a").join(right, "b").filter(100 * overlap >= PERCENT * union).select("a", "b").distinct()
 
 
 def _pivot_pairs(shared: DataFrame) -> DataFrame:
@@ -184,11 +203,10 @@ def _pivot_pairs(shared: DataFrame) -> DataFrame:
 def _remaining_pairs(shared: DataFrame, sketches: DataFrame) -> DataFrame:
     """All pairs of nodes with different labels that share a block and whose sketches allow a link."""
     open_keys = shared.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    rows = shared.join(open_keys.select("key"), "key").join(sketches, "node")
+    rows = shared.select("key", "node", "comp").join(open_keys.select("key"), "key").join(sketches, "node")
     words_of = [f"w{k}" for k in range(SKETCH)]
     rows = rows.select("key", "node", "n", "comp", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words_of)))
     a, b = rows.alias("a"), rows.alias("b")
-    # Each shingle in which the sets differ flips one bit: the sketches differ in at most that many.
     flipped = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words_of), F.lit(0))
     near = (
         (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp"))
@@ -200,19 +218,18 @@ def _remaining_pairs(shared: DataFrame, sketches: DataFrame) -> DataFrame:
 def link_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, comp) for every class that has a link to a different class."""
     shared = shared_keys(docs)
-    first = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = staged(first.join(shared.select("node").distinct(), "node").select("doc_id"), "wanted")
-    # Null ids cannot be joined on; their texts are read along with the wanted ones.
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chosen = texts.join(small_side(wanted.distinct()), "doc_id", "left_semi").union(texts.filter("doc_id IS NULL"))
-    sets = map_batches(chosen.select("text"), _emit_sets, "node long, shingles array<long>, sketch array<long>")
-    sets = staged(sets.dropDuplicates(["node"]), "sets")
+    known = nodes.filter("node IS NOT NULL")
+    first = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sketches = known.join(shared.select("node").distinct(), "node").groupBy("node").agg(
+        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = staged(sketches, "sketches")
     groups = shared.groupBy("key").agg(F.count("*").alias("rows"))
     degrees = shared.join(groups, "key").groupBy("node").agg(F.sum("rows").alias("degree"))
-    first_links = staged(_links(_pivot_pairs(shared.join(degrees, "node")), sets), "pivot-links")
+    pivots = _pivot_pairs(shared.join(degrees, "node"))
+    first_links = staged(_links(_near(pivots, sketches), docs, first), "pivot-links")
     comps = components(first_links)
     labelled = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = staged(_links(_remaining_pairs(labelled, sets.select("node", "sketch")), sets), "links")
+    rest = staged(_links(_remaining_pairs(labelled, sketches), docs, first), "links")
     return components(first_links.union(rest))
 
 
