@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.common import let
+
 #: Percent of the Dice coefficient that counts as a match.
 PERCENT = 80
 
@@ -55,44 +57,67 @@ def bounds(n: int) -> tuple[int, int]:
     return least, n * (200 - PERCENT) // PERCENT
 
 
-def _bigrams(unit: Column) -> Column:
-    """Distinct word bigrams of a text. Characters other than a-z, 0-9 and beyond ASCII separate words."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(unit), "[\\x00-\\x7F&&[^a-z0-9]]+", " "), " "), lambda w: w != "")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+def markers(own: list[str]) -> set[str]:
+    """Words of which a unit that matches the template has at least one.
+
+    A match shares some least number of the template's bigrams. The longest words are taken until
+    fewer bigrams than that are without one of them.
+    """
+    least = bounds(len(own))[0]
+    need = -(-PERCENT * (least + len(own)) // 200)
+    chosen: set[str] = set()
+    for word in sorted({w for g in own for w in g.split()}, key=lambda w: (-len(w), w)):
+        if sum(not chosen & set(g.split()) for g in own) < need:
+            break
+        chosen.add(word)
+    return chosen
+
+
+def _words(text: Column) -> Column:
+    """Words of letters and digits; ASCII characters other than those separate them."""
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def _bigrams(words: Column) -> Column:
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def licence_hits(text: Column, templates: list[tuple[str, str]]) -> Column:
     """An array of (licence, unit, dice): one per unit that matches, with its best template.
 
     unit is the number of the line from 1, or 0 for the whole of a text with several lines. Ties
-    go to the licence that is first in the alphabet.
+    go to the licence that is first in the alphabet. Bigrams are formed only for units that have
+    a marker word of some template and no more distinct words than a match can have.
     """
     sized = [(name, template_bigrams(body)) for name, body in templates]
     sized = [(name, grams) for name, grams in sized if grams]
-    low = min((bounds(len(g))[0] for _, g in sized), default=1)
-    # A word needs at least one character and a separator: shorter units cannot have `low` bigrams.
-    lines = F.split(text, "\n", -1)
-    units = F.concat(
-        F.transform(lines, lambda x, i: F.struct((i + 1).alias("unit"), x.alias("body"))),
-        F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("unit"), text.alias("body")))).otherwise(
-            F.array().cast("array<struct<unit:int,body:string>>")))
-    long_enough = F.filter(units, lambda u: F.length(u["body"]) >= 2 * low + 1)
-    cut = F.transform(long_enough, lambda u: F.struct(u["unit"].alias("unit"), _bigrams(u["body"]).alias("grams")))
+    ranges = sorted({bounds(len(g)) for _, g in sized})
+    most = max((high for _, high in ranges), default=0)
+    marks = F.array(*map(F.lit, sorted(set().union(*(markers(g) for _, g in sized)))))
+    plain = F.regexp_replace(F.lower(text), "[\\x00-\\x7F&&[^a-z0-9\n]]+", " ")
+
+    def units(plain: Column) -> Column:
+        lines = F.transform(F.split(plain, "\n", -1), lambda x, i: F.struct((i + 1).alias("unit"), _words(x).alias("words")))
+        # The whole text has every line's marker words; it is a unit only where some line has one.
+        marked = F.filter(lines, lambda u: F.arrays_overlap(u["words"], marks))
+        whole = F.array(F.struct(F.lit(0).alias("unit"), _words(F.translate(plain, "\n", " ")).alias("words")))
+        return let(marked, lambda m: F.when((F.size(m) > 0) & (F.instr(plain, "\n") > 0), F.concat(m, whole)).otherwise(m))
 
     def dice(grams: Column, own: list[str]) -> Column:
-        least, most = bounds(len(own))
-        fits = F.size(grams).between(least, most)
+        least, top = bounds(len(own))
         shared = F.size(F.array_intersect(grams, F.array(*map(F.lit, own))))
-        return F.when(fits, 2.0 * shared / (F.size(grams) + len(own))).otherwise(0.0)
+        return F.when(F.size(grams).between(least, top), 2.0 * shared / (F.size(grams) + len(own))).otherwise(0.0)
 
     def best(u: Column) -> Column:
         scores = F.array(*(F.struct((-dice(u["grams"], g)).alias("minus"), F.lit(name).alias("licence")) for name, g in sized))
         return F.struct(u["unit"].alias("unit"), F.array_min(scores).alias("best"))
 
-    within = F.filter(cut, lambda u: F.exists(
-        F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted({bounds(len(g)) for _, g in sized}))),
-        lambda r: F.size(u["grams"]).between(r["a"], r["b"])))
+    # A text has at least as many distinct bigrams as distinct words, less one.
+    few = F.filter(let(plain, units), lambda u: F.size(F.array_distinct(u["words"])) - 1 <= most)
+    cut = F.transform(few, lambda u: F.struct(u["unit"].alias("unit"), _bigrams(u["words"]).alias("grams")))
+    bounds_ = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ranges))
+    within = F.filter(cut, lambda u: F.exists(bounds_, lambda r: F.size(u["grams"]).between(r["a"], r["b"])))
     matched = F.filter(F.transform(within, best), lambda u: u["best"]["minus"] * 100 <= -PERCENT)
     return F.transform(matched, lambda u: F.struct(
         u["best"]["licence"].alias("licence"), u["unit"].alias("unit"), (-u["best"]["minus"]).alias("dice")))
