@@ -147,15 +147,14 @@ def captures(records: DataFrame) -> DataFrame:
     repeated under one id count once; requests and metadata without a capture give no row.
     """
     main = records.filter("record_type IN ('response', 'revisit') AND record_id IS NOT NULL").dropDuplicates(["record_id"])
+    # A response refers to itself here, so its rows have keys of their own instead of null.
+    main = main.withColumn("origin", F.coalesce("refers_to", "record_id"))
     stored = main.filter("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest"))
-    own = F.col("record_type") == "response"
-    main = main.join(stored, "refers_to", "left").select(
+        F.col("record_id").alias("origin"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest"))
+    main = main.join(stored, "origin", "left").select(
         "record_id", "target_uri", "date", F.struct(
-            "record_type", "refers_to", "http_head", "payload",
-            F.when(own, F.col("payload_bytes")).otherwise(F.col("full_bytes")).alias("payload_bytes"),
-            F.when(own, F.col("payload_digest")).otherwise(F.col("full_digest")).alias("payload_digest"),
-            "declared_digest").alias("response"))
+            "record_type", "refers_to", "http_head", "payload", F.col("full_bytes").alias("payload_bytes"),
+            F.col("full_digest").alias("payload_digest"), "declared_digest").alias("response"))
     beside = records.filter("record_type IN ('request', 'metadata')").dropDuplicates(["record_id"])
     beside = beside.groupBy(F.col("concurrent_to").alias("record_id")).agg(
         F.min(F.when(F.col("record_type") == "request", F.struct(F.col("record_id").alias("request_id"), "http_head"))).alias("request"),
@@ -169,6 +168,8 @@ def digest_rows(found: DataFrame) -> DataFrame:
     number = F.regexp_extract(F.concat_ws("\n", "metadata"), r"page-id: (-?\d*)", 1)
     rows = found.select(
         "record_id", F.when(number != "", number.cast("long")).alias("page_id"), "response.payload_bytes",
-        "response.payload_digest", "response.record_type", F.col("response.refers_to").alias("origin"))
-    origins = rows.filter("record_type = 'response'").select(F.col("record_id").alias("origin"), F.col("page_id").alias("refers_to"))
-    return rows.join(origins, "origin", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        "response.payload_digest", "response.record_type",
+        F.coalesce("response.refers_to", "record_id").alias("origin"))
+    origins = rows.filter("record_type = 'response'").select(F.col("record_id").alias("origin"), F.col("page_id").alias("of"))
+    refers_to = F.when(F.col("record_type") == "revisit", F.col("of")).alias("refers_to")
+    return rows.join(origins, "origin", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", refers_to)
