@@ -41,9 +41,11 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """docs with personal data replaced by pseudonyms of the same length."""
+    """docs with personal data replaced by pseudonyms of the same format; n_chars follows a changed text."""
     rows = pii.pseudonymise(docs.select(F.struct(*docs.columns).alias("row"), "text"), KEY)
-    return rows.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    size = F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": size.alias("n_chars")}
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")) for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

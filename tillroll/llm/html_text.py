@@ -172,7 +172,7 @@ def learn(pages: list[str]) -> Weights:
             continue
         first, last = spans[0], spans[-1]
         for k, (kind, words, _, _) in enumerate(found.tokens):
-            side = inside if first <= k <= last else outside
+            side = inside if kind == "/in" or first <= k <= last else outside
             side["word" if kind[0] != "/" else kind] += words if kind[0] != "/" else 1
     if not inside["word"]:
         return Weights({})

@@ -33,7 +33,7 @@ KINDS = {
     "iban": f"{_START}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_STOP}",
     "ssn": f"{_START}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_STOP}",
     "phone": f"(?:(?<![\\p{{L}}\\p{{N}}_+])\\+[0-9]{{1,3}}[ .-]?(?:\\([0-9]{{3}}\\) ?|[0-9]{{3}}[ .-]?)|(?<![\\p{{L}}\\p{{N}}_(])\\([0-9]{{3}}\\) ?|{_START}[0-9]{{3}}[ .-])[0-9]{{3}}[ .-]?[0-9]{{4}}{_STOP}",
-    "number": f"{_START}[0-9](?:[ -]?[0-9]){{11,18}}{_STOP}",
+    "number": f"{_START}(?:[0-9]{{12,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_STOP}",
     "secret": f"{_START}(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}){_STOP}",
 }
 ANY = "|".join(KINDS.values())
@@ -219,8 +219,8 @@ def _kind(hit: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, column: str = "text") -> DataFrame:
     """docs with `column` rewritten and a column found, an array of (kind, hit, pseudonym).
 
-    A null text stays null with nothing found; one without digits and @ isn't searched. The text
-    keeps its length. Every row gets its result. An existing column found is replaced.
+    A null text stays null with nothing found; one without digits and @ isn't searched. Values
+    keep their length, but for IP addresses (1 to 3 digits a part). Every row gets its result. An existing column found is replaced.
     """
     text = F.col(column).cast("string")
     searched = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
