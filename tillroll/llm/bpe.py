@@ -29,7 +29,9 @@ PIECES = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Entries that the caches of pieces and of pairs hold before they are emptied.
-CACHE = 400_000
+CACHE = 250_000
+#: Rows whose tokens are held at once; a batch is answered in parts of so many.
+ROWS = 256
 #: Characters of a text that are split into pieces at once.
 PART = 1 << 20
 
@@ -56,9 +58,12 @@ class _Pieces(dict):
 
 
 class Vocabulary:
-    """Tables of a tokenizers JSON file with a byte-level BPE model; texts of its bytes as Latin-1."""
+    """Tables of a tokenizers JSON file with a byte-level BPE model; texts of its bytes as Latin-1.
 
-    def __init__(self, content: str):
+    Without `encodes` it holds only the bytes and offsets that decoding reads.
+    """
+
+    def __init__(self, content: str, encodes: bool = True):
         parsed = json.loads(content)
         model, symbols = parsed["model"], _byte_symbols()
         special = {t["content"]: t["id"] for t in parsed.get("added_tokens", [])}
@@ -73,6 +78,8 @@ class Vocabulary:
         self.length = [len(texts.get(k, b"")) for k in range(self.size)]
         self.bytes = np.frombuffer(b"".join(texts.get(k, b"") for k in range(self.size)), np.uint8)
         self.offset = np.concatenate(([0], np.cumsum(self.length)))
+        if not encodes:
+            return
 
         self.rank, self.left, self.right = [-1] * self.size, [-1] * self.size, [-1] * self.size
         self.merge: dict[tuple[int, int], int] = {}
@@ -188,14 +195,20 @@ class Vocabulary:
         return b"".join(out).decode("utf-8", "replace")
 
 
-_built: dict[str, Vocabulary] = {}
+_built: dict[tuple[str, bool], Vocabulary] = {}
 
 
-def _vocabulary(content: str) -> Vocabulary:
-    if content not in _built:
+def _vocabulary(content: str, encodes: bool) -> Vocabulary:
+    if (content, encodes) not in _built:
         _built.clear()
-        _built[content] = Vocabulary(content)
-    return _built[content]
+        _built[content, encodes] = Vocabulary(content, encodes)
+    return _built[content, encodes]
+
+
+def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
 
 
 def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
@@ -209,8 +222,8 @@ def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(content.value)
-        for batch in batches:
+        vocabulary = _vocabulary(content.value, True)
+        for batch in _parts_of(batches):
             encoded = [np.array(vocabulary.encode(x.as_py() or ""), np.int32) for x in batch.column(0)]
             ids = pa.ListArray.from_arrays(
                 np.concatenate(([0], np.cumsum([len(x) for x in encoded]))).astype(np.int32),
@@ -233,8 +246,8 @@ def decode(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
         content = encoded.sparkSession.sparkContext.broadcast(file.read())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(content.value)
-        for batch in batches:
+        vocabulary = _vocabulary(content.value, False)
+        for batch in _parts_of(batches):
             texts = [vocabulary.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "decoded"])

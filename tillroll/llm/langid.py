@@ -36,8 +36,8 @@ STEPS = 40
 #: Words in a training sequence, which joins stretches of several texts.
 SEQUENCE = 48
 #: Words for which a task keeps scores, and words that it handles at once.
-CACHE = 400_000
-AT_ONCE = 1 << 19
+CACHE = 120_000
+AT_ONCE = 1 << 17
 #: Words that one step of forward-backward passes over in each stretch of a text.
 STRETCH = 32
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled in one go; longer texts are handled alone, their words in runs of this size.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
