@@ -51,7 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, round_trip): token ids, and whether they decode to the text."""
     rows = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    decoded = bpe.decode(bpe.encode(rows, VOCABULARY), VOCABULARY)
+    decoded = bpe.encode(rows, VOCABULARY, decoded=True)
     return decoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         (F.col("decoded") == F.col("text")).alias("round_trip"))

@@ -29,7 +29,7 @@ PIECES = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Entries that the caches of pieces and of pairs hold before they are emptied.
-CACHE = 250_000
+CACHE = 150_000
 #: Rows whose tokens are held at once; a batch is answered in parts of so many.
 ROWS = 256
 #: Characters of a text that are split into pieces at once.
@@ -211,12 +211,14 @@ def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, ROWS)
 
 
-def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, column: str = "text", decoded: bool = False) -> DataFrame:
     """docs with a column ids (array of int): the tokens of `column` under the vocabulary file at path.
 
+    decoded adds a column decoded, what decode() gives for the ids, in the same pass.
+
     The same ids as the tokenizers library gives without special tokens added; strings of added
     tokens in a text become those tokens. Null counts as empty and gives an empty array. The file
-    is read on the driver and sent to the tasks. An existing column ids is replaced.
+    is read on the driver and sent to the tasks. Existing columns of these names are replaced.
     """
     with open(path, encoding="utf-8") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -228,10 +230,15 @@ def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
             ids = pa.ListArray.from_arrays(
                 np.concatenate(([0], np.cumsum([len(x) for x in encoded]))).astype(np.int32),
                 pa.array(np.concatenate(encoded) if encoded else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=[*batch.schema.names[1:], "ids"])
-
-    rest = docs.drop("ids")
-    schema = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+            new = [ids]
+            if decoded:
+                new.append(pa.array([vocabulary.decode(x) for x in encoded], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*batch.schema.names[1:], *names])
+
+    names = ["ids", "decoded"] if decoded else ["ids"]
+    rest = docs.drop(*names)
+    types = [T.ArrayType(T.IntegerType()), T.StringType()]
+    schema = T.StructType([*rest.schema.fields, *map(T.StructField, names, types)])
     chosen = rest.select(docs[column].cast("string").alias("_text"), *rest.columns)
     return map_batches(chosen, emit, schema)
 
