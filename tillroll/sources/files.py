@@ -13,14 +13,16 @@ from tillroll.functions.dates import month_label
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        # A quote inside a field is doubled, a field may hold line breaks, and a value that its
+        # type cannot hold ends the read instead of becoming NULL and vanishing in the cleaning.
+        reader = reader.options(header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST")
     return reader.format(fmt).load(path)
 
 
 def _write(df: DataFrame, path: str, fmt: str, partition_by: str | None = None) -> None:
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(header=True, quote='"', escape='"')
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.save(path)
