@@ -22,11 +22,11 @@ def test_label_starts_after_180_days(make_customers):
     assert [r["Churned"] for r in rows] == [0, 1]
 
 
-@pytest.mark.parametrize("sizes, leaf_rows", [((37, 61), None), ((37, 61), 4), ((5, 0), None), ((1, 2), None)])
-def test_split_is_stratified_and_repeatable(spark, make_customers, sizes, leaf_rows):
+@pytest.mark.parametrize("sizes", [(37, 61), (5, 0), (1, 2)])
+def test_split_is_stratified_and_repeatable(spark, make_customers, sizes):
     rows = [(i, 0 if i < sizes[0] else 999, 1, 1) for i in range(sum(sizes))]
     labelled = stage(churn.churn_label(make_customers(rows)), "test-labelled")
-    first = {tuple(r) for r in churn.stratified_split(labelled, leaf_rows=leaf_rows).select(
+    first = {tuple(r) for r in churn.stratified_split(labelled).select(
         "CustomerID", "Churned", "is_test").collect()}
     assert first == {tuple(r) for r in churn.stratified_split(labelled).select(
         "CustomerID", "Churned", "is_test").collect()}

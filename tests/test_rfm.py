@@ -1,6 +1,5 @@
 import random
 
-import pandas as pd
 import pytest
 
 from tillroll.operators import rfm
@@ -33,20 +32,30 @@ def test_single_customer(make_customers):
     assert (row["R-Score"], row["F-Score"], row["M-Score"]) == (5, 1, 1)
 
 
-@pytest.mark.parametrize("n, leaf_rows", [(53, None), (211, None), (211, 6)])
-def test_scores_equal_quantile_cuts(spark, make_customers, n, leaf_rows):
+def fifths_of(values):
+    """1 to 5 for each place, by the interpolated edges between the sorted values."""
+    ordered, last = sorted(values), len(values) - 1
+    edges = []
+    for k in range(1, 5):
+        below, rest = divmod(last * k, 5)
+        edges.append(5 * ordered[below] + rest * (ordered[min(below + 1, last)] - ordered[below]))
+    return [1 + sum(5 * v > e for e in edges) for v in values]
+
+
+@pytest.mark.parametrize("n", [53, 211])
+def test_scores_equal_quantile_cuts(spark, make_customers, n):
     rng = random.Random(n)
     rows = [(i, rng.randint(0, 4000), rng.choice([1, 1, 1, 2, 3, rng.randint(1, 99)]), rng.randint(1, 10**6) / 100)
             for i in range(n)]
-    frame = pd.DataFrame(rows, columns=["id", "recency", "frequency", "monetary"])
-    expected = {
-        "R-Score": pd.qcut(frame.recency, 5, labels=[5, 4, 3, 2, 1]),
-        "F-Score": pd.qcut(frame.frequency.rank(method="first"), 5, labels=[1, 2, 3, 4, 5]),
-        "M-Score": pd.qcut(frame.monetary.rank(method="first"), 5, labels=[1, 2, 3, 4, 5]),
-    }
+
+    def places(column):
+        order = sorted(range(n), key=lambda i: (rows[i][column], i))
+        return [order.index(i) for i in range(n)]
+
     customers = stage(make_customers(rows), "test-customers")
-    for name, series in expected.items():
-        assert scores(customers, name, leaf_rows=leaf_rows) == series.astype(int).tolist()
+    assert scores(customers, "R-Score") == [6 - s for s in fifths_of([r[1] for r in rows])]
+    assert scores(customers, "F-Score") == fifths_of(places(2))
+    assert scores(customers, "M-Score") == fifths_of(places(3))
 
 
 def test_recency_counts_whole_days(make_transactions):

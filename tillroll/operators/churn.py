@@ -61,7 +61,7 @@ def _test_sizes(labelled: DataFrame) -> dict[int, int]:
     return taken
 
 
-def stratified_split(labelled: DataFrame, seed: int = SEED, leaf_rows: int | None = None) -> DataFrame:
+def stratified_split(labelled: DataFrame, seed: int = SEED) -> DataFrame:
     """Adds `is_test`: within each label the first customers in a fixed shuffled
     order. Only the last test customer of each label is looked up; everyone else is
     compared with it, so nothing is sorted or moved."""
@@ -72,7 +72,7 @@ def stratified_split(labelled: DataFrame, seed: int = SEED, leaf_rows: int | Non
         wanted = F.when(F.col("Churned") == label, size).otherwise(wanted)
     last = rows_at_ranks(
         drawn, ["Churned"], "draw", "CustomerID",
-        lambda n: F.when(wanted > 0, F.array(wanted.cast("bigint"))), leaf_rows=leaf_rows,
+        lambda n: F.when(wanted > 0, F.array(wanted.cast("bigint"))),
     ).select("Churned", F.struct("draw", "CustomerID").alias("last_test"))
     own = F.struct("draw", "CustomerID")
     return (

@@ -1,22 +1,20 @@
-"""Exact order statistics without sorting a whole table in one task.
-
-`rows_at_ranks` finds the row that stands at given ranks of each group. While the
-stretch of rows that holds a wanted rank is larger than `leaf_rows`, one pass
-counts that stretch in value cells (combined inside each task, so the shuffle is
-at most groups x cells rows per task) and keeps the one cell the rank falls into.
-Only a stretch of at most `leaf_rows` rows is ever sorted by a single task. Ties
-on the value are ordered by a unique column, which is narrowed the same way, so
-a value shared by most rows is no obstacle.
+"""Exact order statistics without sorting a table.
+
+`rows_at_ranks` finds the row that stands at given ranks of each group. Every pass
+counts the stretch of rows that holds a wanted rank in value cells (combined inside
+each task, so the shuffle is at most stretches x cells rows per task) and keeps the
+one cell the rank falls into, until that cell holds a single row. No rows are moved
+or sorted at any size. Ties on the value are ordered by a unique column, which is
+narrowed the same way, so a value shared by most rows is no obstacle.
 """
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-LEAF_ROWS = 1_000_000
 CELLS = 1024
 _WHOLE = "_whole_table"
 _BOUNDS = ["lo_value", "hi_value", "lo_tie", "hi_tie"]
@@ -30,7 +28,7 @@ def _distance(df: DataFrame, column: str, low: str) -> Column:
     return (left - right).cast("double")
 
 
-def _cell(df: DataFrame, column: str, low: str, high: str, cells: int) -> Column:
+def value_cell(df: DataFrame, column: str, low: str, high: str, cells: int) -> Column:
     """Number of the cell of a value between `low` and `high`. Subtraction,
     division and square root are correctly rounded, hence non-decreasing, so cells
     follow the order of the values. The fourth root gives the dense lower end of
@@ -48,16 +46,15 @@ def _number_pieces(targets: list[dict], by: list[str]) -> list[dict]:
     return targets
 
 
-def _local_table(rows: DataFrame, records: list[dict], schema: T.StructType) -> DataFrame:
+def local_table(spark: SparkSession, records: list[dict], schema: T.StructType) -> DataFrame:
     columns = schema.fieldNames()
-    data = [tuple(r[c] for c in columns) for r in records]
-    return rows.sparkSession.createDataFrame(data, schema)
+    return spark.createDataFrame([tuple(r[c] for c in columns) for r in records], schema)
 
 
 def _within_pieces(rows, by, value, tie, targets, schema):
     stretches = list({t["piece"]: t for t in targets}.values())
     fields = [schema[c] for c in by + _BOUNDS] + [T.StructField("piece", T.IntegerType())]
-    bounds = _local_table(rows, stretches, T.StructType(fields))
+    bounds = local_table(rows.sparkSession, stretches, T.StructType(fields))
     inside = F.col(value).between(F.col("lo_value"), F.col("hi_value")) & (
         (F.col("lo_value") < F.col("hi_value"))
         | F.col(tie).between(F.col("lo_tie"), F.col("hi_tie"))
@@ -72,8 +69,8 @@ def _narrow(rows, by, value, tie, targets, schema, cells):
         found.withColumn(
             "cell",
             F.when(F.col("lo_value") < F.col("hi_value"),
-                   _cell(found, value, "lo_value", "hi_value", cells))
-            .otherwise(_cell(found, tie, "lo_tie", "hi_tie", cells)),
+                   value_cell(found, value, "lo_value", "hi_value", cells))
+            .otherwise(value_cell(found, tie, "lo_tie", "hi_tie", cells)),
         )
         .groupBy("piece", "cell")
         .agg(
@@ -89,7 +86,7 @@ def _narrow(rows, by, value, tie, targets, schema, cells):
         + [T.StructField("piece", T.IntegerType())]
     )
     hit = (
-        counted.join(F.broadcast(_local_table(rows, targets, wanted)), "piece")
+        counted.join(F.broadcast(local_table(rows.sparkSession, targets, wanted)), "piece")
         .filter((F.col("left") <= F.col("through"))
                 & (F.col("left") > F.col("through") - F.col("size")))
         .withColumn("left", F.col("left") - F.col("through") + F.col("size"))
@@ -97,6 +94,18 @@ def _narrow(rows, by, value, tie, targets, schema, cells):
     return [r.asDict() for r in hit.select(schema.fieldNames()).collect()]
 
 
+def _settled(target: dict, ties_matter: bool) -> dict | None:
+    """`target` with its (value, tie) if the bounds of its stretch tell them, else None."""
+    first, last = target["left"] == 1, target["left"] == target["size"]
+    if not ties_matter and (first or last):
+        return target | {"value": target["lo_value" if first else "hi_value"], "tie": target["lo_tie"]}
+    if target["lo_value"] != target["hi_value"]:
+        return None
+    if first or not ties_matter:
+        return target | {"value": target["lo_value"], "tie": target["lo_tie"]}
+    return target | {"value": target["lo_value"], "tie": target["hi_tie"]} if last else None
+
+
 def rows_at_ranks(
     rows: DataFrame,
     by: list[str],
@@ -104,7 +113,6 @@ def rows_at_ranks(
     tie: str,
     ranks: Callable[[Column], Column],
     ties_matter: bool = True,
-    leaf_rows: int | None = None,
     cells: int = CELLS,
 ) -> DataFrame:
     """The (value, tie) pair at each wanted rank of each group, ascending.
@@ -113,9 +121,9 @@ def rows_at_ranks(
     array comes back as `k`. (`value`, `tie`) must be unique within a group. The
     number of groups must be small and fixed (segments, months, metrics): the wanted
     ranks, one row each, are kept on the driver. `rows` is read several times, so
-    pass a staged table. With `ties_matter=False` only the value is wanted.
+    pass a staged table. With `ties_matter=False` only the value is wanted. Values
+    that have no distance (NaN, infinite) raise ValueError where a rank needs them.
     """
-    leaf_rows = leaf_rows or LEAF_ROWS
     keys = by or [_WHOLE]
     if not by:
         rows = rows.withColumn(_WHOLE, F.lit(1))
@@ -133,37 +141,24 @@ def rows_at_ranks(
     )
     schema = wanted.schema
     pending = [r.asDict() for r in wanted.collect()]
-    settled = []
-    while True:
-        if not ties_matter:
-            settled += [t for t in pending if t["lo_value"] == t["hi_value"]]
-            pending = [t for t in pending if t["lo_value"] != t["hi_value"]]
-        large = [t for t in pending if t["size"] > leaf_rows]
-        if not large:
-            break
-        small = [t for t in pending if t["size"] <= leaf_rows]
-        pending = small + _narrow(rows, keys, value, tie, large, schema, cells)
-
-    out = by + ["k", "rank", "group_size", value, tie]
-    result = None
-    if pending or not settled:
-        pending = _number_pieces(pending, keys)
-        in_order = Window.partitionBy("piece").orderBy(value, tie)
-        leaves = _within_pieces(rows, keys, value, tie, pending, schema).withColumn(
-            "left", F.row_number().over(in_order).cast("bigint"))
-        asked = T.StructType([schema["k"], schema["rank"], schema["group_size"], schema["left"],
-                              T.StructField("piece", T.IntegerType())])
-        result = leaves.join(F.broadcast(_local_table(rows, pending, asked)), ["piece", "left"]).select(out)
-    if settled:
-        done = _local_table(rows, settled, schema).withColumnsRenamed(
-            {"lo_value": value, "lo_tie": tie}).select(out)
-        result = done if result is None else result.unionByName(done)
-    return result
+    found = []
+    while pending:
+        answers = [_settled(target, ties_matter) for target in pending]
+        found += [answer for answer in answers if answer]
+        pending = [target for target, answer in zip(pending, answers) if not answer]
+        if pending:
+            before = {tuple(t[c] for c in keys + ["k"]): t["size"] for t in pending}
+            pending = _narrow(rows, keys, value, tie, pending, schema, cells)
+            if any(t["size"] >= before[tuple(t[c] for c in keys + ["k"])] for t in pending):
+                raise ValueError(f"some values of {value} or {tie} have no distance from each other")
+    answer_schema = T.StructType(
+        [schema[c] for c in by] + [schema["k"], schema["rank"], schema["group_size"],
+         T.StructField("value", schema["lo_value"].dataType), T.StructField("tie", schema["lo_tie"].dataType)])
+    return local_table(rows.sparkSession, found, answer_schema).withColumnsRenamed({"value": value, "tie": tie})
 
 
 def exact_quantiles(
     rows: DataFrame, by: list[str], value: str, tie: str, percents: list[int],
-    leaf_rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per group and whole percentage."""
     def neighbours(n: Column) -> Column:
@@ -174,7 +169,7 @@ def exact_quantiles(
             places += [below, F.least(below + 1, n)]
         return F.array(*places)
 
-    pairs = rows_at_ranks(rows, by, value, tie, neighbours, ties_matter=False, leaf_rows=leaf_rows)
+    pairs = rows_at_ranks(rows, by, value, tie, neighbours, ties_matter=False)
     which = F.element_at(F.array(*[F.lit(p) for p in percents]),
                          (F.floor(F.col("k") / 2) + 1).cast("int"))
     pairs = pairs.withColumn("percent", which).withColumn("exact", F.col(value).cast("double"))

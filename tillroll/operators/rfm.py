@@ -52,17 +52,16 @@ def _cut_ranks(n: Column) -> Column:
     return F.array(*[F.floor((n - 1) * k / F.lit(QUINTILES)).cast("bigint") + 1 for k in _CUTS])
 
 
-def recency_edges(customers: DataFrame, by: list[str]) -> DataFrame:
+def recency_edges(sizes: DataFrame, keys: list[str]) -> DataFrame:
     """Upper edges of the recency fifths, times 5 so that they stay integers.
 
     Recency has few distinct values (days of the period), so the edges come from its
-    histogram. An edge between sorted places `at` and `at + 1` is interpolated.
+    histogram, given as `sizes` (keys, recency, size). An edge between sorted places
+    `at` and `at + 1` is interpolated.
     """
-    keys = by or [_WHOLE]
     group = Window.partitionBy(*keys)
     histogram = (
-        customers.groupBy(*keys, "recency").agg(F.count(F.lit(1)).alias("size"))
-        .withColumn("through", F.sum("size").over(group.orderBy("recency")))
+        sizes.withColumn("through", F.sum("size").over(group.orderBy("recency")))
         .withColumn("n", F.sum("size").over(group))
     )
 
@@ -80,15 +79,20 @@ def recency_edges(customers: DataFrame, by: list[str]) -> DataFrame:
     return histogram.groupBy(*keys).agg(*edges)
 
 
-def rank_cuts(customers: DataFrame, by: list[str], leaf_rows: int | None = None) -> DataFrame:
+def ranked_amounts(customers: DataFrame, *keep: str) -> DataFrame:
+    """(keep, CustomerID, metric, amount) rows; amounts are integers."""
+    return customers.select(
+        *keep, "CustomerID",
+        F.expr(f"stack(2, 'f', {_RANKED['f']}, 'm', {_RANKED['m']})").alias("metric", "amount"),
+    )
+
+
+def rank_cuts(customers: DataFrame, by: list[str]) -> DataFrame:
     """Last (value, customer) of each of the first four fifths of frequency and of
     monetary, when customers are ranked one by one (ties by customer id)."""
     keys = by or [_WHOLE]
-    metrics = customers.select(
-        *keys, "CustomerID",
-        F.expr(f"stack(2, 'f', {_RANKED['f']}, 'm', {_RANKED['m']})").alias("metric", "amount"),
-    )
-    found = rows_at_ranks(metrics, keys + ["metric"], "amount", "CustomerID", _cut_ranks, leaf_rows=leaf_rows)
+    metrics = ranked_amounts(customers, *keys)
+    found = rows_at_ranks(metrics, keys + ["metric"], "amount", "CustomerID", _cut_ranks)
     cut = F.struct("amount", "CustomerID")
     return found.groupBy(*keys).agg(*[
         F.max(F.when((F.col("metric") == m) & (F.col("k") == k - 1), cut)).alias(f"{m}{k}")
@@ -96,10 +100,11 @@ def rank_cuts(customers: DataFrame, by: list[str], leaf_rows: int | None = None)
     ])
 
 
-def score_cuts(customers: DataFrame, by: list[str], leaf_rows: int | None = None) -> DataFrame:
+def score_cuts(customers: DataFrame, by: list[str]) -> DataFrame:
     """All twelve cut-offs, one row per group."""
     keys = by or [_WHOLE]
-    return recency_edges(customers, by).join(rank_cuts(customers, by, leaf_rows), keys)
+    sizes = customers.groupBy(*keys, "recency").agg(F.count(F.lit(1)).alias("size"))
+    return recency_edges(sizes, keys).join(rank_cuts(customers, by), keys)
 
 
 def _passed(conditions: list[Column]) -> Column:
@@ -138,11 +143,11 @@ def apply_cuts(customers: DataFrame, cuts: DataFrame, by: list[str]) -> DataFram
     )
 
 
-def with_scores(customers: DataFrame, leaf_rows: int | None = None) -> DataFrame:
+def with_scores(customers: DataFrame) -> DataFrame:
     """Scores over the whole table. `customers` is read more than once, so it should
     rest on a staged table, as `rfm_base` does; the result is a scan of it."""
     whole = customers.withColumn(_WHOLE, F.lit(1))
-    return apply_cuts(customers, score_cuts(whole, [], leaf_rows), [])
+    return apply_cuts(customers, score_cuts(whole, []), [])
 
 
 def with_total_and_segment(scored: DataFrame) -> DataFrame:
@@ -150,5 +155,5 @@ def with_total_and_segment(scored: DataFrame) -> DataFrame:
     return scored.withColumn("RFM_Score", total).withColumn("Segment", segment_name(F.col("RFM_Score")))
 
 
-def compute_rfm(transactions: DataFrame, leaf_rows: int | None = None) -> DataFrame:
-    return with_total_and_segment(with_scores(rfm_base(transactions), leaf_rows=leaf_rows))
+def compute_rfm(transactions: DataFrame) -> DataFrame:
+    return with_total_and_segment(with_scores(rfm_base(transactions)))

@@ -2,8 +2,9 @@
 
 A customer's standing changes only in months with a purchase. The staged table
 holds one row per such month with the running totals and the month of the next
-change; the row-per-month table is unfolded from it inside each task and is
-never itself shuffled to score it.
+change. The monthly cut-offs are counted from these changes (a standing enters a
+value cell in one month and leaves it in another), so the row-per-month table is
+unfolded once, inside tasks, to compare it with the cut-offs of its month.
 """
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,8 @@ from pyspark.sql.window import Window
 
 from tillroll.functions.dates import elapsed_days, month_end, month_start
 from tillroll.functions.scoring import SEGMENTS
-from tillroll.operators.rfm import apply_cuts, score_cuts, with_total_and_segment
+from tillroll.operators.month_ranks import entries_and_exits, rows_at_monthly_ranks, standing_in
+from tillroll.operators.rfm import QUINTILES, apply_cuts, ranked_amounts, recency_edges, with_total_and_segment
 from tillroll.sources.staging import stage
 
 # Limits of the power iteration and its closeness test.
@@ -70,11 +72,45 @@ def unfold_months(changes: DataFrame) -> DataFrame:
     )
 
 
-def monthly_segments(transactions: DataFrame, leaf_rows: int | None = None) -> DataFrame:
+def _monthly_recencies(changes: DataFrame, months: DataFrame) -> DataFrame:
+    """(Month, recency, size): standing customers by the day of their last purchase.
+
+    A month ends with its last microsecond, so the whole days to a purchase are those
+    to the start of its day.
+    """
+    days = entries_and_exits(changes.withColumn("day", F.to_date("last_purchase")), "day")
+    recency = elapsed_days(month_end(F.col("Month")), F.col("day").cast("timestamp_ntz"))
+    return (
+        days.join(F.broadcast(months), F.trunc("day", "month") <= F.col("Month"))
+        .select("Month", recency.alias("recency"), standing_in(F.col("Month")).alias("size"))
+        .filter(F.col("size") > 0)
+    )
+
+
+def _monthly_rank_cuts(changes: DataFrame) -> DataFrame:
+    """Per month the last (amount, customer) of each of the first four fifths of both metrics."""
+    amounts = ranked_amounts(changes, "from_month", "until_month")
+    found = rows_at_monthly_ranks(
+        amounts, "metric", "amount", "CustomerID",
+        lambda n: [(n - 1) * k // QUINTILES + 1 for k in range(1, QUINTILES)])
+    cut = F.struct("amount", "CustomerID")
+    return found.groupBy("Month").agg(*[
+        F.max(F.when((F.col("metric") == m) & (F.col("k") == k - 1), cut)).alias(f"{m}{k}")
+        for m in ("f", "m") for k in range(1, QUINTILES)])
+
+
+def monthly_cuts(changes: DataFrame) -> DataFrame:
+    """All twelve cut-offs, one row per month of the data."""
+    months = changes.select(F.col("from_month").alias("Month")).distinct()
+    edges = recency_edges(_monthly_recencies(changes, months), ["Month"])
+    return edges.join(_monthly_rank_cuts(changes), "Month")
+
+
+def monthly_segments(transactions: DataFrame) -> DataFrame:
     """Segment of every customer in every month of the data, scored on all
     purchases up to the end of that month."""
     changes = stage(standing_changes(transactions), "standing-changes")
-    cuts = score_cuts(unfold_months(changes), ["Month"], leaf_rows)
+    cuts = monthly_cuts(changes)
     # Customers are placed before their months are unfolded, so `next_segments` finds
     # each customer's months side by side without moving the long table.
     by_customer = unfold_months(changes.repartition("CustomerID"))
