@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.scoring import risk_level
 from tillroll.operators import churn, clv
+from tillroll.plans import inputs
 from tillroll.sources.staging import stage
 
 
@@ -115,9 +116,22 @@ def test_scores_cover_every_customer(fitted):
     assert 0.5 < auc <= best + 1e-9 and best - auc < 0.05
 
 
-def test_contributions_add_up(fitted):
+def test_fitted_model_is_evaluated_on_the_test_part(spark, folder):
+    split, model = inputs.churn_training(spark, folder)
+    test = churn.score_customers(split.filter("is_test"), model)
+    rows, churned = test.count(), test.filter("Churned = 1").count()
+    report = {r["class"]: r["support"] for r in churn.classification_report(test).collect()}
+    assert (report["accuracy"], report["Churned"]) == (rows, churned)
+    cells = churn.confusion_matrix(test).collect()
+    assert sum(r["predicted_churned"] + r["predicted_not_churned"] for r in cells) == rows
+    # The second call loads what the first one saved.
+    again = inputs.churn_training(spark, folder)[1]
+    assert again.uid == model.uid
+
+
+def test_contributions_add_up(spark, fitted):
     train, model = fitted
-    explained = churn.shap_values(train, churn.shapley_grid(train, model)).cache()
+    explained = churn.shap_values(train, churn.shapley_grid(train, churn.score_grid(spark, model))).cache()
     for row in explained.collect():
         assert row["base_value"] + row["shap_f"] + row["shap_m"] == pytest.approx(row["log_odds"])
     averages = explained.agg(F.avg("shap_f"), F.avg("log_odds") - F.first("base_value")).first()

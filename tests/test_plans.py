@@ -4,8 +4,9 @@ import re
 
 import pytest
 
-from tillroll.operators import cohorts, recommend, rfm, transitions
+from tillroll.operators import cohorts, profiling, recommend, rfm, transitions
 from tillroll.plans import inputs
+from tillroll.sources.staging import stage
 
 
 def plan(df):
@@ -37,6 +38,21 @@ def test_months_are_unfolded_without_moving_them(tables):
     assert "REPARTITION_BY_COL" in below
 
 
+def test_monthly_cut_offs_come_from_changes(tables):
+    changes = stage(transitions.standing_changes(tables[0]), "test-changes")
+    text = plan(transitions.monthly_cuts(changes))
+    assert "sequence(" not in text and "CustomerID" not in "".join(l for l in text.splitlines() if "Exchange" in l)
+
+
+def test_scores_rank_without_moving_rows(tables):
+    text = plan(rfm.compute_rfm(tables[0]))
+    assert "piece" not in text and "row_number" not in text
+
+
+def test_summary_multiplies_no_line(spark, folder):
+    assert "Expand" not in plan(profiling.dataset_summary(inputs.transactions(spark, folder)))
+
+
 def test_cohorts_move_customers_once(tables):
     text = plan(cohorts.cohort_counts(tables[0]))
     by_customer = [line for line in text.splitlines() if "Exchange hashpartitioning(CustomerID" in line]

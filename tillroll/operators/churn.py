@@ -114,7 +114,10 @@ def train_churn_model(train: DataFrame, seed: int = SEED) -> GBTClassificationMo
         maxIter=TREES, maxDepth=DEPTH, stepSize=LEARNING_RATE, seed=seed,
         minInstancesPerNode=1, subsamplingRate=1.0,
     )
-    return booster.fit(_vectors(weighted).cache())
+    vectors = _vectors(weighted).cache()
+    model = booster.fit(vectors)
+    vectors.unpersist()
+    return model
 
 
 def score_grid(spark: SparkSession, model: GBTClassificationModel) -> DataFrame:
@@ -135,9 +138,10 @@ def score_customers(rfm: DataFrame, model: GBTClassificationModel) -> DataFrame:
     return rfm.join(F.broadcast(grid), FEATURES)
 
 
-def prediction_grid(spark: SparkSession, model: GBTClassificationModel) -> DataFrame:
+def prediction_grid(grid: DataFrame) -> DataFrame:
+    """Rounded probability, risk and action of each score pair of a `score_grid`."""
     p = F.col("churn_prob")
-    return score_grid(spark, model).select(
+    return grid.select(
         F.col("`F-Score`").alias("f_score"), F.col("`M-Score`").alias("m_score"),
         F.round(p, 4).alias("churn_probability"),
         risk_level(p).alias("risk_level"), risk_action(p).alias("action"),
@@ -238,15 +242,14 @@ def feature_importance(spark: SparkSession, model: GBTClassificationModel) -> Da
     return spark.createDataFrame(list(zip(FEATURES, weights)), "feature string, importance double")
 
 
-def shapley_grid(train: DataFrame, model: GBTClassificationModel) -> DataFrame:
-    """Exact Shapley values of the log-odds for the 25 score pairs.
+def shapley_grid(train: DataFrame, grid: DataFrame) -> DataFrame:
+    """Exact Shapley values of the log-odds for the 25 score pairs of a `score_grid`.
 
     With two inputs there are four coalitions. A missing input is averaged over the
     training customers: v(F) over their M-Scores, v(M) over their F-Scores, and the
     base value over their pairs.
     """
     spark = train.sparkSession
-    grid = score_grid(spark, model)
     f, m = [F.col(f"`{c}`") for c in FEATURES]
     cells = train.groupBy(f, m).agg(F.count(F.lit(1)).alias("customers"))
     rows = F.sum("customers").over(Window.partitionBy())

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tillroll.operators.ranking import CELLS, local_table, value_cell
+from tillroll.operators.ranking import local_table, value_cell
 
+#: Cells a pass splits a stretch into: its table has one row per stretch, month and cell.
+CELLS = 256
 _BOUNDS = ["lo_value", "hi_value", "lo_tie", "hi_tie"]
 
 

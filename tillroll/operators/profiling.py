@@ -46,13 +46,20 @@ def cleaning_report(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 
 def dataset_summary(transactions: DataFrame) -> DataFrame:
-    return transactions.agg(
-        F.countDistinct("CustomerID").alias("customers"),
-        F.countDistinct("Invoice").alias("invoices"),
-        F.countDistinct("Description").alias("products"),
-        F.min("InvoiceDate").alias("first_date"),
-        F.max("InvoiceDate").alias("last_date"),
-        F.sum("TotalPrice").alias("total_revenue"),
+    """Lines shrink to one row per customer, invoice and product before anything is counted,
+    and each column is counted by itself, so no line is multiplied."""
+    parts = transactions.groupBy("CustomerID", "Invoice", "Description").agg(
+        F.min("InvoiceDate").alias("first_date"), F.max("InvoiceDate").alias("last_date"),
+        F.sum("TotalPrice").alias("spend"))
+
+    def different(column: str) -> Column:
+        return parts.groupBy(column).agg(F.count(F.lit(1))).agg(F.count(column)).scalar()
+
+    return (
+        parts.agg(F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
+                  F.sum("spend").alias("total_revenue"))
+        .select(different("CustomerID").alias("customers"), different("Invoice").alias("invoices"),
+                different("Description").alias("products"), "first_date", "last_date", "total_revenue")
     )
 
 

@@ -3,8 +3,14 @@ query must return. They run on the same Parquet tables in any engine with the
 usual analytic functions; ranks, quantiles and monthly totals are written out by
 definition rather than by the operators' way of computing them."""
 
-from tillroll.functions.dates import WEEKDAYS
-from tillroll.functions.scoring import RISK_ACTIONS, SEGMENTS
+# Labels as the results must spell them.
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+SEGMENTS = ["Champions", "Loyal", "At Risk", "Lost"]
+RISK_ACTIONS = {
+    "High": "Trigger immediate re-engagement campaign with discount offer",
+    "Medium": "Send personalised email with new product recommendations",
+    "Low": "Customer is healthy — maintain regular comms",
+}
 
 _RAW = """
 base AS (
@@ -142,6 +148,8 @@ COUNTERPARTS: dict[str, str] = {}
 
 COUNTERPARTS["source_load_parts"] = _raw(f"SELECT {_RAW_COLUMNS} FROM raw")
 COUNTERPARTS["source_read_transactions"] = _tx(f"SELECT {_TX_COLUMNS} FROM tx")
+_RISK = "(recency - (SELECT MIN(recency) FROM rfm)) / CAST((SELECT MAX(recency) - MIN(recency) FROM rfm) AS DOUBLE)"
+_FILE_COLUMNS += f', ROUND({_RISK}, 6) AS "Churn_Risk"'
 COUNTERPARTS["source_read_customers"] = _rfm(f"SELECT {_FILE_COLUMNS} FROM rfm")
 COUNTERPARTS["sink_write_transactions"] = _tx(f"SELECT {_TX_COLUMNS} FROM tx")
 COUNTERPARTS["sink_write_customers"] = _rfm(f"SELECT {_FILE_COLUMNS} FROM rfm")
@@ -187,7 +195,7 @@ COUNTERPARTS["date_hour_of_day"] = _bought(
 # The raw columns and their types as the query names them.
 _RAW_TYPES = [
     ("Invoice", "string"), ("StockCode", "string"), ("Description", "string"), ("Quantity", "bigint"),
-    ("InvoiceDate", "timestamp_ntz"), ("Price", "decimal(18,2)"), ("Customer ID", "double"), ("Country", "string"),
+    ("InvoiceDate", "timestamp_ntz"), ("Price", "decimal(18,6)"), ("Customer ID", "double"), ("Country", "string"),
 ]
 COUNTERPARTS["profile_missing_values"] = _raw("\nUNION ALL\n".join(
     f"""SELECT '{c}' AS "column", '{t}' AS "type", COUNT(*) AS "rows", COUNT(*) - COUNT("{c}") AS missing,
@@ -243,7 +251,6 @@ _CLIPPED = "\nUNION ALL\n".join(
     f"SELECT '{m}' AS metric, least(CAST({m} AS DOUBLE), (SELECT quantile_cont(CAST({m} AS DOUBLE), 0.99) FROM rfm)) AS value FROM rfm"
     for m in _METRICS)
 COUNTERPARTS["profile_rfm_histograms"] = _rfm(_histogram("clipped", "metric", 40, 4), f", clipped AS ({_CLIPPED})")
-_RISK = "(recency - (SELECT MIN(recency) FROM rfm)) / CAST((SELECT MAX(recency) - MIN(recency) FROM rfm) AS DOUBLE)"
 COUNTERPARTS["profile_churn_risk_histograms"] = _rfm(
     _histogram("risks", "Cluster_Name", 30, 6), f", risks AS (SELECT Cluster_Name, {_RISK} AS value FROM rfm)")
 COUNTERPARTS["profile_coverage_check"] = _rfm("""
@@ -362,6 +369,28 @@ SELECT CustomerID, recency, ROUND(frequency, 4) AS frequency, ROUND(monetary, 4)
 COUNTERPARTS["cluster_standardise"] = _rfm("SELECT CustomerID, " + ", ".join(
     f"ROUND((x.{m} - (SELECT AVG({m}) FROM capped)) / (SELECT stddev_pop({m}) FROM capped), 6) AS {m}_scaled"
     for m in _METRICS) + " FROM capped AS x", _CAPPED)
+_SCALED = _CAPPED + ", z AS (SELECT CustomerID, Cluster, " + ", ".join(
+    f"(x.{m} - (SELECT AVG({m}) FROM capped)) / (SELECT stddev_pop({m}) FROM capped) AS {m[0]}"
+    for m in _METRICS) + " FROM capped AS x JOIN rfm USING (CustomerID))"
+COUNTERPARTS["cluster_silhouette_stand_in"] = _rfm("""
+SELECT (SELECT COUNT(*) FROM centres) AS k, COUNT(*) AS customers,
+       ROUND(AVG(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM sides""", _SCALED + """,
+centres AS (
+  SELECT Cluster AS c, COUNT(*) AS n, AVG(r) AS cr, AVG(f) AS cf, AVG(m) AS cm, AVG(r * r + f * f + m * m) AS norm
+  FROM z GROUP BY 1),
+away AS (
+  SELECT CustomerID, c = Cluster AS own, n, r * r + f * f + m * m + norm - 2 * (r * cr + f * cf + m * cm) AS far
+  FROM z CROSS JOIN centres),
+sides AS (
+  SELECT CustomerID, MAX(n) FILTER (own) AS n, MAX(far * n / (n - 1)) FILTER (own) AS a, MIN(far) FILTER (NOT own) AS b
+  FROM away GROUP BY 1)""")
+# Eigenvalues of a symmetric matrix with ones on the diagonal, by the cubic's cosine form.
+COUNTERPARTS["cluster_pca_shares"] = _rfm("""
+SELECT ROUND((1 + 2 * p * cos(phi)) / 3, 6) AS explained_pc1,
+       ROUND((1 - 2 * p * cos(phi) - 2 * p * cos(phi + 2 * pi() / 3)) / 3, 6) AS explained_pc2
+FROM (SELECT p, acos(ab * ac * bc / pow(p, 3)) / 3 AS phi
+      FROM (SELECT *, sqrt((ab * ab + ac * ac + bc * bc) / 3) AS p
+            FROM (SELECT corr(r, f) AS ab, corr(r, m) AS ac, corr(f, m) AS bc FROM z)))""", _SCALED)
 COUNTERPARTS["cluster_means"] = _rfm("SELECT Cluster, " + ", ".join(
     f"ROUND(AVG(CAST({m} AS DOUBLE)), 2) AS {m}" for m in _METRICS) + " FROM rfm GROUP BY 1")
 COUNTERPARTS["cluster_names"] = _rfm("""
@@ -526,6 +555,32 @@ SELECT CustomerID, churn_prob, {_LEVEL} AS risk_level,
        ELSE '{RISK_ACTIONS["Low"]}' END AS action
 FROM rfm""")
 
+_ACTION = (f"CASE {_LEVEL} WHEN 'High' THEN '{RISK_ACTIONS['High']}' WHEN 'Medium' THEN '{RISK_ACTIONS['Medium']}' "
+           f"ELSE '{RISK_ACTIONS['Low']}' END")
+COUNTERPARTS["churn_stand_in_grid"] = _rfm(f"""
+SELECT DISTINCT f_score, m_score, churn_prob AS churn_probability, {_LEVEL} AS risk_level, {_ACTION} AS action FROM rfm""")
+_SHAP = _SPLIT + """, pairs AS (
+  SELECT f, m, (11 - f - m) / 10.0::DOUBLE AS p FROM (SELECT unnest(range(1, 6)) AS f) CROSS JOIN (SELECT unnest(range(1, 6)) AS m)),
+grid AS (SELECT f, m, ln(p / (1 - p)) AS log_odds FROM pairs),
+train AS (SELECT f_score, m_score FROM rfm JOIN split USING (CustomerID) WHERE NOT is_test),
+overall AS (SELECT AVG(log_odds) AS base_value FROM train JOIN grid ON f_score = f AND m_score = m),
+f_known AS (SELECT f, AVG(log_odds) AS v_f FROM grid JOIN train ON m_score = m GROUP BY 1),
+m_known AS (SELECT m, AVG(log_odds) AS v_m FROM grid JOIN train ON f_score = f GROUP BY 1),
+shap AS (
+  SELECT f AS f_score, m AS m_score, log_odds, base_value, (v_f - base_value + log_odds - v_m) / 2 AS shap_f,
+         (v_m - base_value + log_odds - v_f) / 2 AS shap_m
+  FROM grid JOIN f_known USING (f) JOIN m_known USING (m) CROSS JOIN overall)"""
+COUNTERPARTS["churn_stand_in_shap_values"] = _rfm("SELECT CustomerID, " + ", ".join(
+    f"ROUND({c}, 6) AS {c}" for c in ["base_value", "shap_f", "shap_m", "log_odds"])
+    + " FROM rfm JOIN shap USING (f_score, m_score)", _SHAP)
+COUNTERPARTS["churn_stand_in_mean_shap"] = _rfm("\nUNION ALL\n".join(
+    f"""SELECT '{c}-Score' AS feature, ROUND(AVG(abs(shap_{c.lower()})), 6) AS mean_abs_shap
+FROM rfm JOIN shap USING (f_score, m_score) JOIN split USING (CustomerID) WHERE is_test""" for c in "FM"), _SHAP)
+COUNTERPARTS["churn_stand_in_explanations"] = _rfm("""
+SELECT CustomerID, ROUND(1 / (1 + exp(-base_value)), 6) AS base_prob, ROUND(1 / (1 + exp(-log_odds)), 6) AS final_prob,
+       CASE WHEN log_odds > base_value THEN 'above' ELSE 'below' END AS direction
+FROM rfm JOIN shap USING (f_score, m_score)""", _SHAP)
+
 # ---- lifetime value -----------------------------------------------------------
 
 _LIFE = "least(1 / (1 - pow(1 - least(greatest(churn_prob, 0.01), 0.99), CAST(1 AS DOUBLE) / 12)), 60)"
@@ -548,7 +603,7 @@ COUNTERPARTS["clv_months_active"] = _rfm("SELECT CustomerID, ROUND(months_active
 COUNTERPARTS["clv_monthly_spend"] = _rfm(
     "SELECT CustomerID, ROUND(CAST(monetary AS DOUBLE) / months_active, 4) AS avg_monthly_spend FROM spent", _CLV)
 COUNTERPARTS["clv_scored_customers_only"] = _rfm(
-    f"SELECT {_HISTORY_COLUMNS} FROM history WHERE CustomerID IN (SELECT CustomerID FROM rfm WHERE Segment <> 'Lost')")
+    f"SELECT {_HISTORY_COLUMNS} FROM history WHERE CustomerID IN (SELECT CustomerID FROM split WHERE NOT is_test)", _SPLIT)
 COUNTERPARTS["clv_expected_months"] = _rfm(
     f"SELECT CustomerID, churn_prob, ROUND({_LIFE}, 6) AS expected_months FROM rfm")
 COUNTERPARTS["clv_table"] = _rfm(f"SELECT {_CLV_COLUMNS} FROM clv", _CLV)

@@ -4,12 +4,15 @@
 probability that SQL can state too; the fitted models have queries of their own.
 """
 
+import hashlib
+
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import churn, clusters, rfm
 from tillroll.sources import fixtures
-from tillroll.sources.staging import stage
+from tillroll.sources.staging import application_folder, exists, stage
 
 raw_transactions = fixtures.raw_transactions
 transactions = fixtures.transactions
@@ -41,19 +44,27 @@ def clustered_customers(tx: DataFrame) -> DataFrame:
     return clusters.fit_clusters(rfm.compute_rfm(tx))
 
 
-_trained = {}
-
-
 def churn_training(spark: SparkSession, folder: str):
     """Labelled customers with the split flag, staged, and the model fitted on the
-    training part; fitted once per application and data folder, since growing 100
-    trees takes the same time whatever the number of customers."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _trained:
-        labelled = churn.churn_label(rfm.compute_rfm(transactions(spark, folder)))
-        split = stage(churn.stratified_split(labelled), "split")
-        _trained[key] = split, churn.train_churn_model(split.filter(~F.col("is_test")))
-    return _trained[key]
+    training part. The model is saved under a digest of the weighted cells it was fitted
+    on, at most 50 rows, and loaded where the cells of the given data are the same."""
+    labelled = churn.churn_label(rfm.compute_rfm(transactions(spark, folder)))
+    split = stage(churn.stratified_split(labelled), "split")
+    train = split.filter(~F.col("is_test"))
+    cells = sorted(tuple(r) for r in churn.score_cells(train).collect())
+    path = f"{application_folder(spark)}/churn-model-{hashlib.sha256(repr(cells).encode()).hexdigest()}"
+    if exists(spark, path):
+        return split, GBTClassificationModel.load(path)
+    model = churn.train_churn_model(train)
+    model.save(path)
+    return split, model
+
+
+def stand_in_grid(spark: SparkSession) -> DataFrame:
+    """The stand-in probability and its log-odds of the 25 score pairs."""
+    pairs = [(f, m, (11 - f - m) / 10.0) for f in range(1, 6) for m in range(1, 6)]
+    grid = spark.createDataFrame(pairs, "`F-Score` int, `M-Score` int, churn_prob double")
+    return grid.withColumn("log_odds", F.log(F.col("churn_prob") / (1 - F.col("churn_prob"))))
 
 
 def plain(df: DataFrame) -> DataFrame:

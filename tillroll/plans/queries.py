@@ -81,8 +81,9 @@ def _write_transactions(spark, folder):
 def _customer_file(fmt):
     def build(spark, folder):
         path = staging_path(spark, f"customers-{fmt}")
-        files.write_customers(inputs.customers(inputs.transactions(spark, folder)), path, fmt)
-        return files.read_customers(spark, path, fmt).drop("Churn_Risk")
+        scored = clusters.churn_risk(inputs.customers(inputs.transactions(spark, folder)))
+        files.write_customers(scored, path, fmt)
+        return rounded(files.read_customers(spark, path, fmt), 6, "Churn_Risk")
 
     return build
 
@@ -227,13 +228,19 @@ _on_transactions("rfm_scores", rfm.compute_rfm)
 # ---- clusters -----------------------------------------------------------------
 
 
+_SHARES = ["explained_pc1", "explained_pc2"]
+
+
 def _clustered_vectors(spark, folder):
     base = rfm.rfm_base(inputs.transactions(spark, folder))
     return clusters.assign_clusters(base)
 
 
 def _silhouette(spark, folder):
-    assigned = _clustered_vectors(spark, folder)
+    return _silhouette_of(_clustered_vectors(spark, folder))
+
+
+def _silhouette_of(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy().agg(
         F.countDistinct("Cluster").alias("k"), F.count(F.lit(1)).alias("customers"),
         F.lit(clusters.silhouette(assigned)).alias("silhouette"))
@@ -245,6 +252,10 @@ _on_base("cluster_standardise", lambda c: rounded(
     clusters.standardise(c, clip=True).select("CustomerID", *clusters.SCALED), 6, *clusters.SCALED))
 _on_base("cluster_kmeans", lambda c: clusters.fit_clusters(c).select("CustomerID", "Cluster", "Cluster_Name"))
 _register("cluster_silhouette", _silhouette)
+_on_customers("cluster_silhouette_stand_in", lambda c: rounded(_silhouette_of(
+    clusters.with_features(c, clip=True)), 6, "silhouette"))
+_register("cluster_pca_shares", lambda spark, folder: rounded(clusters.pca_projection(
+    _clustered_vectors(spark, folder)).agg(*[F.max(s).alias(s) for s in _SHARES]), 6, *_SHARES))
 _on_customers("cluster_means", lambda c: rounded(clusters.cluster_means(c), 2, "recency", "frequency", "monetary"))
 _on_customers("cluster_names", lambda c: clusters.name_clusters(c.drop("Cluster_Name")).select(
     "CustomerID", "Cluster", "Cluster_Name"))
@@ -315,15 +326,29 @@ def _with_model(use):
 
 
 def _explained(spark, split, model):
-    grid = churn.shapley_grid(split.filter(~F.col("is_test")), model)
+    grid = churn.shapley_grid(split.filter(~F.col("is_test")), churn.score_grid(spark, model))
     return churn.shap_values(split, stage(grid, "shapley-grid"))
 
 
+def _scored_test(split, model):
+    return churn.score_customers(split.filter("is_test"), model)
+
+
 def _model_evaluation(spark, split, model):
-    test = stage(churn.score_customers(split.filter("is_test"), model), "scored-test")
+    test = stage(_scored_test(split, model), "scored-test")
     return churn.roc_auc(test).withColumn("customers", F.lit(test.count()))
 
 
+def _explained_stand_in(scored: DataFrame) -> DataFrame:
+    """Customers with contributions to the stand-in score, averaged over the training part."""
+    split = stage(churn.stratified_split(_labelled(scored)), "split")
+    grid = churn.shapley_grid(split.filter(~F.col("is_test")), inputs.stand_in_grid(scored.sparkSession))
+    return churn.shap_values(split, stage(grid, "shapley-grid"))
+
+
+_SHAP = ["base_value", "shap_f", "shap_m"]
+
+
 _on_base("churn_label", lambda c: _labelled(c).select("CustomerID", "recency", "Churned"))
 _on_base("churn_label_balance", lambda c: churn.label_balance(_labelled(c)))
 _on_base("churn_split", lambda c: churn.stratified_split(_labelled(c)).select(
@@ -333,7 +358,7 @@ _on_base("churn_class_weight", lambda c: rounded(churn.class_weight(
 _register("churn_model_evaluation", _with_model(_model_evaluation))
 _register("churn_model_scores", _with_model(lambda spark, split, model: churn.with_risk(
     churn.score_customers(split, model)).select("CustomerID", "F-Score", "M-Score", "churn_prob", "risk_level", "action")))
-_register("churn_score_grid", _with_model(lambda spark, split, model: churn.prediction_grid(spark, model)))
+_register("churn_score_grid", _with_model(lambda spark, split, model: churn.prediction_grid(churn.score_grid(spark, model))))
 _on_customers("churn_classification_report", lambda c: rounded(
     churn.classification_report(_labelled(c)), 6, "precision", "recall", "f1_score"))
 _on_customers("churn_confusion_matrix", lambda c: churn.confusion_matrix(_labelled(c)))
@@ -341,6 +366,21 @@ _on_customers("churn_roc_auc", lambda c: rounded(churn.roc_auc(_labelled(c)), 6,
 _on_customers("churn_roc_curve", lambda c: rounded(churn.roc_curve(_labelled(c)), 6, "threshold", "fpr", "tpr"))
 _register("churn_feature_importance", _with_model(
     lambda spark, split, model: churn.feature_importance(spark, model)))
+_register("churn_model_report", _with_model(
+    lambda spark, split, model: churn.classification_report(_scored_test(split, model))))
+_register("churn_model_confusion", _with_model(
+    lambda spark, split, model: churn.confusion_matrix(_scored_test(split, model))))
+_register("churn_model_roc_curve", _with_model(
+    lambda spark, split, model: churn.roc_curve(_scored_test(split, model))))
+_on_customers("churn_stand_in_grid", lambda c: c.select("F-Score", "M-Score").distinct().join(
+    churn.prediction_grid(inputs.stand_in_grid(c.sparkSession)),
+    (F.col("F-Score") == F.col("f_score")) & (F.col("M-Score") == F.col("m_score"))).drop("F-Score", "M-Score"))
+_on_customers("churn_stand_in_shap_values", lambda c: rounded(_explained_stand_in(c).select(
+    "CustomerID", *_SHAP, "log_odds"), 6, *_SHAP, "log_odds"))
+_on_customers("churn_stand_in_mean_shap", lambda c: rounded(churn.mean_absolute_shap(
+    _explained_stand_in(c).filter("is_test")), 6, "mean_abs_shap"))
+_on_customers("churn_stand_in_explanations", lambda c: rounded(churn.explain_customers(
+    _explained_stand_in(c)).select("CustomerID", "base_prob", "final_prob", "direction"), 6, "base_prob", "final_prob"))
 _register("churn_shap_values", _with_model(lambda spark, split, model: _explained(spark, split, model).select(
     "CustomerID", "base_value", "shap_f", "shap_m", "log_odds")))
 _register("churn_mean_absolute_shap", _with_model(
@@ -375,7 +415,7 @@ _on_transactions("clv_monthly_spend", lambda tx: rounded(
     clv.with_monthly_spend(clv.with_months_active(clv.spend_history(tx))).select("CustomerID", "avg_monthly_spend"),
     4, "avg_monthly_spend"))
 _on_both("clv_scored_customers_only", lambda tx, c: clv.scored_customers_only(
-    clv.spend_history(tx), c.filter(F.col("Segment") != "Lost")))
+    clv.spend_history(tx), churn.stratified_split(_labelled(c)).filter(~F.col("is_test"))))
 _on_customers("clv_expected_months", lambda c: rounded(c.select(
     "CustomerID", "churn_prob", clv.expected_months(F.col("churn_prob")).alias("expected_months")), 6, "expected_months"))
 _on_both("clv_table", lambda tx, c: rounded(rounded(_clv(tx, c), 4, *_CLV_FIGURES), 2, "predicted_clv"))

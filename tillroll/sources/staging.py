@@ -3,7 +3,8 @@
 Several operators read an intermediate result more than once (for instance to
 find score cut-offs and then to apply them). Writing it as Parquet cuts the
 lineage, survives the loss of executors, and lets each later pass read only the
-columns it needs.
+columns it needs. The tables of an application lie in one folder, which goes when its
+driver ends.
 """
 
 import tempfile
@@ -28,8 +29,27 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def application_folder(spark: SparkSession) -> str:
+    """Folder for the tables of this application; its file system removes it at the end."""
+    path = f"{shared_folder(spark)}/tillroll/{spark.sparkContext.applicationId}"
+    files, place = _file_system(spark, path)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tillroll/{label}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
