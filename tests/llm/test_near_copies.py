@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from tillroll.llm import decontamination, ngram_join, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,6 +58,24 @@ def test_join_matches_brute_force(docs):
     assert sorted((tuple(r) for r in got), key=str) == components(rows)
 
 
+def test_join_of_long_sets_with_sketches_of_several_sizes(docs):
+    texts = [t for seed, size in enumerate((2200, 4600, 4600)) for t in mutated(seed + 50, 12, size, 2 + size // 40)]
+    rows = list(enumerate(texts))
+    random.Random(4).shuffle(rows)
+    assert {len(ngram_join._sketch(np.arange(n, dtype=np.uint64))) for n in (0, 2048, 2049, 4097)} == {16, 32, 64}
+    got = ngram_join.near_duplicate_components(docs(rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == components(rows)
+
+
+def test_sketches_tell_long_unlike_sets_apart(docs, spark):
+    near, other = mutated(60, 2, 4300, 20), mutated(61, 1, 4000, 2)
+    nodes = {r.doc_id: r for r in ngram_join.shingle_nodes(docs(list(enumerate(near + other)))).collect()}
+    sketches = spark.createDataFrame([(r.node, r.n_shingles, r.sketch) for r in nodes.values()], "node long, n long, sketch array<long>")
+    a, b, c = (nodes[k].node for k in range(3))
+    pairs = spark.createDataFrame([(a, b), (a, c), (b, c)], "a long, b long")
+    assert [tuple(r) for r in ngram_join._near(pairs, sketches).collect()] == [(a, b)]
+
+
 def test_join_of_odd_rows(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = ngram_join.near_duplicate_components(odd).collect()

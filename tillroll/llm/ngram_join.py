@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import map_batches, meeting_route, small_side, staged
@@ -32,7 +32,7 @@ from tillroll.llm.words import batches_of, constants, mix, routes, shingle_sets,
 
 #: Links need 100 * overlap >= PERCENT * union; the bands and blocks below are derived from it.
 PERCENT = 80
-#: 64-bit words of a parity sketch.
+#: 64-bit words of a parity sketch; sets of more than 128 shingles a word get twice, four times, ... as many.
 SKETCH = 16
 #: Pivots that a row is multiplied with before the remaining pairs are formed.
 PIVOTS = 3
@@ -66,6 +66,18 @@ def _node(own: np.ndarray) -> np.ndarray:
     return mix(np.array([total % 2**64], _U))[0]
 
 
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """Bit k says whether the number of shingles with hash k is odd, for hashes below a power of two.
+
+    The sketch grows with the set, since one with far fewer bits than shingles is as good as random.
+    """
+    bits = 64 * SKETCH
+    while 2 * bits < len(own):
+        bits *= 2
+    place = (mix(own ^ _U(_KEY)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _keys(own: np.ndarray) -> np.ndarray:
     band = int(np.searchsorted(_BANDS, len(own), "right")) - 1
     out = []
@@ -94,15 +106,14 @@ _KEYS_SQL = "key long, node long, n int, route int"
 def _emit_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, _U)
-        bits = np.zeros((batch.num_rows, 64 * SKETCH), np.uint8)
+        sketches = []
         for low, _, found in words(batch.column(1), fold=True):
             for k, own in enumerate(shingle_sets(found), low):
                 sizes[k], nodes[k] = len(own), _node(own)
-                place = (mix(own ^ _U(_KEY)) % _U(64 * SKETCH)).astype(np.int64)
-                bits[k] = np.bincount(place, minlength=64 * SKETCH) & 1
+                sketches.append(_sketch(own))
         node = pa.array(nodes.view(np.int64), mask=sizes == 0)
-        flat = np.packbits(bits, axis=1).view(np.int64).ravel()
-        sketch = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * SKETCH, pa.array(flat))
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in sketches]))).astype(np.int32)
+        sketch = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), node, sketch], schema=_NODES)
 
 
@@ -134,8 +145,7 @@ def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shingle_nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node, sketch): the size of each document's set, a 64-bit name of the set
-    (equal sets have equal names; null for an empty set), and its parity sketch: bit k says
-    whether the number of shingles with hash k is odd."""
+    (equal sets have equal names; null for an empty set), and its parity sketch."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return map_batches(texts, _emit_nodes, _NODES_SQL)
 
@@ -155,17 +165,30 @@ def shared_keys(docs: DataFrame) -> DataFrame:
     return staged(kept.select("key", "node", "n").distinct(), "shared")
 
 
+def _folded(sketch: Column, size: Column | int) -> Column:
+    """The sketch over `size` words, a half, a quarter, ... of its own: hashes alike in their last bits fall together."""
+    parts = F.sequence(F.lit(0), (F.size(sketch) / size).cast("int") - 1)
+    def word(k: Column) -> Column:
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda x, part: x.bitwiseXOR(F.get(sketch, part * size + k)))
+    return F.transform(F.sequence(F.lit(0), F.lit(size) - 1), word)
+
+
 def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose sketches allow a link.
 
     Each shingle in which two sets differ flips one bit, so the sketches differ in no more bits.
+    Of sketches of different lengths the longer is folded.
     """
     def side(end: str) -> DataFrame:
         return sketches.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
 
-    flipped = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH)), F.lit(0))
+    size = F.least(F.size("sa"), F.size("sb"))
+    alike = [F.when(F.size(s) == size, F.col(s)).otherwise(_folded(F.col(s), size)) for s in ("sa", "sb")]
+    flips = F.zip_with(*alike, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    flipped = F.aggregate(flips, F.lit(0), lambda x, y: x + y)
     close = (100 + PERCENT) * flipped <= (100 - PERCENT) * (F.col("na") + F.col("nb"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").filter(close).select("a", "b").distinct()
+    sizes = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    return pairs.join(side("b"), "b").join(side("a"), "a").filter(sizes & close).select("a", "b").distinct()
 
 
 def _links(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -203,7 +226,9 @@ def _pivot_pairs(shared: DataFrame) -> DataFrame:
 def _remaining_pairs(shared: DataFrame, sketches: DataFrame) -> DataFrame:
     """All pairs of nodes with different labels that share a block and whose sketches allow a link."""
     open_keys = shared.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    rows = shared.select("key", "node", "comp").join(open_keys.select("key"), "key").join(sketches, "node")
+    short = sketches.select("node", "n", F.when(F.size("sketch") == SKETCH, F.col("sketch")).otherwise(
+        _folded(F.col("sketch"), SKETCH)).alias("sketch"))
+    rows = shared.select("key", "node", "comp").join(open_keys.select("key"), "key").join(short, "node")
     words_of = [f"w{k}" for k in range(SKETCH)]
     rows = rows.select("key", "node", "n", "comp", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words_of)))
     a, b = rows.alias("a"), rows.alias("b")
@@ -212,7 +237,8 @@ def _remaining_pairs(shared: DataFrame, sketches: DataFrame) -> DataFrame:
         (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp"))
         & ((100 + PERCENT) * flipped <= (100 - PERCENT) * (F.col("a.n") + F.col("b.n")))
     )
-    return a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    pairs = a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    return _near(pairs, sketches)
 
 
 def link_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
