@@ -34,6 +34,26 @@ def test_main_text(page, text):
     assert html_text.main_text(page, WEIGHTS) == text
 
 
+LONG = " ".join(f"word{k}" for k in range(60))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div><p>{LONG}</p></div><article class='comment-body'><p>a nice post</p></article><article class='comment-body'>yes</article></body>",
+    f"<body><div><p>{LONG}</p></div><article><p>nice</p></article><article><p>yes</p></article></body>",
+    f"<body><script>var a = '<article>';</script><!-- <main> --><div data-a='<article>'><p>{LONG}</p></div></body>",
+    f"<body><ul title='role=main'><li>menu</ul><div><p>{LONG}</p></div></body>",
+    f"<body><article class='card'><h3>Other</h3></article><div><p>{LONG}</p></div><article class='card'><h3>Next</h3></article></body>",
+])
+def test_article_elements_beside_the_text(page):
+    assert html_text.main_text(page, WEIGHTS) == LONG
+
+
+def test_marked_and_unmarked_pages_give_the_same_run():
+    for name in ("article", "div"):
+        page = f"<body><{name}><p>{LONG}</p></{name}><section><p>{LONG}</p></section></body>"
+        assert html_text.main_text(page, WEIGHTS) == f"{LONG}\n\n{LONG}"
+
+
 def test_pages_keep_other_columns(spark):
     rows = [(k, "u", p, "old") for k, (p, _) in enumerate(PAGES)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

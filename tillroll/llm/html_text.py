@@ -1,10 +1,12 @@
 """Main text of web pages as the maximum-scoring run of tokens.
 
 A page is a sequence of words and tags. Words score positive and tags negative, with weights
-learned from labelled pages: those that mark their article with an article or main element.
-A tag weighs the more the rarer it is inside marked articles, and a word that such a page has
-outside them counts against. One linear scan finds the run with the largest sum. Scripts, menus
-and other elements that never hold the article's text count as a single tag and give no text.
+learned from labelled pages: those with one article or main element that holds words. A tag
+weighs the more the rarer it is inside them. One linear scan finds the run with the largest
+sum; it looks at the same weights on every page, and article elements are a tag like others.
+Only a main element bounds the scan, as a page has one and says by it what is its content.
+Scripts, menus and other elements that never hold the article's text count as a single tag and
+give no text.
 """
 
 from __future__ import annotations
@@ -56,7 +58,6 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)?|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_MARKED = re.compile(r"<(?:article|main)\b|\brole\s*=\s*[\"']?(?:main|article)\b", re.I)
 _CLOSES_P = BLOCKS - {"html", "body", "head"}
 _ALONE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
@@ -82,21 +83,34 @@ def _leaves_out(name: str, rest: str, in_article: bool) -> bool:
     return False
 
 
+def _mark(name: str, rest: str) -> str:
+    """`article` or `main`, by the name of an element or its role, else nothing."""
+    roles = ["".join(v).lower() for key, *v in _ATTRIBUTE.findall(rest) if key.lower() == "role"] if "role" in rest.lower() else []
+    return next((x for x in [*roles, name] if x in ("article", "main")), "")
+
+
 @dataclass
 class Page:
-    """Tokens of a page: (weight class, words, text, block); tags have no text."""
+    """Tokens of a page: (word or /name of a tag, words, text, block, element that marks them); tags
+    have no text. `marks` counts the outermost article and main elements that hold words, `left` the
+    tags within what is left out."""
 
-    tokens: list[tuple[str, int, str | None, int]] = field(default_factory=list)
-    marked: bool = False
+    tokens: list[tuple[str, int, str | None, int, str]] = field(default_factory=list)
+    marks: int = 0
+    left: Counter = field(default_factory=Counter)
 
 
 def read(page: str) -> Page:
-    """The tokens of a page. Classes are `in`, `out` (a marked page, inside or outside its article)
-    and `any` for words, /name for tags, and /in for all tags inside a marked article; what is
-    left out shows as its tags only."""
-    out = Page(marked=bool(_MARKED.search(page)))
-    stack: list[tuple[str, bool, bool]] = []  # name, left out, article
-    hidden = inside = block = 0
+    """The tokens of a page. What is left out shows as its first tag only. Tokens are marked `main`
+    inside a main element, else `article` inside an article element, else not."""
+    out = Page()
+    stack: list[tuple[str, bool, str]] = []  # name, left out, mark
+    hidden = block = 0
+    inside, filled = {"": 0, "article": 0, "main": 0}, False
+
+    def mark() -> str:
+        return "main" if inside["main"] else "article" if inside["article"] else ""
+
     end = 0
     match = _TOKEN.match(page, end)
     while match:
@@ -107,79 +121,78 @@ def read(page: str) -> Page:
             if not hidden and not text.startswith(("<!", "<?")):
                 text = html.unescape(text)
                 count = len(text.split())
-                kind = ("in" if inside else "out") if out.marked else "any"
-                out.tokens.append((kind, count, text, block))
+                out.marks += bool(count and mark() and not filled)
+                filled = bool(mark()) and (filled or count > 0)
+                out.tokens.append(("word", count, text, block, mark()))
         else:
             name, rest = name.lower(), match["rest"] or ""
             if match["close"]:
                 block += name in BLOCKS
+                left = False
                 if any(x[0] == name for x in reversed(stack)):
                     while True:
-                        was, left, article = stack.pop()
+                        was, left, marks = stack.pop()
                         hidden -= left
-                        inside -= article
+                        inside[marks] -= 1
                         if was == name:
                             break
-                if not hidden:
-                    out.tokens.append(("/in" if inside else "/" + name, 0, None, block))
+                    filled = filled and bool(mark())
+                if hidden or left:
+                    out.left["/" + name] += 1
+                else:
+                    out.tokens.append(("/" + name, 0, None, block, mark()))
             else:
                 block += name in BLOCKS
                 if name == "body" or name in _CLOSES_P:
                     while stack and (stack[-1][0] == "p" or name == "body" and stack[-1][0] == "head"
                                      or name in _ALONE and stack[-1][0] == name):
-                        _, left, article = stack.pop()
+                        _, left, marks = stack.pop()
                         hidden -= left
-                        inside -= article
-                if not hidden:
-                    out.tokens.append(("/in" if inside else "/" + name, 0, " " if name == "br" else None, block))
+                        inside[marks] -= 1
+                if hidden:
+                    out.left["/" + name] += 1
+                else:
+                    out.tokens.append(("/" + name, 0, " " if name == "br" else None, block, mark()))
                 if name in RAW:
                     close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)|\Z", re.I).search(page, end)
                     end = close.end()
                 elif name not in VOID and not rest.rstrip().endswith("/"):
-                    left = _leaves_out(name, rest, inside > 0)
-                    article = not left and (name in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(?:main|article)\b", rest, re.I)))
-                    stack.append((name, left, article))
+                    left = _leaves_out(name, rest, mark() != "")
+                    stack.append((name, left, "" if left or hidden else _mark(name, rest)))
                     hidden += left
-                    inside += article
+                    inside[stack[-1][2]] += 1
         match = _TOKEN.match(page, end) if end < len(page) else None
     return out
 
 
 @dataclass
 class Weights:
-    """What a word or tag of each class adds to the sum of a run."""
+    """What a word and a tag of each name add to the sum of a run."""
 
-    by_class: dict[str, float]
+    by_tag: dict[str, float]
     tag: float = -0.5
     word: float = 1.0
 
     def of(self, kind: str, words: int) -> float:
-        if kind[0] == "/":
-            return self.by_class.get(kind, self.tag)
-        return words * self.by_class.get(kind, self.word if kind != "out" else -self.word)
+        return self.by_tag.get(kind, self.tag) if kind[0] == "/" else words * self.word
 
 
 def learn(pages: list[str]) -> Weights:
-    """Weights from labelled pages: logarithms of how often a class occurs inside marked articles
-    against outside, kept positive for words of articles and negative for tags."""
+    """Weights from labelled pages: logarithms of how often a word or tag occurs inside the marked
+    element against outside, kept positive for words and negative for tags."""
     inside, outside = Counter(), Counter()
     for page in pages:
         found = read(page)
-        if not found.marked:
-            continue
-        spans = [k for k, t in enumerate(found.tokens) if t[0] == "in"]
-        if not spans:
+        if found.marks != 1:
             continue
-        first, last = spans[0], spans[-1]
-        for k, (kind, words, _, _) in enumerate(found.tokens):
-            side = inside if kind == "/in" or first <= k <= last else outside
-            side["word" if kind[0] != "/" else kind] += words if kind[0] != "/" else 1
+        for kind, words, _, _, mark in found.tokens:
+            (inside if mark else outside)[kind] += words if kind == "word" else 1
+        outside.update(found.left)
     if not inside["word"]:
         return Weights({})
-    ratio = {k: math.log((inside[k] + 1) / (outside[k] + 1)) for k in {*inside, *outside}}
+    ratio = {k: math.log((inside[k] + 1) / (outside[k] + 1)) for k in {*inside, *outside, "word"}}
     word = min(3.0, max(0.5, ratio.pop("word")))
-    weights = {k: max(-3.0, min(-0.1, v)) for k, v in ratio.items()}
-    return Weights(weights | {"in": word, "any": word, "out": -word}, word=word, tag=-word / 2)
+    return Weights({k: max(-3.0, min(-0.1, v)) for k, v in ratio.items()}, word=word, tag=-word / 2)
 
 
 def main_text(page: str | None, weights: Weights) -> str:
@@ -187,17 +200,19 @@ def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     tokens = read(page).tokens
+    if any(words and mark == "main" for _, words, _, _, mark in tokens):
+        tokens = [t for t in tokens if t[4] == "main"]
     best = total = 0.0
     begin, span = 0, (0, 0)
-    for k, (kind, words, _, _) in enumerate(tokens):
+    for k, (kind, words, _, _, _) in enumerate(tokens):
         total += weights.of(kind, words)
         if total <= 0:
             total, begin = 0.0, k + 1
         elif total > best:
             best, span = total, (begin, k + 1)
     blocks: dict[int, list[str]] = {}
-    for kind, _, text, block in tokens[span[0] : span[1]]:
-        if text is not None and kind != "out":
+    for _, _, text, block, _ in tokens[span[0] : span[1]]:
+        if text is not None:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(line for line in lines if line)
