@@ -3,9 +3,10 @@ from datetime import date
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.functions.scoring import SEGMENTS
-from tillroll.operators import transitions
+from tillroll.operators import month_ranks, transitions
 
 
 def test_customers_stay_in_every_later_month(make_transactions):
@@ -58,6 +59,23 @@ def test_equals_month_by_month_scoring(make_transactions, monkeypatch, cells):
     assert found == month_by_month(rows)
 
 
+@pytest.mark.parametrize("same_amount", [False, True])
+def test_one_invoice_each_equals_month_by_month_scoring(make_transactions, same_amount):
+    rng = random.Random(9)
+    rows = [(c, f"i{c}", f"2010-{rng.choice([1, 2, 4]):02d}-{rng.randint(1, 28):02d} 10:15:00", 5 if same_amount else rng.randint(1, 900))
+            for c in range(1, 701)]
+    found = {tuple(r) for r in transitions.monthly_segments(make_transactions(rows)).collect()}
+    assert found == month_by_month(rows)
+
+
+def test_lost_ranks_raise(spark, monkeypatch):
+    rows = [("f", 1, c, date(2010, 1, 1), None) for c in range(600)]
+    standings = spark.createDataFrame(rows, "metric string, amount long, id long, from_month date, until_month date")
+    monkeypatch.setattr(month_ranks, "standing_in", lambda month: F.lit(0))
+    with pytest.raises(ValueError):
+        month_ranks.rows_at_monthly_ranks(standings, "metric", "amount", "id", lambda n: [n // 2])
+
+
 def matrix(spark, rows):
     return spark.createDataFrame([(s, *map(float, r)) for s, r in zip(SEGMENTS, rows)],
                                  "Segment string, " + ", ".join(f"`{s}` double" for s in SEGMENTS))

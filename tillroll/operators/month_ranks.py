@@ -95,7 +95,7 @@ def rows_at_monthly_ranks(
     placed = standings.join(outer, group)
     placed = placed.withColumn("top", F.when(
         F.col("all_lo_value") < F.col("all_hi_value"), value_cell(placed, value, "all_lo_value", "all_hi_value", cells)
-    ).otherwise(0))
+    ).when(F.col("all_lo_tie") < F.col("all_hi_tie"), value_cell(placed, tie, "all_lo_tie", "all_hi_tie", cells)).otherwise(0))
     found, first = [], True
     while pending:
         found += [t for t in pending if t["lo_value"] == t["hi_value"] and t["lo_tie"] == t["hi_tie"]]
@@ -123,8 +123,11 @@ def rows_at_monthly_ranks(
             .withColumn("left", F.col("left") - F.col("through") + F.col("size"))
         )
         top = F.col("top") if not first else F.col("cell")
+        before = {(t[group], t["Month"], t["k"]) for t in pending}
         pending = [r.asDict() for r in hit.select(
             group, "Month", "k", "left", top.cast("bigint").alias("top"), *_BOUNDS).collect()]
+        if {(t[group], t["Month"], t["k"]) for t in pending} != before:
+            raise ValueError(f"some wanted ranks of {value} are in no cell")
         first = False
     answers = [t | {value: t["lo_value"], tie: t["lo_tie"]} for t in found]
     fields |= {value: kinds[value], tie: kinds[tie]}
