@@ -156,6 +156,23 @@ def test_pseudonyms_keep_formats_and_links(docs):
     assert pii.pseudonymise(docs(rows), "another").collect()[0].text != got[1].text
 
 
+def test_ibans_before_short_words_and_numbers_in_false_ones(docs):
+    rows = [(1, "AT611904300234573201 BIC"), (2, "BE68 5390 0754 7034 EUR"), (3, "ES9121000418450200051332 USA"),
+            (4, "AB12 4111 1111 1111 1111"), (5, "DE12 3456 AT61 1904 3002 3457 3201 X"), (6, "GB82 4111 1111 1111 1111 22"),
+            (7, "GB82 WEST 1234 5698 7654 32, PL61109010140000071219812874 OK")]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(rows)).collect()}
+    hits = {k: [(f.kind, f.hit) for f in r.found] for k, r in got.items()}
+    assert hits == {
+        1: [("iban", "AT611904300234573201")], 2: [("iban", "BE68 5390 0754 7034")], 3: [("iban", "ES9121000418450200051332")],
+        4: [("number", "4111 1111 1111 1111")], 5: [("iban", "AT61 1904 3002 3457 3201")], 6: [("number", "4111 1111 1111 1111")],
+        7: [("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "PL61109010140000071219812874")]}
+    for (key, text) in rows:
+        for f in got[key].found:
+            text = text.replace(f.hit, f.pseudonym)
+            assert f.hit != f.pseudonym and len(f.hit) == len(f.pseudonym)
+        assert got[key].text == text
+
+
 def test_number_networks_are_permutations(spark):
     rows = spark.range(35).select(pii.permute_number(F.col("id"), 5, 7, "k", "t").alias("x")).collect()
     assert sorted(r.x for r in rows) == list(range(35))

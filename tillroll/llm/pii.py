@@ -26,17 +26,39 @@ ROUNDS = 8
 # Java patterns of the kinds, in the order in which they are tried.
 _START, _STOP = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# Length of the IBAN by country: the registry, and countries that use the form without being in it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Fours of letters and digits, as many as the country has: a following word is never taken along."""
+    forms = []
+    for size, countries in sorted(IBAN_LENGTHS.items()):
+        fours, rest = divmod(size - 4, 4)
+        forms.append(f"(?:{'|'.join(countries.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    return f"{_START}(?:{'|'.join(forms)}){_STOP}"
+
+
 KINDS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "ip": f"{_START}(?<!\\.){_OCTET}(?:\\.{_OCTET}){{3}}{_STOP}(?!\\.[0-9])",
     "date": f"{_START}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{2}}[./-][0-9]{{2}}[./-][0-9]{{4}}){_STOP}",
-    "iban": f"{_START}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_STOP}",
+    "iban": _iban_pattern(),
     "ssn": f"{_START}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_STOP}",
     "phone": f"(?:(?<![\\p{{L}}\\p{{N}}_+])\\+[0-9]{{1,3}}[ .-]?(?:\\([0-9]{{3}}\\) ?|[0-9]{{3}}[ .-]?)|(?<![\\p{{L}}\\p{{N}}_(])\\([0-9]{{3}}\\) ?|{_START}[0-9]{{3}}[ .-])[0-9]{{3}}[ .-]?[0-9]{{4}}{_STOP}",
     "number": f"{_START}(?:[0-9]{{12,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_STOP}",
     "secret": f"{_START}(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}){_STOP}",
 }
-ANY = "|".join(KINDS.values())
+#: The kinds before and after IBANs, of which only those with the right check digits are searched.
+_BEFORE, _AFTER = (
+    "|".join(v for k, v in KINDS.items() if k != "iban" and (list(KINDS).index(k) < list(KINDS).index("iban")) == first)
+    for first in (True, False))
 
 
 def _draw(key: str, tweak: str, turn: Column, other: Column, at: Column | int = 0) -> Column:
@@ -119,10 +141,23 @@ def _mod97(value: Column) -> Column:
         c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
 
 
+def _valid_iban(value: Column) -> Column:
+    return _mod97(F.concat(F.substr(value, F.lit(5)), F.left(value, F.lit(4)))) == 1
+
+
+def _pattern(text: Column) -> Column:
+    """What to search for in a text: the kinds, with the valid IBANs of the text in place of all that
+    look like one, so that a false one hides neither a number within it nor an IBAN that begins there."""
+    shaped = F.when(text.rlike("[A-Z]{2}[0-9]{2}"), F.regexp_extract_all(text, F.lit(f"(?=({KINDS['iban']}))"), F.lit(1)))
+    valid = F.filter(F.array_distinct(shaped), lambda x: _valid_iban(F.regexp_replace(x, " ", "")))
+    return F.when(F.size(valid) > 0, F.concat(
+        F.lit(f"{_BEFORE}|{_START}(?:"), F.array_join(valid, "|"), F.lit(f"){_STOP}|{_AFTER}"))).otherwise(F.lit(f"{_BEFORE}|{_AFTER}"))
+
+
 def _iban(hit: Column, key: str) -> Column:
     def made(value: Column) -> Column:
         country, body = F.left(value, F.lit(2)), F.substr(value, F.lit(5))
-        valid = _mod97(F.concat(body, F.left(value, F.lit(4)))) == 1
+        valid = _valid_iban(value)
         new = let(permute_text(body, key, "iban"), lambda b: F.concat(
             country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
         return F.when(valid, _refill(hit, new, "[A-Z0-9]"))
@@ -223,10 +258,12 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, column: str = "text") ->
     keep their length, but for IP addresses (1 to 3 digits a part). Every row gets its result. An existing column found is replaced.
     """
     text = F.col(column).cast("string")
-    searched = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    rows = docs.drop("found").withColumn("found", F.transform(
-        F.coalesce(searched, F.array().cast("array<string>")),
+    searched = F.when(text.rlike("[0-9@]"), let(_pattern(text), lambda p: F.struct(
+        F.regexp_extract_all(text, p, F.lit(0)).alias("hits"), F.split(text, p, -1).alias("between"))))
+    rows = docs.drop("found").withColumn("found", searched)
+    between = "_between_"
+    rows = rows.withColumn(between, F.col("found.between")).withColumn("found", F.transform(
+        F.coalesce("found.hits", F.array().cast("array<string>")),
         lambda hit: let(_kind(hit), lambda kind: F.struct(kind.alias("kind"), hit.alias("hit"), pseudonym(kind, hit, key).alias("pseudonym")))))
-    between = F.split(text, ANY, -1)
     woven = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("found")), F.col("found"), lambda a, x: F.concat(a, x["pseudonym"])), ""), F.element_at(between, -1))
-    return rows.withColumn(column, F.when(F.size("found") > 0, woven).otherwise(text))
+    return rows.withColumn(column, F.when(F.size("found") > 0, woven).otherwise(text)).drop(between)
