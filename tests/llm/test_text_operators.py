@@ -173,6 +173,37 @@ def test_ibans_before_short_words_and_numbers_in_false_ones(docs):
         assert got[key].text == text
 
 
+PHONES = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 123456", "+34 612 345 678", "+44 (0)20 7946 0958", "+4930123456", "+352 27 12 34 56",
+          "01 23 45 67 89", "01.23.45.67.89", "612 345 678", "91 123 45 67", "030 123456", "(030) 123456", "0170/1234567", "020 7946 0958",
+          "+1 (017) 555-7713", "(017) 555-7713", "+353-1-234-5678"]
+DATES = ["1/2/2020", "01.2.1999", "3.4.21", "31/12/99", "2021-3-4", "29.2.00", "12/31/98", "1-1-2001"]
+
+
+def test_phones_and_dates_of_other_groupings(docs):
+    rows = [(k, f"x {hit}, 2023-01-05 y") for k, hit in enumerate(PHONES)] + [(100 + k, f"on {hit}.") for k, hit in enumerate(DATES)]
+    rows += [(200, "+44 20 7946 0958 2023-01-05"), (201, "1.2.3.4.5 and 1/2 and 45.13.20 and 3.14")]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(rows)).collect()}
+    for k, hit in enumerate(PHONES):
+        phone, day = got[k].found
+        assert (phone.kind, phone.hit, day.kind) == ("phone", hit, "date")
+        assert phone.pseudonym != hit and re.sub("[0-9]", "0", phone.pseudonym) == re.sub("[0-9]", "0", hit)
+    for k, hit in enumerate(DATES):
+        (day,) = got[100 + k].found
+        assert (day.kind, day.hit) == ("date", hit) and day.pseudonym != hit
+        assert re.sub("[0-9]+", "0", day.pseudonym) == re.sub("[0-9]+", "0", hit)
+        assert got[100 + k].text == f"on {day.pseudonym}."
+    digits = lambda k: re.sub("[^0-9]", "", got[k].found[0].pseudonym)
+    assert digits(0)[2:] == digits(4)[3:] == digits(14)[1:] and digits(1)[2:] == digits(7)[1:] and digits(2) == digits(5)
+    assert [f.kind for f in got[200].found] == ["phone", "date"] and got[200].found[0].pseudonym == got[0].found[0].pseudonym
+    assert got[201].text == rows[-1][1]
+
+
+def test_days_stay_different(docs):
+    rows = [(k, f"{k % 28 + 1}.{k // 28 % 12 + 1}.{k // 336:02d}") for k in range(2000)]
+    got = pii.pseudonymise(docs(rows)).collect()
+    assert len({r.text for r in got}) == 2000 and all(re.fullmatch(r"\d{1,2}\.\d{1,2}\.\d\d", r.text) for r in got)
+
+
 def test_number_networks_are_permutations(spark):
     rows = spark.range(35).select(pii.permute_number(F.col("id"), 5, 7, "k", "t").alias("x")).collect()
     assert sorted(r.x for r in rows) == list(range(35))

@@ -5,8 +5,9 @@ numbers, phone numbers, other numbers of 12 to 19 digits (payment cards where th
 agrees) and hexadecimal secrets. Each kind has a domain, and a Feistel network keyed with a
 secret permutes it: a value becomes another valid value of the kind, written with the same
 separators, the same one wherever it occurs, and different values stay different. Letters and
-digits of a string are permuted within their class; dates within 1800 to 2199; check digits are
-made anew. Without a valid date, check sum or area the text counts as a plain number, if that
+digits of a string are permuted within their class; dates within 1800 to 2199, those with a year
+of two digits within a century of their own; check digits are made anew. Of a phone number the
+subscriber's digits change; country code and the 0 that starts a national number stay. Without a valid date, check sum or area the text counts as a plain number, if that
 fits, or stays.
 """
 
@@ -45,14 +46,33 @@ def _iban_pattern() -> str:
     return f"{_START}(?:{'|'.join(forms)}){_STOP}"
 
 
+_NUMBER = "(?:[0-9]{12,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})"
+# Dates with one-digit days or months or years of two digits: one separator, and no more parts than three.
+_SHORT_DATE = "(?<![0-9][./-])(?:{})(?![./-][0-9])".format("|".join(
+    f"[0-9]{{4}}{x}[0-9]{{1,2}}{x}[0-9]{{1,2}}|[0-9]{{1,2}}{x}[0-9]{{1,2}}{x}(?:[0-9]{{4}}|[0-9]{{2}})" for x in ("\\.", "/", "-")))
+# A further digit of an international number; a date or long number after a space isn't taken along.
+_MORE = f"(?:(?! (?:{_NUMBER}|{_SHORT_DATE}){_STOP})(?:[ ./-]|[ .-]?\\(|\\)[ .-]?)?[0-9])"
+_TRUNK = "(?:[ .-]?\\(0\\))?"
+_NORTH_AMERICAN = f"(?:(?<![\\p{{L}}\\p{{N}}_+])\\+[0-9]{{1,3}}[ .-]?(?:\\([0-9]{{3}}\\) ?|[0-9]{{3}}[ .-]?)|(?<![\\p{{L}}\\p{{N}}_(])\\([0-9]{{3}}\\) ?|{_START}[0-9]{{3}}[ .-])[0-9]{{3}}[ .-]?[0-9]{{4}}"
+# The usual lengths of the languages handled come first, then any of 7 to 14 digits after the code.
+_INTERNATIONAL = (
+    f"(?<![\\p{{L}}\\p{{N}}_+])\\+(?:1{_MORE}{{10}}|3[34]{_TRUNK}{_MORE}{{9}}|44{_TRUNK}{_MORE}{{9,10}}|[1-9]{_MORE}{{7,16}}){_STOP}")
+# National groupings of France, Spain, Britain, and Germany.
+_NATIONAL = f"(?<![\\p{{L}}\\p{{N}}_+])(?<![0-9][.,/-])(?!{_NUMBER}{_STOP})(?:" + "|".join((
+    "0[1-9](?:[ .-]?[0-9]{2}){4}",
+    "[6-9][0-9]{2}(?:[ .-][0-9]{3}){2}", "[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}", "[89][0-9][ .-][0-9]{3}(?:[ .-][0-9]{2}){2}",
+    "(?:02[0-9]|\\(02[0-9]\\)) ?[0-9]{4}[ -]?[0-9]{4}", "(?:0[1-9][0-9]{2}|\\(0[1-9][0-9]{2}\\)) ?[0-9]{3}[ -]?[0-9]{4}",
+    "(?:0[1-9][0-9]{3}|\\(0[1-9][0-9]{3}\\)) ?[0-9]{3}[ -]?[0-9]{3}",
+    "(?:0[1-9][0-9]{1,4}(?:[ /-]| [/-] )|\\(0[1-9][0-9]{1,4}\\)[ /-]?)(?:[0-9]{4,9}(?:-[0-9]{1,4})?|[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3})",
+)) + ")"
 KINDS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "ip": f"{_START}(?<!\\.){_OCTET}(?:\\.{_OCTET}){{3}}{_STOP}(?!\\.[0-9])",
-    "date": f"{_START}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{2}}[./-][0-9]{{2}}[./-][0-9]{{4}}){_STOP}",
+    "date": f"{_START}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{2}}[./-][0-9]{{2}}[./-][0-9]{{4}}|{_SHORT_DATE}){_STOP}",
     "iban": _iban_pattern(),
     "ssn": f"{_START}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_STOP}",
-    "phone": f"(?:(?<![\\p{{L}}\\p{{N}}_+])\\+[0-9]{{1,3}}[ .-]?(?:\\([0-9]{{3}}\\) ?|[0-9]{{3}}[ .-]?)|(?<![\\p{{L}}\\p{{N}}_(])\\([0-9]{{3}}\\) ?|{_START}[0-9]{{3}}[ .-])[0-9]{{3}}[ .-]?[0-9]{{4}}{_STOP}",
-    "number": f"{_START}(?:[0-9]{{12,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_STOP}",
+    "phone": f"(?:{_INTERNATIONAL}|{_NORTH_AMERICAN}{_STOP}|{_NATIONAL}{_STOP})",
+    "number": f"{_START}{_NUMBER}{_STOP}",
     "secret": f"{_START}(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}){_STOP}",
 }
 #: The kinds before and after IBANs, of which only those with the right check digits are searched.
@@ -166,25 +186,37 @@ def _iban(hit: Column, key: str) -> Column:
 
 
 def _date(hit: Column, key: str) -> Column:
+    """Written with zeros before one digit unless the hit has a part of one digit."""
+    parts = F.split(hit, "[./-]")
+    sizes = [F.length(F.get(parts, k)) for k in range(3)]
+    separators = [F.substr(hit, sizes[0] + 1, F.lit(1)), F.substr(hit, sizes[0] + sizes[1] + 2, F.lit(1))]
+    short, century = (sizes[0] == 1) | (sizes[1] == 1) | (sizes[2] == 1), (sizes[0] < 4) & (sizes[2] == 2)
+
     def parsed(order: str) -> Column:
-        # A separator is one character: it stands at a fixed place in either order.
-        year, month, day = {
-            "ymd": ((1, 4), (6, 2), (9, 2)), "dmy": ((7, 4), (4, 2), (1, 2)), "mdy": ((7, 4), (1, 2), (4, 2))}[order]
-        text = F.concat_ws("-", *(F.substring(hit, *x) for x in (year, month, day)))
+        year, month, day = (F.get(parts, order.index(x)) for x in "ymd")
+        text = F.concat_ws("-", F.when(century, F.concat(F.lit("20"), year)).otherwise(year), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
         return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
 
+    def within(day: Column, first: str, left: int, right: int, tweak: str) -> Column:
+        start = F.lit(first).cast("date")
+        new = F.date_add(start, permute_number(F.datediff(day, start).cast("long"), left, right, key, tweak).cast("int"))
+        return F.when(day.between(start, F.date_add(start, left * right - 1)), new)
+
     def written(order: str) -> Column:
-        def put(day: Column) -> Column:
-            number = F.datediff(day, F.lit("1800-01-01").cast("date"))
-            # 400 years have 146097 = 189 * 773 days.
-            new = F.date_add(F.lit("1800-01-01").cast("date"), permute_number(number.cast("long"), 189, 773, key, "date").cast("int"))
-            pattern = {"ymd": "yyyyMMdd", "dmy": "ddMMyyyy", "mdy": "MMddyyyy"}[order]
-            inside = day.between(F.lit("1800-01-01").cast("date"), F.lit("2199-12-31").cast("date"))
-            return F.when(inside, _refill(hit, F.date_format(new, pattern)))
+        def put(new: Column) -> Column:
+            def part(x: str) -> Column:
+                if x == "y":
+                    return F.date_format(new, "yyyy") if order[0] == "y" else F.when(century, F.date_format(new, "yy")).otherwise(F.date_format(new, "yyyy"))
+                x = x.replace("m", "M")
+                return F.when(short, F.date_format(new, x)).otherwise(F.date_format(new, 2 * x))
+
+            return F.concat(part(order[0]), separators[0], part(order[1]), separators[1], part(order[2]))
 
-        return let(parsed(order), put)
+        # 400 years have 146097 = 189 * 773 days, this century has 36525 = 75 * 487.
+        return let(parsed(order), lambda day: let(
+            F.when(century, within(day, "2000-01-01", 75, 487, "century")).otherwise(within(day, "1800-01-01", 189, 773, "date")), put))
 
-    return F.when(hit.rlike("^[0-9]{4}"), written("ymd")).otherwise(F.coalesce(written("dmy"), written("mdy")))
+    return F.when(sizes[0] == 4, written("ymd")).otherwise(F.coalesce(written("dmy"), written("mdy")))
 
 
 def _number(hit: Column, key: str) -> Column:
@@ -216,9 +248,14 @@ def _ssn(hit: Column, key: str) -> Column:
 
 
 def _phone(hit: Column, key: str) -> Column:
+    """The digits after the country code or the 0 of a national number, permuted."""
     def made(value: Column) -> Column:
-        code = F.left(value, F.length(value) - 10)
-        return _refill(hit, F.concat(code, permute_text(F.right(value, F.lit(10)), key, "phone")))
+        code = F.when(value.rlike("^[17]"), 1).when(
+            value.rlike("^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), 2).otherwise(3)
+        trunk = hit.rlike("^\\+[0-9]{1,3}[ .-]?\\(0\\)").cast("int")
+        national = (value.startswith("0") & ~hit.rlike(f"^{_NORTH_AMERICAN}$")).cast("int")
+        return let(F.when(hit.startswith("+"), code + trunk).otherwise(national), lambda n: _refill(
+            hit, F.concat(F.left(value, n), permute_text(F.substr(value, n + 1), key, "phone"))))
 
     return let(_digits(hit), made)
 
@@ -255,7 +292,7 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, column: str = "text") ->
     """docs with `column` rewritten and a column found, an array of (kind, hit, pseudonym).
 
     A null text stays null with nothing found; one without digits and @ isn't searched. Values
-    keep their length, but for IP addresses (1 to 3 digits a part). Every row gets its result. An existing column found is replaced.
+    keep their length, but for IP addresses (1 to 3 digits a part) and dates without zeros before one digit. Every row gets its result. An existing column found is replaced.
     """
     text = F.col(column).cast("string")
     searched = F.when(text.rlike("[0-9@]"), let(_pattern(text), lambda p: F.struct(
