@@ -1,6 +1,7 @@
 import random
 import re
 import string
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -110,6 +111,21 @@ def test_notices(odd, docs):
     assert all(r.licences == [] for r in licences.scan(odd).collect())
 
 
+def test_notices_over_lines_within_lines_and_full_texts(docs):
+    full = dict(licences.full_texts())
+    mit = next(b for n, b in licences.TEMPLATES if n == "MIT" and "hereby" in b)
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in\ncompliance with the License."
+    other = "\n".join(f"def f{k}(x): return x + {k} and some other words" for k in range(40))
+    rows = [(1, f"{other}\n# " + "\n# ".join(textwrap.wrap(mit, 60)) + f"\n{other}"),
+            (2, "A book that has a first sentence. This work is licensed under the GNU General Public License, version 3. It goes on after that at some length."),
+            (3, full["MIT"]), (4, f"Copyright of somebody\n\n{full['BSD-3-Clause']}"), (5, full["Apache-2.0"]), (6, full["GPL-3.0"]),
+            (7, f"{other}\n# {apache}\n{other}"), (8, f"x = 1  # SPDX-License-Identifier: GPL-2.0\n{other}"), (9, other)]
+    got = {r.doc_id: [(h.licence, h.unit) for h in r.licences] for r in licences.scan(docs(rows)).collect()}
+    assert got[1] == [("MIT", -41)] and got[2] == [("GPL-3.0", -1)] and got[3] == [("MIT", -1)] and got[4] == [("BSD-3-Clause", -3)]
+    assert {n for n, _ in got[5]} == {"Apache-2.0"} and "GPL-3.0" in {n for n, _ in got[6]}
+    assert {n for n, _ in got[7]} == {"Apache-2.0"} and got[8] == got[9] == []
+
+
 def brute_quality(text):
     found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     wins = [tuple(found[k:k + 5]) for k in range(len(found) - 4)]
