@@ -85,6 +85,17 @@ def test_archives_round_trip(spark, tmp_path):
                    (5, 0, "response", None), (6, 1514, "response", None), (None, 1500, "revisit", 2)}
 
 
+def test_equal_pages_are_captures_of_their_own(spark, tmp_path):
+    big = "a" * 1500
+    rows = [(1, "u", "x")] * 3 + [(2, "u", big)] * 2 + [(1, "v", big)] * 2 + [(None, None, None)] * 2 + [(4, "w", "y")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "equal"))
+    found = warc.captures(warc.read(spark, str(tmp_path / "equal")))
+    assert found.filter("request IS NULL OR size(metadata) <> 1").count() == 0
+    got = sorted(str((r.page_id, r.payload_bytes, r.record_type, r.refers_to)) for r in warc.digest_rows(found).collect())
+    want = [(1, 1, "response", None)] * 3 + [(2, 1500, "response", None)] * 2 + [(1, 1500, "revisit", 2)] * 2
+    assert got == sorted(map(str, [*want, (None, 0, "response", None), (None, 0, "response", None), (4, 1, "response", None)]))
+
+
 def test_empty_archives(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
     assert warc.captures(warc.read(spark, str(tmp_path / "none"))).collect() == []

@@ -14,8 +14,9 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillroll.llm.common import map_batches, small_side, staged
 
@@ -34,12 +35,26 @@ _RECORDS_SQL = (
     "http_head string, payload binary, payload_bytes long, payload_digest string, declared_digest string")
 
 
-def _record_id(kind: str, page_id: str, url: str, digest: str):
-    """A name that follows from the page alone, so that a task run again writes the same record."""
+def _record_id(kind: str, page_id: str, url: str, digest: str, number: Column):
+    """A name that follows from the page and its number among equal ones alone, so that a task run
+    again writes the same record."""
     parts = [F.coalesce(F.col(page_id).cast("string"), F.lit("-")), F.coalesce(F.col(url), F.lit("-")), F.col(digest)]
+    parts.append(F.when(number > 1, number.cast("string")))
     return F.concat(F.lit("<urn:sha1:"), F.sha1(F.concat_ws("\n", F.lit(kind), *parts)), F.lit(">"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with number, which counts equal rows from 1. Only rows that may have an equal are moved."""
+    key = F.xxhash64("page_id", "url", "payload")
+    several = staged(rows.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "repeats")
+    if several.isEmpty():
+        return rows.withColumn("number", F.lit(1))
+    keyed, several = rows.withColumn("key", key), small_side(several, DIGEST_ROWS)
+    equal = keyed.join(several, "key", "left_semi").withColumn(
+        "number", F.row_number().over(Window.partitionBy("page_id", "url", "digest").orderBy("size")))
+    return keyed.join(several, "key", "left_anti").withColumn("number", F.lit(1)).unionByName(equal).drop("key")
+
+
 def _record(kind: str, headers: dict, block) -> F.Column:
     """One record without its closing line ends; headers whose value is null are left out."""
     lines = [F.lit("WARC/1.1"), F.lit(f"WARC-Type: {kind}")]
@@ -53,13 +68,15 @@ def write(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> No
 
     The payload is html in UTF-8, empty if null. Of rows with equal payloads of at least
     DEDUP_BYTES bytes the one with the largest page_id (of those the largest url) is a response,
-    the others are revisits of it; a null page_id is the smallest. A null url gives no target.
+    the others are revisits of it; a null page_id is the smallest. A null url gives no target. Each
+    of several equal rows is a capture of its own, of the kind of the first.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.regexp_replace(F.col("url").cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
+    rows = _numbered(rows)
     # Only digests that several rows have; the count and the largest row combine inside tasks.
     shared = (
         rows.filter(F.col("size") >= DEDUP_BYTES).groupBy("digest")
@@ -69,7 +86,7 @@ def write(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> No
     rows = rows.join(small_side(staged(shared, "digests"), DIGEST_ROWS), "digest", "left")
     again = F.col("best_id").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("best_id")) & F.col("url").eqNullSafe(F.col("best_url")))
     rows = rows.withColumn("again", again & (F.col("size") >= DEDUP_BYTES))
-    capture, target = _record_id("capture", "page_id", "url", "digest"), F.col("url")
+    capture, target = _record_id("capture", "page_id", "url", "digest", F.col("number")), F.col("url")
     common = {"WARC-Date": F.lit(date), "WARC-Target-URI": target}
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
@@ -80,14 +97,14 @@ def write(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> No
     revisit = _record("revisit", {
         "WARC-Record-ID": capture, **common, "WARC-Payload-Digest": digest, "Content-Type": F.lit(http + "response"),
         "WARC-Profile": F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-        "WARC-Refers-To": _record_id("capture", "best_id", "best_url", "digest"),
+        "WARC-Refers-To": _record_id("capture", "best_id", "best_url", "digest", F.lit(1)),
     }, head)
     request = _record("request", {
-        "WARC-Record-ID": _record_id("request", "page_id", "url", "digest"), **common, "WARC-Concurrent-To": capture,
+        "WARC-Record-ID": _record_id("request", "page_id", "url", "digest", F.col("number")), **common, "WARC-Concurrent-To": capture,
         "Content-Type": F.lit(http + "request"),
     }, F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")))
     metadata = _record("metadata", {
-        "WARC-Record-ID": _record_id("metadata", "page_id", "url", "digest"), **common, "WARC-Concurrent-To": capture,
+        "WARC-Record-ID": _record_id("metadata", "page_id", "url", "digest", F.col("number")), **common, "WARC-Concurrent-To": capture,
         "Content-Type": F.lit("application/warc-fields"),
     }, F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")))
     records = rows.select(F.explode(F.array(request, F.when(F.col("again"), revisit).otherwise(response), metadata)).alias("value"))
