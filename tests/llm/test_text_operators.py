@@ -55,6 +55,22 @@ def test_marked_and_unmarked_pages_give_the_same_run():
         assert html_text.main_text(page, WEIGHTS) == f"{LONG}\n\n{LONG}"
 
 
+def test_sample_has_no_page_twice(spark, monkeypatch):
+    different = [f"<article>{k} words</article>" for k in range(30)]
+    monkeypatch.setattr(html_text, "SAMPLE_PAGES", 20)
+    monkeypatch.setattr(html_text, "learn", lambda pages: pages)
+    for copied in different[:4]:
+        rows = [(p,) for p in [copied] * 60 + different]
+        got = html_text.learn_from(spark.createDataFrame(rows, "html string").repartition(7))
+        assert len(got) == len(set(got)) == 20
+        assert got == html_text.learn_from(spark.createDataFrame([(p,) for p in different], "html string"))
+
+
+def test_tags_count_on_both_sides():
+    weights = html_text.learn(["<body>" + "<p>x</p>" * 5 + "<article>" + "<p>some words</p>" * 5 + "</article></body>"] * 9)
+    assert weights.of("/p", 0) == -0.1 and weights.of("/article", 0) < -2
+
+
 def test_pages_keep_other_columns(spark):
     rows = [(k, "u", p, "old") for k, (p, _) in enumerate(PAGES)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -219,13 +219,16 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def learn_from(pages: DataFrame) -> Weights:
-    """Weights from at most SAMPLE_PAGES pages that mark their article, chosen by a hash."""
-    marked = pages.select(F.col("html").cast("string").alias("html")).filter(F.col("html").rlike(r"(?i)<(?:article|main)\b"))
+    """Weights from at most SAMPLE_PAGES different pages that may mark their article, those with the
+    smallest hashes."""
+    marked = pages.select(F.col("html").cast("string").alias("html")).filter(
+        F.col("html").rlike(r"(?i)<(?:article|main)\b|\brole\s*=\s*[\"']?(?:main|article)\b"))
     drawn = marked.withColumn("draw", F.xxhash64("html"))
-    count = drawn.count()
-    share = int(2**20 * min(1, 1.3 * SAMPLE_PAGES / max(count, 1))) + 1
-    rows = sorted((r["draw"], r["html"]) for r in drawn.filter(F.pmod("draw", F.lit(2**20)) < share).limit(2 * SAMPLE_PAGES).collect())
-    return learn([page for _, page in rows[:SAMPLE_PAGES]])
+    draws = [r["draw"] for r in drawn.select("draw").distinct().orderBy("draw").limit(SAMPLE_PAGES).collect()]
+    if not draws:
+        return learn([])
+    rows = drawn.filter(F.col("draw") <= draws[-1]).groupBy("draw").agg(F.min("html").alias("html")).collect()
+    return learn([page for _, page in sorted((r["draw"], r["html"]) for r in rows)])
 
 
 def extract(pages: DataFrame, weights: Weights, column: str = "html") -> DataFrame:
