@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, decontamination, html_text, langid, licences, ngram_join, pii, quality, substring_dedup, warc
+from tillroll.llm import (
+    bpe, decontamination, html_text, infill, langid, licences, ngram_join, pii, piece_bpe, quality, substring_dedup, turn_repair, warc,
+)
 from tillroll.llm.common import table
 from tillroll.llm.counterparts import COUNTERPARTS
 from tillroll.sources.staging import staging_path
@@ -70,9 +72,30 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.transform(table(spark, folder, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.report(table(spark, folder, "conversations"))
+
+
+def op13_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = piece_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path, decoded=True)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_html_extraction, op2_licence_scan, op3_quality_rules, op4_language_id, op5_pii_pseudonyms, op6_decontamination,
-        op7_substring_dedup, op8_warc_round_trip, op9_ngram_jaccard_join, op10_bpe_round_trip)
+        op7_substring_dedup, op8_warc_round_trip, op9_ngram_jaccard_join, op10_bpe_round_trip,
+        op11_fill_in_middle, op12_conversation_repair, op13_sentencepiece_round_trip)
 }
 ORACLES = dict(COUNTERPARTS)
