@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -61,6 +62,38 @@ def test_evaluation_equals_brute_force(make_transactions, clusters, seed, k):
     assert {r["CustomerID"]: (r["held_out"], r["hits"]) for r in found.collect()} == brute_force(rows, names, k)
 
 
+def test_a_hold_out_of_many_products(make_transactions, clusters):
+    """More than a thousand products held out at once, next to customers who share one product."""
+    rng = random.Random(9)
+    rows = [(1, "old", "2010-01-01 10:00:00", rng.randint(1, 90), f"p{i}") for i in range(0, 1500, 2)]
+    rows += [(1, "new", "2010-01-02 10:00:00", rng.randint(1, 90), f"p{i}") for i in range(1300)]
+    for c in range(2, 60):
+        rows += [(c, f"a{c}", "2010-01-01 10:00:00", rng.randint(1, 9), f"p{rng.randint(0, 1600)}"),
+                 (c, f"b{c}", "2010-01-03 10:00:00", rng.randint(1, 9), rng.choice(["p3", "p5", f"p{rng.randint(0, 1600)}"]))]
+    names = dict.fromkeys(range(1, 60), "x")
+    for k in (10, 400):
+        found = recommend.holdout_hits(make_transactions(rows), clusters(names), k)
+        assert {r["CustomerID"]: (r["held_out"], r["hits"]) for r in found.collect()} == brute_force(rows, names, k)
+
+
+def test_no_task_holds_a_cluster(spark, make_transactions, clusters):
+    """Without automatic broadcasts no join is keyed by the cluster (or cluster and rank) alone, no window by it."""
+    rows = [(c, f"{c}-{d}", f"2010-01-{d:02d}", 3, f"p{(c + d) % 5}") for c in range(1, 9) for d in (1, 2)]
+    tx, table = make_transactions(rows), clusters({c: "x" for c in range(1, 9)})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = recommend.holdout_hits(tx, table, 3)
+        text = hits._jdf.queryExecution().executedPlan().toString()
+        assert hits.count() == 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    joins = [line for line in text.splitlines() if "Join [" in line]
+    assert windows and not [w for w in windows if re.search(r", \[Cluster_Name#\d+\], \[", w)]
+    assert joins and not [j for j in joins if re.search(r"Join \[Cluster_Name#\d+(, rank#\d+)?\]", j)]
+
+
 def test_customer_whose_list_is_empty_is_skipped(make_transactions, clusters):
     tx = make_transactions([(1, "a", "2010-01-01", 5, "Postage"), (1, "b", "2010-02-01", 5, "lamp")])
     assert recommend.holdout_hits(tx, clusters({1: "x"}), 3).count() == 0

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from tillroll.functions.ratios import percent, ratio
 from tillroll.functions.scoring import risk_action, risk_level
 from tillroll.operators.ranking import rows_at_ranks
+from tillroll.operators.running import running_totals
+from tillroll.sources.staging import stage
 
 # Days without purchase that count as churn, share of the test set,
 # seed, model inputs, and the boosted trees' size.
@@ -208,16 +210,19 @@ def classification_report(scored: DataFrame) -> DataFrame:
 
 
 def score_counts(scored: DataFrame) -> DataFrame:
-    """Labels per distinct score, with the counts at strictly higher scores. The
-    model gives at most 25 distinct scores, so the window is small."""
+    """Labels per distinct score, with the counts at this and all higher scores.
+
+    Scores are sorted by ranges, so any number of distinct ones is summed up over all tasks.
+    """
     per_score = scored.groupBy("churn_prob").agg(
         F.sum("Churned").alias("pos"), F.sum(1 - F.col("Churned")).alias("neg"))
-    down = Window.orderBy(F.desc("churn_prob"))
-    every = Window.partitionBy()
-    return per_score.select(
+    above = stage(running_totals(
+        per_score, [], [F.desc("churn_prob")], {"pos_above": "pos", "neg_above": "neg"}, "scores-in-order"), "score-counts")
+    whole = above.agg(F.sum("pos"), F.sum("neg")).first()
+    return above.select(
         "churn_prob", "pos", "neg",
-        F.sum("pos").over(down).alias("pos_through"), F.sum("neg").over(down).alias("neg_through"),
-        F.sum("pos").over(every).alias("pos_all"), F.sum("neg").over(every).alias("neg_all"),
+        (F.col("pos_above") + F.col("pos")).alias("pos_through"), (F.col("neg_above") + F.col("neg")).alias("neg_through"),
+        F.lit(whole[0]).cast("bigint").alias("pos_all"), F.lit(whole[1]).cast("bigint").alias("neg_all"),
     )
 
 

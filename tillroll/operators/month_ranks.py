@@ -2,8 +2,9 @@
 
 A standing holds from `from_month` to before `until_month` (NULL: to the end). Counting
 it once where it begins and once, negatively, where it ends gives the number standing in
-every month without a row per month: at most two events per standing, combined in tasks
-to one number per value cell and month.
+every month without a row per month. One table of (group, cell, month, entered minus left)
+holds these counts for cells of the value range; the cell that holds a wanted rank of a month is
+read off it for all months at once, and the rank is settled among the rows of that cell.
 """
 
 from collections.abc import Callable
@@ -14,43 +15,87 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tillroll.operators.ranking import local_table, value_cell
+from tillroll.operators.ranking import local_table, position, sketch
+from tillroll.sources.staging import stage
 
-#: Cells a pass splits a stretch into: its table has one row per stretch, month and cell.
-CELLS = 256
-_BOUNDS = ["lo_value", "hi_value", "lo_tie", "hi_tie"]
+#: Edges passed on each of the three levels on which the cell of a value is found.
+FAN = 16
+CELLS = FAN**3
 
 
-def entries_and_exits(standings: DataFrame, *keys: str, **extremes: Column) -> DataFrame:
-    """One row per key with `events`: (month, entered minus left); at most one per month.
-    `extremes` are minima or maxima (aggregated twice, first per key and month)."""
+def entries_and_exits(standings: DataFrame, *keys: str) -> DataFrame:
+    """(keys, month, delta): entered minus left, summed inside each task first."""
     both = F.array(
         F.struct(F.col("from_month").alias("month"), F.lit(1).alias("delta")),
         F.struct(F.col("until_month").alias("month"), F.lit(-1).alias("delta")))
-    pick = {name: F.min if name.startswith("lo_") else F.max for name in extremes}
     return (
-        standings.select(*keys, *[c.alias(n) for n, c in extremes.items()], F.explode(both).alias("event"))
-        .filter(F.col("event.month").isNotNull())
-        .groupBy(*keys, F.col("event.month").alias("month"))
-        .agg(F.sum("event.delta").alias("delta"), *[f(n).alias(n) for n, f in pick.items()])
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("month", "delta")).alias("events"), *[f(n).alias(n) for n, f in pick.items()])
+        standings.select(*keys, F.inline(both)).filter(F.col("month").isNotNull())
+        .groupBy(*keys, "month").agg(F.sum("delta").alias("delta"))
     )
 
 
+def standing_by_month(events: DataFrame, *keys: str) -> DataFrame:
+    """One row per key with `events`: an array of (month, delta)."""
+    return events.groupBy(*keys).agg(F.collect_list(F.struct("month", "delta")).alias("events"))
+
+
 def standing_in(month: Column) -> Column:
     """Number standing in a month, from `events`."""
     past = F.filter("events", lambda e: e["month"] <= month)
     return F.aggregate(past, F.lit(0).cast("bigint"), lambda n, e: n + e["delta"])
 
 
-def _spans(targets: list[dict], group: str) -> list[dict]:
-    """Targets that look into the same stretch of values share a span number."""
-    numbers = {}
-    for target in targets:
-        stretch = tuple(target[c] for c in [group, "top", *_BOUNDS])
-        target["span"] = numbers.setdefault(stretch, len(numbers))
-    return targets
+def _levels(marks: list[float]) -> dict:
+    """Edges of the cells as nested arrays: every FAN**2th, every FANth, all of them. NaN is never passed."""
+    edges = [float("-inf"), *sorted(set(marks[1:-1]))]
+    edges += [float("nan")] * (CELLS - len(edges))
+    return {
+        "level1": edges[:: FAN * FAN],
+        "level2": [edges[k : k + FAN * FAN : FAN] for k in range(0, len(edges), FAN * FAN)],
+        "level3": [edges[k : k + FAN] for k in range(0, len(edges), FAN)],
+    }
+
+
+def _passed(edges: Column, place: Column) -> Column:
+    """Index of the last edge not above a place."""
+    return F.size(F.filter(edges, lambda x: (x <= place) & ~F.isnan(x))) - 1
+
+
+def with_cells(standings: DataFrame, group: str, value: str, tie: str, cells: int) -> tuple[DataFrame, set]:
+    """`standings` with `cell`, and the (group, month) in which someone enters.
+
+    Cells are cut at the marks of one sketch per group, so they hold about equally many standings.
+    Order of cells is order of (value, tie).
+    """
+    spark = standings.sparkSession
+    place = position(standings, value, tie)
+    found = standings.groupBy(group).agg(
+        sketch(place, cells).alias("marks"), F.collect_set("from_month").alias("months")).collect()
+    doubles = T.ArrayType(T.DoubleType())
+    schema = T.StructType([
+        standings.schema[group], T.StructField("level1", doubles), T.StructField("level2", T.ArrayType(doubles)),
+        T.StructField("level3", T.ArrayType(doubles))])
+    edges = local_table(spark, [{group: r[group]} | _levels(r["marks"]) for r in found], schema)
+    placed = standings.withColumn("_at", place).join(F.broadcast(edges), group)
+    placed = placed.withColumn("_one", _passed(F.col("level1"), F.col("_at")))
+    placed = placed.withColumn("_two", F.col("_one") * FAN + _passed(F.col("level2")[F.col("_one")], F.col("_at")))
+    cell = F.col("_two") * FAN + _passed(F.col("level3")[F.col("_two")], F.col("_at"))
+    return placed.select(*standings.columns, cell.alias("cell")), {(r[group], m) for r in found for m in r["months"]}
+
+
+def _wanted(events: DataFrame, group: str, entered: set, ranks: Callable[[int], list[int]]) -> list[tuple]:
+    """(group, month, k, rank) for the months of the data: those in which someone of any group enters."""
+    months = {m for _, m in entered}
+    changes: dict = {}
+    for r in events.groupBy(group, "month").agg(F.sum("delta").alias("delta")).collect():
+        changes.setdefault(r[group], []).append((r["month"], r["delta"]))
+    wanted = []
+    for name, some in changes.items():
+        some.sort()
+        for month, n in zip((m for m, _ in some), accumulate(d for _, d in some)):
+            if n and month in months:
+                wanted += [(name, month, k, rank) for k, rank in enumerate(ranks(n))]
+    return wanted
 
 
 def rows_at_monthly_ranks(
@@ -59,76 +104,32 @@ def rows_at_monthly_ranks(
     """(Month, group, k, value, tie): who stands at each wanted rank of each month, ascending.
 
     `ranks` maps the number standing to 1-based ranks, `k` is the place in that list.
-    `value` and `tie` are integers, unique together in a month; months and groups are few.
-    Every pass counts the cells of the stretches that hold a wanted rank, for all months at
-    once, and keeps the cell of each rank until it holds one (value, tie). The cells of the
-    first pass hold all later stretches, so a row is compared only with those in its cell.
+    `value` and `tie` are integers, unique together in a month; months and groups are few. The
+    standings are read three times, whatever their values: for the sketch, for the table of
+    cells and for the rows of the cells that hold a wanted rank.
     """
     spark = standings.sparkSession
-    kinds = {f.name: f.dataType for f in standings.schema}
-    whole = standings.groupBy(group).agg(
-        F.min(value).alias("lo_value"), F.max(value).alias("hi_value"),
-        F.min(tie).alias("lo_tie"), F.max(tie).alias("hi_tie"))
-    bounds = [r.asDict() for r in whole.collect()]
-    events = {r["group"]: sorted((e["month"], e["delta"]) for e in r["events"])
-              for r in entries_and_exits(standings.withColumn("group", F.col(group)), "group").collect()}
-    # A month in which someone enters is a month of the data.
-    entered = {r[0] for r in standings.select("from_month").distinct().collect()}
-    fields = {
-        group: kinds[group], "Month": T.DateType(), "k": T.IntegerType(), "left": T.LongType(), "top": T.LongType(),
-        "lo_value": kinds[value], "hi_value": kinds[value], "lo_tie": kinds[tie], "hi_tie": kinds[tie],
-        "span": T.IntegerType()}
-
-    def small_table(records: list[dict], *columns: str) -> DataFrame:
-        schema = T.StructType([T.StructField(c, fields[c]) for c in columns])
-        return F.broadcast(local_table(spark, records, schema))
-
-    pending = []
-    for whole_group in bounds:
-        months = events[whole_group[group]]
-        standing = dict(zip((m for m, _ in months), accumulate(d for _, d in months)))
-        pending += [
-            whole_group | {"Month": month, "k": k, "left": rank, "top": None}
-            for month, n in standing.items() if n and month in entered for k, rank in enumerate(ranks(n))]
-
-    outer = small_table(bounds, group, *_BOUNDS).withColumnsRenamed({b: f"all_{b}" for b in _BOUNDS})
-    placed = standings.join(outer, group)
-    placed = placed.withColumn("top", F.when(
-        F.col("all_lo_value") < F.col("all_hi_value"), value_cell(placed, value, "all_lo_value", "all_hi_value", cells)
-    ).when(F.col("all_lo_tie") < F.col("all_hi_tie"), value_cell(placed, tie, "all_lo_tie", "all_hi_tie", cells)).otherwise(0))
-    found, first = [], True
-    while pending:
-        found += [t for t in pending if t["lo_value"] == t["hi_value"] and t["lo_tie"] == t["hi_tie"]]
-        pending = [t for t in pending if t["lo_value"] != t["hi_value"] or t["lo_tie"] != t["hi_tie"]]
-        if not pending:
-            break
-        pending = _spans(pending, group)
-        stretches = list({t["span"]: t for t in pending}.values())
-        keys = [group] if first else [group, "top"]
-        inside = placed.join(small_table(stretches, "span", *keys, *_BOUNDS), keys).filter(
-            F.col(value).between(F.col("lo_value"), F.col("hi_value"))
-            & ((F.col("lo_value") < F.col("hi_value")) | F.col(tie).between(F.col("lo_tie"), F.col("hi_tie"))))
-        cell = F.when(F.col("lo_value") < F.col("hi_value"), value_cell(inside, value, "lo_value", "hi_value", cells))
-        inside = inside.withColumn("cell", cell.otherwise(value_cell(inside, tie, "lo_tie", "hi_tie", cells)))
-        counted = entries_and_exits(
-            inside.drop(*_BOUNDS), "span", "top" if not first else "cell", *([] if first else ["cell"]),
-            lo_value=F.col(value), hi_value=F.col(value), lo_tie=F.col(tie), hi_tie=F.col(tie))
-        asked = list({(t["span"], t["Month"]): t for t in pending}.values())
-        in_month = counted.join(small_table(asked, "span", "Month"), "span").withColumn("size", standing_in(F.col("Month")))
-        through = F.sum("size").over(Window.partitionBy("span", "Month").orderBy("cell"))
-        hit = (
-            in_month.withColumn("through", through)
-            .join(small_table(pending, "span", "Month", group, "k", "left"), ["span", "Month"])
-            .filter((F.col("left") <= F.col("through")) & (F.col("left") > F.col("through") - F.col("size")))
-            .withColumn("left", F.col("left") - F.col("through") + F.col("size"))
-        )
-        top = F.col("top") if not first else F.col("cell")
-        before = {(t[group], t["Month"], t["k"]) for t in pending}
-        pending = [r.asDict() for r in hit.select(
-            group, "Month", "k", "left", top.cast("bigint").alias("top"), *_BOUNDS).collect()]
-        if {(t[group], t["Month"], t["k"]) for t in pending} != before:
-            raise ValueError(f"some wanted ranks of {value} are in no cell")
-        first = False
-    answers = [t | {value: t["lo_value"], tie: t["lo_tie"]} for t in found]
-    fields |= {value: kinds[value], tie: kinds[tie]}
-    return small_table(answers, "Month", group, "k", value, tie)
+    placed, entered = with_cells(standings, group, value, tie, cells)
+    events = stage(entries_and_exits(placed, group, "cell"), "cell-events")
+    wanted = _wanted(events, group, entered, ranks)
+    kinds = [standings.schema[group], T.StructField("Month", T.DateType()), T.StructField("k", T.IntegerType())]
+    targets = F.broadcast(spark.createDataFrame(wanted, T.StructType([*kinds, T.StructField("rank", T.LongType())])))
+    months = F.broadcast(targets.select(group, "Month").distinct())
+    sizes = standing_by_month(events, group, "cell").join(months, group).select(
+        group, "cell", "Month", standing_in(F.col("Month")).alias("size")).filter(F.col("size") > 0)
+    through = F.sum("size").over(Window.partitionBy(group, "Month").orderBy("cell"))
+    holding = (
+        sizes.withColumn("through", through).join(targets, [group, "Month"])
+        .filter((F.col("rank") <= F.col("through")) & (F.col("rank") > F.col("through") - F.col("size")))
+        .select(group, "Month", "k", "cell", (F.col("rank") - F.col("through") + F.col("size")).alias("left")).collect()
+    )
+    if len(holding) != len(wanted):
+        raise ValueError(f"some wanted ranks of {value} are in no cell")
+    held = F.broadcast(spark.createDataFrame(holding, T.StructType(
+        [*kinds, T.StructField("cell", T.IntegerType()), T.StructField("left", T.LongType())])))
+    stands = (F.col("from_month") <= F.col("Month")) & (F.col("until_month").isNull() | (F.col("until_month") > F.col("Month")))
+    inside = Window.partitionBy(group, "Month", "k").orderBy(value, tie)
+    return F.broadcast(
+        placed.join(held, [group, "cell"]).filter(stands)
+        .withColumn("at", F.row_number().over(inside)).filter("at = left")
+        .select("Month", group, "k", value, tie))

@@ -122,7 +122,7 @@ def histogram(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
     )
     place = F.floor((F.col("value") - F.col("low")) * bins / (F.col("high") - F.col("low")))
     counted = (
-        df.join(F.broadcast(span), by)
+        df.join(span, by)
         .groupBy(*by, F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("customers"))
     )

@@ -1,13 +1,14 @@
-"""Exact order statistics without sorting a table.
-
-`rows_at_ranks` finds the row that stands at given ranks of each group. Every pass
-counts the stretch of rows that holds a wanted rank in value cells (combined inside
-each task, so the shuffle is at most stretches x cells rows per task) and keeps the
-one cell the rank falls into, until that cell holds a single row. No rows are moved
-or sorted at any size. Ties on the value are ordered by a unique column, which is
-narrowed the same way, so a value shared by most rows is no obstacle.
+"""Exact order statistics in two passes, without sorting a table.
+
+`rows_at_ranks` finds the rows that stand at given ranks of each group. The first pass builds a
+mergeable quantile sketch of each group, which brackets every wanted rank between two of its marks.
+The second counts the rows below, between and above the brackets, and the few inside one by one,
+so the rank within its bracket is exact. Values and ties are one position on a line, so a value
+shared by most rows is bracketed like any other. Neither the number of passes nor what is moved
+depends on how values are distributed.
 """
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,35 +16,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-CELLS = 1024
+from tillroll.sources.staging import stage
+
+#: Cells a sketch is cut into, and the reciprocal of the part of all rows by which a mark's rank may be off.
+CELLS, ACCURACY = 2048, 10_000
 _WHOLE = "_whole_table"
-_BOUNDS = ["lo_value", "hi_value", "lo_tie", "hi_tie"]
 
 
-def _distance(df: DataFrame, column: str, low: str) -> Column:
-    """`column` - `low` as DOUBLE; the subtraction itself is exact."""
-    left, right = F.col(column), F.col(low)
-    if isinstance(df.schema[column].dataType, T.IntegralType):
-        left, right = left.cast("decimal(20,0)"), right.cast("decimal(20,0)")
-    return (left - right).cast("double")
+def position(df: DataFrame, value: str, tie: str | None) -> Column:
+    """Where a row stands, as DOUBLE that never falls along the order of (value, tie).
 
+    A tie moves an integer value by less than one. It counts by its logarithm, which tells
+    small and large ids apart by the same ratio. Conversion, addition and the logarithm are
+    monotonic, so rows out of order are impossible and equal positions merely share a bracket.
+    """
+    place = F.col(value).cast("double")
+    if tie is None or not isinstance(df.schema[value].dataType, T.IntegralType):
+        return place
+    by = F.col(tie).cast("double")
+    return place + (0.5 + F.signum(by) * F.log1p(F.abs(by)) / 128)
 
-def value_cell(df: DataFrame, column: str, low: str, high: str, cells: int) -> Column:
-    """Number of the cell of a value between `low` and `high`. Subtraction,
-    division and square root are correctly rounded, hence non-decreasing, so cells
-    follow the order of the values. The fourth root gives the dense lower end of
-    long-tailed amounts most of the cells."""
-    position = _distance(df, column, low) / _distance(df, high, low)
-    return F.floor(F.sqrt(F.sqrt(position)) * cells)
 
+def sketch(place: Column, cells: int = CELLS) -> Column:
+    """Aggregate: the marks of a mergeable sketch, ascending, at equal steps from the first to the last row."""
+    steps = F.expr("array(" + ", ".join(f"{i / cells!r}D" for i in range(cells + 1)) + ")")
+    return F.percentile_approx(place, steps, ACCURACY)
+
+
+def _bracket(marks: list[float], rank: int, size: int) -> tuple[float, float]:
+    """Positions between which the row at a rank lies for sure."""
+    slack = size / ACCURACY + 1
+    steps = len(marks) - 1
+    low, high = math.floor((rank - 1 - slack) * steps / size), math.ceil((rank + slack) * steps / size)
+    # NaN is the largest position.
+    return marks[low] if low >= 0 else -math.inf, marks[high] if high <= steps else math.nan
 
-def _number_pieces(targets: list[dict], by: list[str]) -> list[dict]:
-    """Targets that look into the same stretch of rows share a piece number."""
-    numbers = {}
-    for target in targets:
-        stretch = tuple(target[c] for c in by + _BOUNDS)
-        target["piece"] = numbers.setdefault(stretch, len(numbers))
-    return targets
+
+def _disjoint(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Overlapping brackets joined, in order."""
+    above = lambda x: math.inf if math.isnan(x) else x
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(brackets, key=lambda b: above(b[0])):
+        if out and above(low) <= above(out[-1][1]):
+            out[-1] = (out[-1][0], max(out[-1][1], high, key=above))
+        else:
+            out.append((low, high))
+    return out
 
 
 def local_table(spark: SparkSession, records: list[dict], schema: T.StructType) -> DataFrame:
@@ -51,59 +69,52 @@ def local_table(spark: SparkSession, records: list[dict], schema: T.StructType)
     return spark.createDataFrame([tuple(r[c] for c in columns) for r in records], schema)
 
 
-def _within_pieces(rows, by, value, tie, targets, schema):
-    stretches = list({t["piece"]: t for t in targets}.values())
-    fields = [schema[c] for c in by + _BOUNDS] + [T.StructField("piece", T.IntegerType())]
-    bounds = local_table(rows.sparkSession, stretches, T.StructType(fields))
-    inside = F.col(value).between(F.col("lo_value"), F.col("hi_value")) & (
-        (F.col("lo_value") < F.col("hi_value"))
-        | F.col(tie).between(F.col("lo_tie"), F.col("hi_tie"))
-    )
-    return rows.join(F.broadcast(bounds), by).filter(inside)
-
-
-def _narrow(rows, by, value, tie, targets, schema, cells):
-    targets = _number_pieces(targets, by)
-    found = _within_pieces(rows, by, value, tie, targets, schema)
-    counted = (
-        found.withColumn(
-            "cell",
-            F.when(F.col("lo_value") < F.col("hi_value"),
-                   value_cell(found, value, "lo_value", "hi_value", cells))
-            .otherwise(value_cell(found, tie, "lo_tie", "hi_tie", cells)),
-        )
-        .groupBy("piece", "cell")
-        .agg(
-            F.count(F.lit(1)).alias("size"),
-            F.min(value).alias("lo_value"), F.max(value).alias("hi_value"),
-            F.min(tie).alias("lo_tie"), F.max(tie).alias("hi_tie"),
-        )
-        .withColumn("through", F.sum("size").over(Window.partitionBy("piece").orderBy("cell")))
-    )
-    wanted = T.StructType(
-        [schema[c] for c in by]
-        + [schema["k"], schema["rank"], schema["group_size"], schema["left"]]
-        + [T.StructField("piece", T.IntegerType())]
-    )
-    hit = (
-        counted.join(F.broadcast(local_table(rows.sparkSession, targets, wanted)), "piece")
-        .filter((F.col("left") <= F.col("through"))
-                & (F.col("left") > F.col("through") - F.col("size")))
-        .withColumn("left", F.col("left") - F.col("through") + F.col("size"))
-    )
-    return [r.asDict() for r in hit.select(schema.fieldNames()).collect()]
+def _inside(bracket: tuple[float, float], outer: tuple[float, float]) -> bool:
+    above = lambda x: math.inf if math.isnan(x) else x
+    return above(outer[0]) <= above(bracket[0]) and above(bracket[1]) <= above(outer[1])
 
 
-def _settled(target: dict, ties_matter: bool) -> dict | None:
-    """`target` with its (value, tie) if the bounds of its stretch tell them, else None."""
-    first, last = target["left"] == 1, target["left"] == target["size"]
-    if not ties_matter and (first or last):
-        return target | {"value": target["lo_value" if first else "hi_value"], "tie": target["lo_tie"]}
-    if target["lo_value"] != target["hi_value"]:
-        return None
-    if first or not ties_matter:
-        return target | {"value": target["lo_value"], "tie": target["lo_tie"]}
-    return target | {"value": target["lo_value"], "tie": target["hi_tie"]} if last else None
+def _count_brackets(rows, keys, value, tie, ties_matter, targets):
+    """The targets' rows, from one pass: numbers of rows between brackets, and the rows inside them."""
+    spark, schema = rows.sparkSession, rows.schema
+    groups: dict[tuple, list[dict]] = {}
+    for target in targets:
+        groups.setdefault(tuple(target[c] for c in keys), []).append(target)
+    bounds = []
+    for group, members in groups.items():
+        ranges = _disjoint([t["bracket"] for t in members])
+        bounds.append(dict(zip(keys, group)) | {"lows": [a for a, _ in ranges], "highs": [b for _, b in ranges]})
+        for t in members:
+            t["code"] = 2 * next(j for j, r in enumerate(ranges) if _inside(t["bracket"], r)) + 1
+    key_fields = [schema[c] for c in keys]
+    doubles = T.ArrayType(T.DoubleType())
+    bound_table = local_table(spark, bounds, T.StructType(
+        key_fields + [T.StructField("lows", doubles), T.StructField("highs", doubles)]))
+
+    beside = rows.withColumn("_at", position(rows, value, tie if ties_matter else None)).join(F.broadcast(bound_table), keys)
+    passed = F.size(F.filter("lows", lambda x: x <= F.col("_at"))) + F.size(F.filter("highs", lambda x: x < F.col("_at")))
+    coded = beside.withColumn("code", passed).withColumn("_in", F.col("code") % 2 == 1)
+    own_tie = F.when(F.col("_in"), F.col(tie)) if ties_matter else F.lit(None).cast(schema[tie].dataType)
+    counted = stage(coded.groupBy(
+        *keys, "code", F.when(F.col("_in"), F.col(value)).alias("_value"), own_tie.alias("_tie"),
+    ).agg(F.count(F.lit(1)).alias("size"), F.min(tie).alias("_any_tie")), "bracket-counts")
+    # One row per bracket and gap.
+    stretches = counted.groupBy(*keys, "code").agg(F.sum("size").alias("held")).orderBy("code").collect()
+    below, passed_by = {}, {}
+    for row in stretches:
+        group = tuple(row[c] for c in keys)
+        below[group, row["code"]] = passed_by.get(group, 0)
+        passed_by[group] = passed_by.get(group, 0) + row["held"]
+    left = [t | {"rank": t["rank"] - below.get((tuple(t[c] for c in keys), t["code"]), 0)} for t in targets]
+    wanted = local_table(spark, left, T.StructType(
+        key_fields + [T.StructField("code", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("rank", T.LongType())]))
+    through = Window.partitionBy(*keys, "code").orderBy("_value", "_tie")
+    return (
+        counted.filter(F.col("code") % 2 == 1).withColumn("through", F.sum("size").over(through))
+        .join(F.broadcast(wanted), [*keys, "code"])
+        .filter((F.col("rank") <= F.col("through")) & (F.col("rank") > F.col("through") - F.col("size")))
+        .select(*keys, "k", F.col("_value").alias("value"), F.coalesce("_tie", "_any_tie").alias("tie")).collect()
+    )
 
 
 def rows_at_ranks(
@@ -119,42 +130,39 @@ def rows_at_ranks(
 
     `ranks` maps the group size to an array of 1-based ranks; the position in that
     array comes back as `k`. (`value`, `tie`) must be unique within a group. The
-    number of groups must be small and fixed (segments, months, metrics): the wanted
-    ranks, one row each, are kept on the driver. `rows` is read several times, so
-    pass a staged table. With `ties_matter=False` only the value is wanted. Values
-    that have no distance (NaN, infinite) raise ValueError where a rank needs them.
+    number of groups must be small and fixed (segments, months, metrics): their sketches and the
+    wanted ranks are kept on the driver. `rows` is read twice, so pass a staged table.
+    With `ties_matter=False` only the value is wanted. NaN counts as the largest value.
     """
     keys = by or [_WHOLE]
     if not by:
         rows = rows.withColumn(_WHOLE, F.lit(1))
-    rows = rows.select(*keys, value, tie).filter(F.col(value).isNotNull())
-    sizes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("size"),
-        F.min(value).alias("lo_value"), F.max(value).alias("hi_value"),
-        F.min(tie).alias("lo_tie"), F.max(tie).alias("hi_tie"),
-    )
-    wanted = (
-        sizes.dropna(subset=keys)
-        .select("*", F.col("size").alias("group_size"), F.posexplode(ranks(F.col("size"))).alias("k", "rank"))
-        .select(*keys, "k", F.col("rank").cast("bigint").alias("rank"), "group_size",
-                F.col("rank").cast("bigint").alias("left"), "size", *_BOUNDS)
-    )
-    schema = wanted.schema
-    pending = [r.asDict() for r in wanted.collect()]
-    found = []
+    rows = rows.select(*keys, value, tie).filter(F.col(value).isNotNull()).dropna(subset=by)
+    place = position(rows, value, tie if ties_matter else None)
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), sketch(place, cells).alias("marks"))
+    targets = []
+    for group in groups.select(*keys, "size", "marks", ranks(F.col("size")).alias("ranks")).collect():
+        targets += [
+            {c: group[c] for c in keys} | {
+                "k": k, "rank": rank, "group_size": group["size"], "bracket": _bracket(group["marks"], rank, group["size"])}
+            for k, rank in enumerate(group["ranks"] or [])]
+    found = {}
+    pending = targets
     while pending:
-        answers = [_settled(target, ties_matter) for target in pending]
-        found += [answer for answer in answers if answer]
-        pending = [target for target, answer in zip(pending, answers) if not answer]
-        if pending:
-            before = {tuple(t[c] for c in keys + ["k"]): t["size"] for t in pending}
-            pending = _narrow(rows, keys, value, tie, pending, schema, cells)
-            if any(t["size"] >= before[tuple(t[c] for c in keys + ["k"])] for t in pending):
-                raise ValueError(f"some values of {value} or {tie} have no distance from each other")
+        for row in _count_brackets(rows, keys, value, tie, ties_matter, pending):
+            found[tuple(row[c] for c in keys), row["k"]] = {value: row["value"], tie: row["tie"]}
+        # Should a sketch ever be less accurate than it promises, its ranks are looked for everywhere.
+        missed = [t for t in pending if (tuple(t[c] for c in keys), t["k"]) not in found]
+        if missed and all(t["bracket"][0] == -math.inf and math.isnan(t["bracket"][1]) for t in missed):
+            raise ValueError(f"{value} has fewer rows than a wanted rank")
+        pending = [t | {"bracket": (-math.inf, math.nan)} for t in missed]
+    answers = [t | found[tuple(t[c] for c in keys), t["k"]] for t in targets]
+    schema = rows.schema
     answer_schema = T.StructType(
-        [schema[c] for c in by] + [schema["k"], schema["rank"], schema["group_size"],
-         T.StructField("value", schema["lo_value"].dataType), T.StructField("tie", schema["lo_tie"].dataType)])
-    return local_table(rows.sparkSession, found, answer_schema).withColumnsRenamed({"value": value, "tie": tie})
+        [schema[c] for c in by]
+        + [T.StructField("k", T.IntegerType()), T.StructField("rank", T.LongType()), T.StructField("group_size", T.LongType())]
+        + [T.StructField(value, schema[value].dataType), T.StructField(tie, schema[tie].dataType)])
+    return local_table(rows.sparkSession, answers, answer_schema)
 
 
 def exact_quantiles(

@@ -8,6 +8,7 @@ from tillroll.functions.ratios import ratio
 from tillroll.functions.scoring import risk_level
 from tillroll.operators.cleaning import products_only
 from tillroll.operators.revenue import top_products
+from tillroll.operators.running import join_heavy, running_totals
 from tillroll.sources.staging import stage
 
 # Bounds and default of the list length, and the evaluation depth.
@@ -87,14 +88,29 @@ def training_lines(transactions: DataFrame) -> DataFrame:
     return transactions.join(last_purchases(transactions), ["CustomerID", "InvoiceDate"], "left_anti")
 
 
+def products_ahead(lowered: DataFrame, revenue: DataFrame) -> DataFrame:
+    """`lowered` with `ahead`: products of its cluster that sell more than its new revenue (of equal ones,
+    those earlier in the alphabet).
+
+    Lists and lowered products are sorted together by ranges, so neither a cluster nor a popular
+    product meets in one task.
+    """
+    listed = revenue.select("Cluster_Name", "Description", F.col("revenue").alias("standing"), F.lit(1).alias("listed"))
+    asked = lowered.withColumns({"standing": F.col("new_revenue"), "listed": F.lit(0)})
+    rows = asked.unionByName(listed, allowMissingColumns=True)
+    order = [F.desc("standing"), F.asc("Description"), F.asc("listed"), F.asc("CustomerID")]
+    ahead = running_totals(rows, ["Cluster_Name"], order, {"ahead": "listed"}, "products-in-order")
+    return ahead.filter("listed = 0").drop("standing", "listed")
+
+
 def holdout_hits(transactions: DataFrame, rfm: DataFrame, k: int = EVALUATION_DEPTH) -> DataFrame:
     """Per evaluated customer: products held out, and how many of them the list made
     without the hold-out still contains.
 
-    Leaving out a customer's last lines only lowers (or removes) the products in
-    them; all others keep their order. The new first `k` therefore lie within the
-    old first `k` + (own held-out products), so that stretch is all that has to be
-    ranked anew, and only for customers who have a held-out product in it.
+    Leaving out a customer's last lines only lowers (or removes) the products in them.
+    A held-out product is listed if fewer than `k` products stand above its new revenue:
+    those of the old list, less the customer's held-out ones that stood there, plus those
+    of them that still do.
     """
     held = (
         products_only(held_out_lines(transactions)).groupBy("CustomerID", "Description")
@@ -103,46 +119,29 @@ def holdout_hits(transactions: DataFrame, rfm: DataFrame, k: int = EVALUATION_DE
     )
     held = stage(held, "held-out-products")
     revenue = stage(cluster_product_revenue(transactions, rfm), "cluster-products")
-    sizes = held.groupBy("CustomerID", "Cluster_Name").agg(F.count(F.lit(1)).alias("held_out"))
-    largest = sizes.agg(F.max("held_out")).first()[0] or 0
-    ranked = ranked_products(revenue, k + largest)
-
-    lowered = (
-        held.join(sizes.select("CustomerID", "held_out"), "CustomerID")
-        .join(revenue, ["Cluster_Name", "Description"])
-        .join(ranked.select("Cluster_Name", "Description", "rank"), ["Cluster_Name", "Description"], "left")
-        .select(
-            "CustomerID", "Cluster_Name", "Description", "held_out", "rank",
-            (F.col("revenue") - F.col("own_revenue")).alias("new_revenue"),
-            (F.col("lines") > F.col("own_lines")).alias("remains"),
-        )
-    )
-    lowered = stage(lowered, "lowered-products")
-    customers = lowered.groupBy("CustomerID", "Cluster_Name", "held_out").agg(
-        F.count_if(~F.col("remains")).alias("removed"),
-        F.bool_or(F.col("remains") & (F.col("rank") <= k + F.col("held_out"))).alias("may_hit"),
-    )
-    listed = revenue.groupBy("Cluster_Name").agg(F.count(F.lit(1)).alias("listed"))
-    evaluated = customers.join(F.broadcast(listed), "Cluster_Name").filter(F.col("listed") > F.col("removed"))
-
-    stretch = evaluated.filter("may_hit").select(
-        "CustomerID", "Cluster_Name", F.explode(F.sequence(F.lit(1), (F.col("held_out") + k).cast("int"))).alias("rank"))
-    anew = (
-        stretch.join(ranked.drop("lines"), ["Cluster_Name", "rank"])
-        .join(lowered.select("CustomerID", "Description", "new_revenue", "remains"), ["CustomerID", "Description"], "left")
-        .filter(F.coalesce("remains", F.lit(True)))
-        .select("CustomerID", "Description", F.col("remains").isNotNull().alias("is_held"),
-                F.coalesce("new_revenue", "revenue").alias("revenue"))
-    )
-    order = Window.partitionBy("CustomerID").orderBy(F.desc("revenue"), "Description")
+    lowered = stage(join_heavy(held, revenue, ["Cluster_Name", "Description"]).select(
+        "CustomerID", "Cluster_Name", "Description", "revenue",
+        (F.col("revenue") - F.col("own_revenue")).alias("new_revenue"),
+        (F.col("lines") > F.col("own_lines")).alias("remains")), "lowered-products")
+
+    # One number per cluster.
+    sizes = {r[0]: r[1] for r in revenue.groupBy("Cluster_Name").count().collect()}
+    listed = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("Cluster_Name")) if sizes else F.lit(0)
+    customers = lowered.groupBy("CustomerID", "Cluster_Name").agg(
+        F.count(F.lit(1)).alias("held_out"), F.count_if(~F.col("remains")).alias("removed"))
+    evaluated = customers.filter(listed > F.col("removed"))
+
+    old = F.struct(F.col("revenue").alias("standing"), F.lit(1).alias("place"), F.lit(-1).alias("weight"), F.lit(None).cast("bigint").alias("ahead"))
+    new = F.struct(F.col("new_revenue").alias("standing"), F.lit(0).alias("place"), F.when(
+        F.col("remains"), 1).otherwise(0).alias("weight"), F.when(F.col("remains"), F.col("ahead")).alias("ahead"))
+    own = Window.partitionBy("CustomerID").orderBy(F.desc("standing"), "Description", "place").rowsBetween(
+        Window.unboundedPreceding, -1)
     hits = (
-        anew.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-        .groupBy("CustomerID").agg(F.count_if("is_held").alias("hits"))
-    )
-    return (
-        evaluated.select("CustomerID", "held_out").join(hits, "CustomerID", "left")
-        .fillna(0, subset=["hits"])
+        products_ahead(lowered, revenue).select("CustomerID", "Description", F.inline(F.array(old, new)))
+        .withColumn("above", F.col("ahead") + F.coalesce(F.sum("weight").over(own), F.lit(0)))
+        .groupBy("CustomerID").agg(F.count_if(F.col("above") < k).alias("hits"))
     )
+    return evaluated.select("CustomerID", "held_out").join(hits, "CustomerID")
 
 
 def evaluate_recommendations(

@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 
 from tillroll.functions.dates import elapsed_days, month_end, month_start
 from tillroll.functions.scoring import SEGMENTS
-from tillroll.operators.month_ranks import entries_and_exits, rows_at_monthly_ranks, standing_in
+from tillroll.operators.month_ranks import (
+    entries_and_exits, rows_at_monthly_ranks, standing_by_month, standing_in,
+)
 from tillroll.operators.rfm import QUINTILES, apply_cuts, ranked_amounts, recency_edges, with_total_and_segment
 from tillroll.sources.staging import stage
 
@@ -78,7 +80,7 @@ def _monthly_recencies(changes: DataFrame, months: DataFrame) -> DataFrame:
     A month ends with its last microsecond, so the whole days to a purchase are those
     to the start of its day.
     """
-    days = entries_and_exits(changes.withColumn("day", F.to_date("last_purchase")), "day")
+    days = standing_by_month(entries_and_exits(changes.withColumn("day", F.to_date("last_purchase")), "day"), "day")
     recency = elapsed_days(month_end(F.col("Month")), F.col("day").cast("timestamp_ntz"))
     return (
         days.join(F.broadcast(months), F.trunc("day", "month") <= F.col("Month"))

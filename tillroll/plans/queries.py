@@ -45,10 +45,10 @@ def _on_base(name: str, operator: Callable[[DataFrame], DataFrame]) -> None:
     _on_transactions(name, lambda tx: operator(rfm.rfm_base(tx)))
 
 
-def _on_both(name: str, operator: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Operators over transactions and scored customers."""
+def _on_both(name: str, operator: Callable[[DataFrame, DataFrame], DataFrame], *more: str) -> None:
+    """Operators over transactions (the base columns and those named) and scored customers."""
     def build(spark, folder):
-        tx = inputs.staged_transactions(spark, folder)
+        tx = inputs.staged_transactions(spark, folder, *inputs.BASE_COLUMNS, *more)
         return operator(tx, inputs.customers(tx))
 
     _register(name, build)
@@ -88,23 +88,24 @@ def _customer_file(fmt):
     return build
 
 
+def _tables(spark, folder, *more):
+    tx = inputs.staged_transactions(spark, folder, *inputs.BASE_COLUMNS, *more)
+    return {"transactions": tx, "rfm": inputs.customers(tx)}
+
+
 def _ad_hoc_sql(spark, folder):
-    tx = inputs.staged_transactions(spark, folder)
-    views.register_views(tx, inputs.customers(tx))
     return views.run_query(spark, """
         SELECT r.Segment, t.Country, SUM(t.units) AS units, CAST(SUM(t.spend) AS DOUBLE) AS spend
         FROM (SELECT CustomerID, Country, SUM(Quantity) AS units, SUM(TotalPrice) AS spend
               FROM transactions GROUP BY CustomerID, Country) t
         JOIN rfm r ON t.CustomerID = r.CustomerID
-        GROUP BY r.Segment, t.Country""")
+        GROUP BY r.Segment, t.Country""", **_tables(spark, folder, "Country", "Quantity"))
 
 
 def _view_counts(spark, folder):
-    tx = inputs.staged_transactions(spark, folder)
-    views.register_views(tx, inputs.customers(tx))
-    return spark.sql("""
+    return views.run_query(spark, """
         SELECT 'transactions' AS view_name, COUNT(*) AS row_count FROM transactions
-        UNION ALL SELECT 'rfm', COUNT(*) FROM rfm""")
+        UNION ALL SELECT 'rfm', COUNT(*) FROM rfm""", **_tables(spark, folder))
 
 
 _register("source_load_parts", _load_parts)
@@ -196,11 +197,8 @@ _REPORT_QUERIES = {
 def _report(title):
     def build(spark, folder):
         if "JOIN rfm" in REPORTS[title].sql:
-            tx = inputs.staged_transactions(spark, folder)
-            views.register_views(tx, inputs.customers(tx))
-        else:
-            inputs.transactions(spark, folder).createOrReplaceTempView("transactions")
-        return run_report(spark, title)
+            return run_report(spark, title, **_tables(spark, folder))
+        return run_report(spark, title, transactions=inputs.transactions(spark, folder))
 
     return build
 
@@ -457,7 +455,7 @@ def _joined_list(df: DataFrame) -> DataFrame:
 
 
 def _model_recommendations(spark, folder):
-    tx = inputs.staged_transactions(spark, folder)
+    tx = inputs.staged_transactions(spark, folder, *inputs.BASE_COLUMNS, "Description")
     return _joined_list(recommend.recommend_for_all(tx, inputs.clustered_customers(tx)))
 
 
@@ -467,15 +465,15 @@ def _model_profiles(spark, folder):
 
 
 _on_transactions("recommend_popular", recommend.recommend_popular)
-_on_both("recommend_cluster_top", recommend.cluster_top_products)
-_on_both("recommend_all", lambda tx, c: _joined_list(recommend.recommend_for_all(tx, c)))
-_on_both("recommend_sample_customers", recommend.sample_per_cluster)
+_on_both("recommend_cluster_top", recommend.cluster_top_products, "Description")
+_on_both("recommend_all", lambda tx, c: _joined_list(recommend.recommend_for_all(tx, c)), "Description")
+_on_both("recommend_sample_customers", recommend.sample_per_cluster, "Description")
 _register("recommend_held_out_lines", lambda spark, folder: recommend.held_out_lines(
     inputs.staged_transactions(spark, folder)))
 _register("recommend_training_lines", lambda spark, folder: recommend.training_lines(
     inputs.staged_transactions(spark, folder)))
-_on_both("recommend_holdout_hits", recommend.holdout_hits)
-_on_both("recommend_evaluation", recommend.evaluate_recommendations)
+_on_both("recommend_holdout_hits", recommend.holdout_hits, "Description")
+_on_both("recommend_evaluation", recommend.evaluate_recommendations, "Description")
 _on_customers("customer_profiles", recommend.customer_profiles)
 _register("recommend_with_model", _model_recommendations)
 _register("customer_profiles_with_model", _model_profiles)

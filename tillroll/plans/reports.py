@@ -1,4 +1,4 @@
-"""The named SQL reports over the views `transactions` and `rfm`.
+"""The named SQL reports over the tables `transactions` and `rfm`.
 
 Each report first reduces lines to one row per invoice and customer (or per
 customer), and only then joins the customer table or counts distinct ids.
@@ -157,6 +157,6 @@ LIMIT 10""",
 }
 
 
-def run_report(spark: SparkSession, name: str) -> DataFrame:
-    """Runs a named report; `transactions` and `rfm` must be registered as views."""
-    return run_query(spark, REPORTS[name].sql)
+def run_report(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
+    """Runs a named report over the given `transactions` and `rfm`, or over the session's views of these names."""
+    return run_query(spark, REPORTS[name].sql, **tables)

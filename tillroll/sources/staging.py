@@ -7,13 +7,10 @@ columns it needs. The tables of an application lie in one folder, which goes whe
 driver ends.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,10 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="tillroll-")
-    return _own_folder[app]
+    return spark.conf.get("spark.sql.warehouse.dir")
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -39,6 +33,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def replace(spark: SparkSession, fresh: str, path: str) -> None:
+    """Puts the folder `fresh` in the place of `path`, whose old content goes last."""
+    files, place = _file_system(spark, path)
+    old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    there = files.exists(place)
+    if there and not files.rename(place, spark._jvm.org.apache.hadoop.fs.Path(old)):
+        raise OSError(f"cannot move {path}")
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), place):
+        if there:
+            files.rename(spark._jvm.org.apache.hadoop.fs.Path(old), place)
+        raise OSError(f"cannot put {fresh} in the place of {path}")
+    if there:
+        remove(spark, old)
+
+
 def application_folder(spark: SparkSession) -> str:
     """Folder for the tables of this application; its file system removes it at the end."""
     path = f"{shared_folder(spark)}/tillroll/{spark.sparkContext.applicationId}"
