@@ -84,3 +84,47 @@ def test_missing_values(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, "x"), (None, None)], "`Customer ID` double, name string")
     found = {r["column"]: (r["missing"], r["missing_pct"]) for r in profiling.missing_values(df).collect()}
     assert found == {"Customer ID": (1, 33.33), "name": (2, 66.67)}
+
+
+def test_every_customer_is_at_its_nearest_centre(three_groups):
+    _, customers = three_groups
+    found = clusters.assign_clusters(customers, 4).select("Cluster", *clusters.SCALED).collect()
+    points = np.array([r[1:] for r in found])
+    labels = np.array([r[0] for r in found])
+    centres = np.array([points[labels == j].mean(axis=0) for j in range(4)])
+    away = ((points[:, None] - centres) ** 2).sum(axis=2)
+    assert (away[np.arange(len(points)), labels] <= away.min(axis=1) + 1e-3).all()
+
+
+def test_passes_do_not_grow_with_the_number_of_k(three_groups, monkeypatch):
+    _, customers = three_groups
+    passes = []
+    sums = clusters._cluster_sums
+    monkeypatch.setattr(clusters, "_cluster_sums", lambda points, centres: passes.append(sorted(centres)) or sums(points, centres))
+    points = {r["k"]: r for r in clusters.elbow(customers, range(1, 9)).collect()}
+    assert len(points) == 8 and passes[0] == list(range(1, 9)) == passes[-1]
+    assert len(passes) <= clusters.MOST_STEPS + 1
+    assert all(points[k + 1]["inertia"] <= points[k]["inertia"] + 1e-6 for k in range(1, 8))
+
+
+def test_shared_silhouettes_equal_the_evaluator(three_groups):
+    _, customers = three_groups
+    points = {r["k"]: r for r in clusters.elbow(customers, range(2, 5)).collect()}
+    vectors = clusters.with_features(customers, clip=False)
+    for k, centres in clusters.fit_centres(vectors, [2, 3, 4]).items():
+        assigned = vectors.withColumn("Cluster", clusters._nearest(centres)["cluster"])
+        assert points[k]["silhouette"] == pytest.approx(clusters.silhouette(assigned), abs=1e-9)
+        row = clusters.inertia(assigned).first()
+        assert row["k"] == k and row["inertia"] == pytest.approx(points[k]["inertia"], abs=1e-3)
+
+
+def test_signs_of_axes_are_fixed(three_groups):
+    _, customers = three_groups
+    _, axes, shares = clusters.principal_axes(clusters.with_features(customers, clip=False), 3)
+    assert all(max(axis, key=abs) > 0 for axis in axes) and sum(shares) == pytest.approx(1)
+
+
+def test_no_customers_at_all(spark, make_customers):
+    none = make_customers([])
+    assert clusters.elbow(none).count() == 0 and clusters.fit_clusters(none).count() == 0
+    assert clusters.pca_projection(clusters.with_features(none, clip=False)).count() == 0

@@ -2,9 +2,12 @@
 
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tillroll.operators import cohorts, profiling, recommend, rfm, transitions
+from tillroll.operators import churn, cohorts, profiling, recommend, rfm, transitions
+from tillroll.operators.running import running_totals
 from tillroll.plans import inputs
 from tillroll.sources.staging import stage
 
@@ -75,3 +78,18 @@ def test_no_single_partition_and_no_python(tables, build):
     text = plan(build(*tables))
     assert "SinglePartition" not in text
     assert "Python" not in text and "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_scores_are_summed_up_by_ranges(spark, make_customers):
+    """No unpartitioned window, and exact with very many distinct scores."""
+    n = 1_000_000
+    scored = spark.range(n).selectExpr("id / 1000000D AS churn_prob", "CAST(pmod(xxhash64(id), 3) = 0 AS INT) AS Churned")
+    points = churn.score_counts(scored)
+    text = plan(points)
+    assert "SinglePartition" not in text and "Window" in plan(running_totals(
+        spark.range(9).withColumn("x", F.lit(1)), [], [F.asc("id")], {"s": "x"}, "test"))
+    row = points.agg(F.count(F.lit(1)), F.max("pos_through"), F.max("pos_all"), F.max("neg_through"), F.max("neg_all")).first()
+    assert row[0] == n and row[1] == row[2] and row[3] == row[4] and row[2] + row[4] == n
+    labels = np.array([r[0] for r in scored.orderBy("churn_prob").select("Churned").collect()])
+    wins = np.cumsum(1 - labels)[labels == 1].sum() / (labels.sum() * (n - labels.sum()))
+    assert churn.roc_auc(scored).first()[0] == pytest.approx(wins, abs=1e-12)

@@ -1,10 +1,9 @@
 """Grouping customers by recency, frequency and monetary value."""
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +15,8 @@ HIGH_VALUE, CHURNED, ACTIVE_REGULAR = "High Value", "Churned", "Active Regular"
 CAPPED_METRICS = ["frequency", "monetary"]
 SEED = 42
 SCALED = [f"{m}_scaled" for m in RFM_METRICS]
+#: Rows the first centres are drawn from, draws and steps among them, passes over all rows, smallest move.
+SAMPLE, DRAWS, MOST_STEPS, TOLERANCE = 5000, 10, 60, 1e-4
 
 
 def clip_outliers(rfm: DataFrame) -> DataFrame:
@@ -46,8 +47,69 @@ def with_features(rfm: DataFrame, clip: bool) -> DataFrame:
     return VectorAssembler(inputCols=SCALED, outputCol="features").transform(staged)
 
 
-def _kmeans(vectors: DataFrame, k: int, seed: int):
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="Cluster").fit(vectors)
+def _distance(centre: list[float]) -> Column:
+    return sum(((F.col(x) - F.lit(c)) ** 2 for x, c in zip(SCALED, centre)), F.lit(0.0))
+
+
+def _nearest(centres: list[list[float]]) -> Column:
+    """(distance, cluster) of the nearest centre, the first of equally near ones."""
+    return F.array_min(F.array(*[F.struct(_distance(c).alias("distance"), F.lit(j).alias("cluster")) for j, c in enumerate(centres)]))
+
+
+def _starts(sample: np.ndarray, k: int, seed: int) -> list[list[float]]:
+    """Centres for k clusters of a sample: the best of several draws, each far from those before."""
+    draw = np.random.RandomState(seed)
+    best = (np.inf, sample[:1].repeat(k, axis=0))
+    for _ in range(DRAWS):
+        centres = sample[draw.randint(len(sample))][None]
+        while len(centres) < k:
+            far = ((sample[:, None] - centres) ** 2).sum(axis=2).min(axis=1)
+            chosen = draw.choice(len(sample), p=far / far.sum()) if far.sum() else draw.randint(len(sample))
+            centres = np.vstack((centres, sample[chosen]))
+        for _ in range(DRAWS):
+            near = ((sample[:, None] - centres) ** 2).sum(axis=2)
+            labels = near.argmin(axis=1)
+            centres = np.array([sample[labels == j].mean(axis=0) if (labels == j).any() else centres[j] for j in range(k)])
+        spread = ((sample[:, None] - centres) ** 2).sum(axis=2).min(axis=1).sum()
+        if spread < best[0]:
+            best = (spread, centres)
+    return best[1].tolist()
+
+
+def _cluster_sums(points: DataFrame, centres: dict[int, list[list[float]]]) -> dict[tuple[int, int], Row]:
+    """Per k and cluster: rows, sums of the metrics and of their squares, and of the distances; one pass for all k."""
+    near = F.array(*[F.struct(F.lit(k).alias("k"), _nearest(c).alias("near")) for k, c in centres.items()])
+    found = points.select(*SCALED, F.inline(near)).groupBy("k", "near.cluster").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(x).alias(x) for x in SCALED],
+        F.sum(sum((F.col(x) ** 2 for x in SCALED), F.lit(0.0))).alias("squares"), F.sum("near.distance").alias("distance"))
+    return {(r["k"], r["cluster"]): r for r in found.collect()}
+
+
+def fit_centres(points: DataFrame, ks: list[int], seed: int = SEED) -> dict[int, list[list[float]]]:
+    """Centres of K-Means for every k of ks, all moved in the same passes over `points`.
+
+    The first centres come from a sample of SAMPLE rows at most, drawn by a hash of the customer.
+    Passes end when no centre of any k moves by more than TOLERANCE, or after MOST_STEPS.
+    """
+    drawn = points.orderBy(F.xxhash64("CustomerID", F.lit(seed)), "CustomerID").limit(SAMPLE)
+    sample = np.array([tuple(r) for r in drawn.select(*SCALED).collect()], float).reshape(-1, len(SCALED))
+    if not len(sample):
+        return {}
+    centres = {k: _starts(sample, k, seed) for k in ks}
+    moving = list(ks)
+    for _ in range(MOST_STEPS):
+        if not moving:
+            break
+        sums = _cluster_sums(points, {k: centres[k] for k in moving})
+        still = []
+        for k in moving:
+            old = centres[k]
+            centres[k] = [
+                [sums[k, j][x] / sums[k, j]["rows"] for x in SCALED] if (k, j) in sums else c for j, c in enumerate(old)]
+            if max(sum((a - b) ** 2 for a, b in zip(*pair)) for pair in zip(old, centres[k])) > TOLERANCE**2:
+                still.append(k)
+        moving = still
+    return centres
 
 
 def silhouette(assigned: DataFrame) -> float:
@@ -57,9 +119,10 @@ def silhouette(assigned: DataFrame) -> float:
 
 
 def assign_clusters(rfm: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
-    """`rfm` with the vector and a Cluster column."""
+    """`rfm` with the vector and a Cluster column: the nearest of k centres."""
     vectors = with_features(rfm, clip=True)
-    return _kmeans(vectors, k, seed).transform(vectors)
+    centres = fit_centres(vectors, [k], seed).get(k)
+    return vectors.withColumn("Cluster", _nearest(centres)["cluster"] if centres else F.lit(None).cast("int"))
 
 
 def fit_clusters(rfm: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
@@ -94,35 +157,78 @@ def name_clusters(clustered: DataFrame) -> DataFrame:
     return clustered.join(F.broadcast(cluster_names(cluster_means(clustered))), "Cluster", "left")
 
 
-def _spread(vectors: DataFrame) -> float:
-    """Inertia of a single cluster: squared distances to the overall mean."""
-    parts = vector_to_array("features")
-    about_mean = sum(F.var_pop(parts[i]) * F.count(F.lit(1)) for i in range(len(SCALED)))
-    return float(vectors.agg(about_mean).first()[0])
+def inertia(assigned: DataFrame) -> DataFrame:
+    """(k, inertia): clusters, and squared distances of their rows to the means, for given labels."""
+    parts = [F.sum(F.col(x) ** 2) - F.sum(x) ** 2 / F.count(F.lit(1)) for x in SCALED]
+    each = assigned.groupBy("Cluster").agg(sum(parts[1:], parts[0]).alias("about_mean"))
+    return each.agg(F.count(F.lit(1)).alias("k"), F.sum("about_mean").alias("inertia"))
+
+
+def _silhouettes(points: DataFrame, centres: dict[int, list[list[float]]], sums: dict[tuple[int, int], Row]) -> dict[int, float]:
+    """Mean silhouette with squared distances for every k, from the sums of its clusters; one pass for all k."""
+    norm = sum((F.col(x) ** 2 for x in SCALED), F.lit(0.0))
+
+    def far(r: Row) -> Column:
+        return norm + r["squares"] / r["rows"] - 2 * sum((F.col(x) * (r[x] / r["rows"]) for x in SCALED), F.lit(0.0))
+
+    def one(k: int) -> Column:
+        held = [sums.get((k, j)) for j in range(k)]
+        value = F.lit(None).cast("double")
+        for j, own in enumerate(held):
+            others = [far(r) for i, r in enumerate(held) if r and i != j]
+            if not own or not others:
+                continue
+            a = far(own) * own["rows"] / max(own["rows"] - 1, 1)
+            b = F.array_min(F.array(*others))
+            score = F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)) if own["rows"] > 1 else F.lit(0.0)
+            value = F.when(_nearest(centres[k])["cluster"] == j, score).otherwise(value)
+        return F.avg(value).alias(str(k))
+
+    return {int(k): v for k, v in points.agg(*[one(k) for k in centres]).first().asDict().items()} if centres else {}
 
 
 def elbow(rfm: DataFrame, ks: range = range(1, 11), seed: int = SEED) -> DataFrame:
-    """Inertia and silhouette for each k, on metrics that are not capped."""
-    vectors = with_features(rfm, clip=False)
-    points = []
-    for k in ks:
-        if k == 1:
-            points.append((1, _spread(vectors), None))
-            continue
-        model = _kmeans(vectors, k, seed)
-        points.append((k, float(model.summary.trainingCost), silhouette(model.transform(vectors))))
-    return rfm.sparkSession.createDataFrame(points, "k int, inertia double, silhouette double")
+    """Inertia and silhouette for each k, on metrics that are not capped. A k of 1 has no silhouette.
+
+    All k share their passes: one per step of the slowest, one for the sums and one for the silhouettes.
+    """
+    points = with_features(rfm, clip=False)
+    centres = fit_centres(points, list(ks), seed)
+    sums = _cluster_sums(points, centres) if centres else {}
+    sides = _silhouettes(points, {k: c for k, c in centres.items() if k > 1}, sums)
+    inertias = {k: sum(r["distance"] for (of, _), r in sums.items() if of == k) for k in centres}
+    rows = [(k, inertias[k], sides.get(k)) for k in centres]
+    return rfm.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+
+
+def principal_axes(vectors: DataFrame, count: int = 2) -> tuple[list[float], list[list[float]], list[float]]:
+    """(means, axes, shares) of the metrics: unit eigenvectors of their 3 x 3 covariance matrix, by falling
+    share of variance. The largest loading of an axis is positive, so its sign is the same everywhere."""
+    pairs = [(a, b) for a in range(len(SCALED)) for b in range(a, len(SCALED))]
+    row = vectors.agg(
+        *[F.avg(x) for x in SCALED], *[F.covar_pop(F.col(SCALED[a]), F.col(SCALED[b])) for a, b in pairs]).first()
+    means, matrix = list(row[: len(SCALED)]), np.zeros((len(SCALED), len(SCALED)))
+    if means[0] is None:
+        return [0.0] * len(SCALED), [[0.0] * len(SCALED)] * count, [0.0] * count
+    for (a, b), value in zip(pairs, row[len(SCALED):]):
+        matrix[a, b] = matrix[b, a] = value
+    sizes, axes = np.linalg.eigh(matrix)
+    order = np.argsort(-sizes)[:count]
+    chosen = [axes[:, j] * (1 if axes[np.abs(axes[:, j]).argmax(), j] > 0 else -1) for j in order]
+    whole = sizes.sum() or 1.0
+    return means, [c.tolist() for c in chosen], [float(sizes[j] / whole) for j in order]
 
 
 def pca_projection(vectors: DataFrame) -> DataFrame:
-    """First two principal components of the (centred) vectors and the share of
-    variance each explains; the sign of a component is arbitrary."""
-    model = PCA(k=2, inputCol="features", outputCol="pc").fit(vectors)
-    explained = [float(v) for v in model.explainedVariance]
-    parts = vector_to_array("pc")
-    return model.transform(vectors).select(
-        "CustomerID", parts[0].alias("pc1"), parts[1].alias("pc2"),
-        F.lit(explained[0]).alias("explained_pc1"), F.lit(explained[1]).alias("explained_pc2"),
+    """First two principal components of the (centred) metrics and the share of variance each explains."""
+    means, axes, shares = principal_axes(vectors)
+
+    def along(axis: list[float]) -> Column:
+        return sum(((F.col(x) - F.lit(m)) * F.lit(w) for x, m, w in zip(SCALED, means, axis)), F.lit(0.0))
+
+    return vectors.select(
+        "CustomerID", along(axes[0]).alias("pc1"), along(axes[1]).alias("pc2"),
+        F.lit(shares[0]).alias("explained_pc1"), F.lit(shares[1]).alias("explained_pc2"),
     )
 
 

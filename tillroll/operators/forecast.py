@@ -23,8 +23,8 @@ def with_trend(monthly: DataFrame) -> DataFrame:
         F.count(F.lit(1)).over(every).alias("n"),
         total(F.col("t")).alias("sum_t"),
         total(F.col("t") * F.col("t")).alias("sum_tt"),
-        total(F.col("revenue")).cast("decimal(30,2)").alias("sum_y"),
-        total(F.col("t").cast("decimal(8,0)") * F.col("revenue").cast("decimal(28,2)")).cast("decimal(32,2)").alias("sum_ty"),
+        total(F.col("revenue")).cast("decimal(30,6)").alias("sum_y"),
+        total(F.col("t").cast("decimal(8,0)") * F.col("revenue").cast("decimal(28,6)")).cast("decimal(32,6)").alias("sum_ty"),
     )
     n = F.col("n").cast("decimal(6,0)")
     rise = n * F.col("sum_ty") - F.col("sum_t").cast("decimal(8,0)") * F.col("sum_y")

@@ -65,7 +65,7 @@ def dataset_summary(transactions: DataFrame) -> DataFrame:
 
 def long_metrics(rfm: DataFrame, metrics: list[str], *keep: str) -> DataFrame:
     """(customer, metric, value) rows."""
-    pairs = ", ".join(f"'{m}', cast({m} AS decimal(28,2))" for m in metrics)
+    pairs = ", ".join(f"'{m}', cast({m} AS decimal(28,6))" for m in metrics)
     return rfm.select("CustomerID", *keep, F.expr(f"stack({len(metrics)}, {pairs})").alias("metric", "value"))
 
 

@@ -9,6 +9,7 @@ from tillroll.functions.scoring import risk_level
 from tillroll.operators.cleaning import products_only
 from tillroll.operators.revenue import top_products
 from tillroll.operators.running import join_heavy, running_totals
+from tillroll.schemas import MONEY
 from tillroll.sources.staging import stage
 
 # Bounds and default of the list length, and the evaluation depth.
@@ -28,7 +29,7 @@ def cluster_product_revenue(transactions: DataFrame, rfm: DataFrame) -> DataFram
         F.sum("TotalPrice").alias("revenue"), F.count(F.lit(1)).alias("lines"))
     members = rfm.select("CustomerID", "Cluster_Name").dropna()
     return bought.join(members, "CustomerID").groupBy("Cluster_Name", "Description").agg(
-        F.sum("revenue").cast("decimal(28,2)").alias("revenue"), F.sum("lines").alias("lines"))
+        F.sum("revenue").cast(MONEY).alias("revenue"), F.sum("lines").alias("lines"))
 
 
 def ranked_products(revenue: DataFrame, deepest: int) -> DataFrame:

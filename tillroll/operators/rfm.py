@@ -8,14 +8,15 @@ from pyspark.sql.window import Window
 from tillroll.functions.dates import elapsed_days
 from tillroll.functions.scoring import segment_name
 from tillroll.operators.ranking import rows_at_ranks
+from tillroll.schemas import MONEY
 from tillroll.sources.staging import stage
 
 QUINTILES = 5
 _CUTS = range(1, QUINTILES)
 _WHOLE = "_whole_table"
-# What is ranked, as integers (money in hundredths): cheaper to sort and compare
+# What is ranked, as integers (money in millionths): cheaper to sort and compare
 # than wide decimals, and just as exact.
-_RANKED = {"f": "CAST(frequency AS BIGINT)", "m": "CAST(monetary * 100 AS BIGINT)"}
+_RANKED = {"f": "CAST(frequency AS BIGINT)", "m": "CAST(monetary * 1000000 AS BIGINT)"}
 
 
 def customer_history(transactions: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def customer_history(transactions: DataFrame) -> DataFrame:
         F.min("InvoiceDate").alias("first_purchase"),
         F.max("InvoiceDate").alias("last_purchase"),
         F.countDistinct("Invoice").alias("frequency"),
-        F.sum("TotalPrice").cast("decimal(28,2)").alias("monetary"),
+        F.sum("TotalPrice").cast(MONEY).alias("monetary"),
     )
 
 

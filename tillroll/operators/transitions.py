@@ -17,6 +17,7 @@ from tillroll.operators.month_ranks import (
     entries_and_exits, rows_at_monthly_ranks, standing_by_month, standing_in,
 )
 from tillroll.operators.rfm import QUINTILES, apply_cuts, ranked_amounts, recency_edges, with_total_and_segment
+from tillroll.schemas import MONEY
 from tillroll.sources.staging import stage
 
 # Limits of the power iteration and its closeness test.
@@ -52,7 +53,7 @@ def standing_changes(transactions: DataFrame) -> DataFrame:
         F.col("Month").alias("from_month"),
         F.lead("Month").over(so_far).alias("until_month"),
         F.sum("new_invoices").over(so_far).alias("frequency"),
-        F.sum("spend").over(so_far).cast("decimal(28,2)").alias("monetary"),
+        F.sum("spend").over(so_far).cast(MONEY).alias("monetary"),
         F.max("last_purchase").over(so_far).alias("last_purchase"),
     )
 

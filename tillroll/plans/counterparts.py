@@ -391,6 +391,33 @@ SELECT ROUND((1 + 2 * p * cos(phi)) / 3, 6) AS explained_pc1,
 FROM (SELECT p, acos(ab * ac * bc / pow(p, 3)) / 3 AS phi
       FROM (SELECT *, sqrt((ab * ab + ac * ac + bc * bc) / 3) AS p
             FROM (SELECT corr(r, f) AS ab, corr(r, m) AS ac, corr(f, m) AS bc FROM z)))""", _SCALED)
+COUNTERPARTS["cluster_inertia"] = _rfm("""
+SELECT COUNT(DISTINCT c) AS k, ROUND(SUM(pow(r - mr, 2) + pow(f - mf, 2) + pow(m - mm, 2)), 4) AS inertia
+FROM (SELECT part, c, r, f, m, AVG(r) OVER own AS mr, AVG(f) OVER own AS mf, AVG(m) OVER own AS mm
+      FROM (SELECT 1 AS part, 0 AS c, * FROM z UNION ALL SELECT 2, Cluster, * FROM z)
+      WINDOW own AS (PARTITION BY part, c))
+GROUP BY part""", _SCALED)
+# An eigenvector is the cross product of two rows of the matrix less its eigenvalue; the longest of three is taken.
+_AXES = _SCALED + """,
+corrs AS (SELECT corr(r, f) AS ab, corr(r, m) AS ac, corr(f, m) AS bc FROM z),
+roots AS (
+  SELECT *, 1 + 2 * p * cos(phi) AS l1, 1 - 2 * p * cos(phi) - 2 * p * cos(phi + 2 * pi() / 3) AS l2
+  FROM (SELECT *, acos(ab * ac * bc / pow(sqrt((ab * ab + ac * ac + bc * bc) / 3), 3)) / 3 AS phi,
+               sqrt((ab * ab + ac * ac + bc * bc) / 3) AS p FROM corrs)),
+lists AS (SELECT 1 AS j, l1 AS l, 1 - l1 AS d, ab, ac, bc FROM roots UNION ALL SELECT 2, l2, 1 - l2, ab, ac, bc FROM roots),
+crossed AS (
+  SELECT j, l, unnest([[ab * bc - ac * d, ac * ab - d * bc, d * d - ab * ab], [ab * d - ac * bc, ac * ac - d * d, d * bc - ab * ac],
+                       [d * d - bc * bc, bc * ac - ab * d, ab * bc - d * ac]]) AS v FROM lists),
+longest AS (
+  SELECT j, l, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM crossed
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY j ORDER BY list_sum(list_transform(v, lambda y: y * y)) DESC) = 1),
+axes AS (
+  SELECT j, l, list_transform(v, lambda x: x * sign(v[list_position(
+    list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))])) AS v FROM longest)"""
+COUNTERPARTS["cluster_pca"] = _rfm("""
+SELECT CustomerID, ROUND(r * a.v[1] + f * a.v[2] + m * a.v[3], 4) AS pc1, ROUND(r * b.v[1] + f * b.v[2] + m * b.v[3], 4) AS pc2,
+       ROUND(a.l / 3, 4) AS explained_pc1, ROUND(b.l / 3, 4) AS explained_pc2
+FROM z CROSS JOIN (SELECT * FROM axes WHERE j = 1) a CROSS JOIN (SELECT * FROM axes WHERE j = 2) b""", _AXES)
 COUNTERPARTS["cluster_means"] = _rfm("SELECT Cluster, " + ", ".join(
     f"ROUND(AVG(CAST({m} AS DOUBLE)), 2) AS {m}" for m in _METRICS) + " FROM rfm GROUP BY 1")
 COUNTERPARTS["cluster_names"] = _rfm("""

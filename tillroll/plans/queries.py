@@ -244,6 +244,11 @@ def _silhouette_of(assigned: DataFrame) -> DataFrame:
         F.lit(clusters.silhouette(assigned)).alias("silhouette"))
 
 
+def _inertias(labelled: DataFrame) -> DataFrame:
+    """Of one cluster, and of the stand-in labels."""
+    return clusters.inertia(labelled.withColumn("Cluster", F.lit(0))).unionByName(clusters.inertia(labelled))
+
+
 _on_base("cluster_clip_outliers", lambda c: rounded(
     clusters.clip_outliers(c).select("CustomerID", "recency", "frequency", "monetary"), 4, "frequency", "monetary"))
 _on_base("cluster_standardise", lambda c: rounded(
@@ -258,7 +263,8 @@ _on_customers("cluster_means", lambda c: rounded(clusters.cluster_means(c), 2, "
 _on_customers("cluster_names", lambda c: clusters.name_clusters(c.drop("Cluster_Name")).select(
     "CustomerID", "Cluster", "Cluster_Name"))
 _on_base("cluster_elbow", clusters.elbow)
-_register("cluster_pca", lambda spark, folder: clusters.pca_projection(_clustered_vectors(spark, folder)))
+_on_base("cluster_pca", lambda c: rounded(clusters.pca_projection(clusters.with_features(c, clip=True)), 4, "pc1", "pc2", *_SHARES))
+_on_customers("cluster_inertia", lambda c: rounded(_inertias(clusters.with_features(c, clip=True)), 4, "inertia"))
 _on_base("cluster_churn_risk", lambda c: rounded(
     clusters.churn_risk(c).select("CustomerID", "Churn_Risk"), 6, "Churn_Risk"))
 _on_customers("cluster_mean_risk", lambda c: clusters.mean_risk_by_cluster(clusters.churn_risk(c)))
@@ -270,11 +276,14 @@ def _retention(tx: DataFrame) -> DataFrame:
     return cohorts.retention(cohorts.cohort_counts(tx))
 
 
-def _cohort_pivot(tx: DataFrame, value: str, kind: str) -> DataFrame:
+#: Periods the registered matrices show at least, so that their layout is the same for every table.
+_SHOWN_PERIODS = 81
+
+
+def _cohort_pivot(tx: DataFrame, value: str, kind: str, periods: int) -> DataFrame:
     long = stage(_retention(tx), "cohort-retention").withColumn(value, F.col(value).cast(kind))
     last = long.agg(F.max("CohortPeriod")).first()[0]
-    # At least as many columns as the test tables have periods, so that the layout is fixed.
-    return cohorts.cohort_matrix(long, value, list(range(max(81, (last or 0) + 1))))
+    return cohorts.cohort_matrix(long, value, list(range(max(periods, (last or 0) + 1))))
 
 
 _on_transactions("cohort_month", cohorts.customer_months)
@@ -282,9 +291,9 @@ _on_transactions("cohort_period", lambda tx: cohorts.with_cohort_period(cohorts.
 _on_transactions("cohort_period_calendar", lambda tx: cohorts.with_cohort_period(
     cohorts.customer_months(tx), calendar=True))
 _on_transactions("cohort_counts", cohorts.cohort_counts)
-_on_transactions("cohort_matrix", lambda tx: _cohort_pivot(tx, "customers", "double"))
+_on_transactions("cohort_matrix", lambda tx: _cohort_pivot(tx, "customers", "double", _SHOWN_PERIODS))
 _on_transactions("cohort_retention_matrix", lambda tx: rounded(
-    (wide := _cohort_pivot(tx, "retention_pct", "double")), 6, *wide.columns[1:]))
+    (wide := _cohort_pivot(tx, "retention_pct", "double", _SHOWN_PERIODS)), 6, *wide.columns[1:]))
 _on_transactions("cohort_sizes", lambda tx: cohorts.cohort_sizes(cohorts.cohort_counts(tx)))
 _on_transactions("cohort_retention", lambda tx: rounded(_retention(tx), 6, "retention_pct"))
 _on_transactions("cohort_first_periods", lambda tx: rounded(

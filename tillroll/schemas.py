@@ -2,7 +2,8 @@
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(28, 2)
+#: Totals keep the decimals of unit prices, so three pins at a tenth of a cent do not vanish.
+MONEY = T.DecimalType(28, 6)
 #: Unit prices keep up to six decimals, so a price below a cent does not turn into zero.
 UNIT_PRICE = T.DecimalType(18, 6)
 

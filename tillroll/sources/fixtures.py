@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators.cleaning import clean_transactions
-from tillroll.schemas import MONEY, UNIT_PRICE
+from tillroll.schemas import UNIT_PRICE
 
 
 # Columns used of each source table. Declared, so opening a table starts no job.
@@ -81,6 +81,6 @@ def timed_purchases(spark: SparkSession, folder: str) -> DataFrame:
             F.col("event_id").cast("string").alias("Invoice"),
             F.col("user_id").alias("CustomerID"),
             F.col("ts").alias("InvoiceDate"),
-            F.col("value").cast(MONEY).alias("TotalPrice"),
+            F.col("value").cast("decimal(28,2)").alias("TotalPrice"),
         )
     )
