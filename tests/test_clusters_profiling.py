@@ -112,7 +112,7 @@ def test_shared_silhouettes_equal_the_evaluator(three_groups):
     points = {r["k"]: r for r in clusters.elbow(customers, range(2, 5)).collect()}
     vectors = clusters.with_features(customers, clip=False)
     for k, centres in clusters.fit_centres(vectors, [2, 3, 4]).items():
-        assigned = vectors.withColumn("Cluster", clusters._nearest(centres)["cluster"])
+        assigned = vectors.withColumn("Cluster", clusters.with_nearest(centres))
         assert points[k]["silhouette"] == pytest.approx(clusters.silhouette(assigned), abs=1e-9)
         row = clusters.inertia(assigned).first()
         assert row["k"] == k and row["inertia"] == pytest.approx(points[k]["inertia"], abs=1e-3)

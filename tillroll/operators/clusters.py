@@ -15,8 +15,9 @@ HIGH_VALUE, CHURNED, ACTIVE_REGULAR = "High Value", "Churned", "Active Regular"
 CAPPED_METRICS = ["frequency", "monetary"]
 SEED = 42
 SCALED = [f"{m}_scaled" for m in RFM_METRICS]
-#: Rows the first centres are drawn from, draws and steps among them, passes over all rows, smallest move.
-SAMPLE, DRAWS, MOST_STEPS, TOLERANCE = 5000, 10, 60, 1e-4
+#: Rows the first centres are drawn from, draws and steps among them, passes over all rows, and the move
+#: of all centres of a k together (root of squared distances) below which it rests.
+SAMPLE, DRAWS, MOST_STEPS, TOLERANCE = 10_000, 10, 40, 1e-2
 
 
 def clip_outliers(rfm: DataFrame) -> DataFrame:
@@ -47,13 +48,26 @@ def with_features(rfm: DataFrame, clip: bool) -> DataFrame:
     return VectorAssembler(inputCols=SCALED, outputCol="features").transform(staged)
 
 
-def _distance(centre: list[float]) -> Column:
-    return sum(((F.col(x) - F.lit(c)) ** 2 for x, c in zip(SCALED, centre)), F.lit(0.0))
+def _tables(rows_of: dict[int, list[list[float]]]) -> Column:
+    """An array literal of (k, rows), one row of numbers per cluster. As data, not as code, it leaves the
+    plan the same from pass to pass, so Spark compiles it once."""
+    numbers = lambda row: "array(" + ", ".join(f"{float(x)!r}D" for x in row) + ")"
+    return F.expr("array(" + ", ".join(
+        f"named_struct('k', {k}, 'rows', array({', '.join(map(numbers, rows))}))" for k, rows in rows_of.items()) + ")")
 
 
-def _nearest(centres: list[list[float]]) -> Column:
-    """(distance, cluster) of the nearest centre, the first of equally near ones."""
-    return F.array_min(F.array(*[F.struct(_distance(c).alias("distance"), F.lit(j).alias("cluster")) for j, c in enumerate(centres)]))
+def _nearest(rows: Column) -> Column:
+    """(distance, cluster) of the nearest of the centres that `rows` begin with, the first of equally near ones."""
+    def distance(row: Column) -> Column:
+        apart = [F.col(x) - row[i] for i, x in enumerate(SCALED)]
+        return sum((d * d for d in apart[1:]), apart[0] * apart[0])
+
+    return F.array_min(F.transform(rows, lambda row, j: F.struct(distance(row).alias("distance"), j.alias("cluster"))))
+
+
+def with_nearest(centres: list[list[float]]) -> Column:
+    """Cluster of the nearest centre."""
+    return _nearest(_tables({len(centres): centres})[0]["rows"])["cluster"]
 
 
 def _starts(sample: np.ndarray, k: int, seed: int) -> list[list[float]]:
@@ -76,12 +90,21 @@ def _starts(sample: np.ndarray, k: int, seed: int) -> list[list[float]]:
     return best[1].tolist()
 
 
+def _each_k(points: DataFrame, rows_of: dict[int, list[list[float]]]) -> DataFrame:
+    """(metrics, k, rows, near) for every point and k."""
+    beside = points.select(*SCALED, F.inline(_tables(rows_of)))
+    return beside.withColumn("near", _nearest(F.col("rows")))
+
+
+def _norm() -> Column:
+    return sum((F.col(x) * F.col(x) for x in SCALED[1:]), F.col(SCALED[0]) * F.col(SCALED[0]))
+
+
 def _cluster_sums(points: DataFrame, centres: dict[int, list[list[float]]]) -> dict[tuple[int, int], Row]:
     """Per k and cluster: rows, sums of the metrics and of their squares, and of the distances; one pass for all k."""
-    near = F.array(*[F.struct(F.lit(k).alias("k"), _nearest(c).alias("near")) for k, c in centres.items()])
-    found = points.select(*SCALED, F.inline(near)).groupBy("k", "near.cluster").agg(
+    found = _each_k(points, centres).groupBy("k", "near.cluster").agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(x).alias(x) for x in SCALED],
-        F.sum(sum((F.col(x) ** 2 for x in SCALED), F.lit(0.0))).alias("squares"), F.sum("near.distance").alias("distance"))
+        F.sum(_norm()).alias("squares"), F.sum("near.distance").alias("distance"))
     return {(r["k"], r["cluster"]): r for r in found.collect()}
 
 
@@ -89,7 +112,7 @@ def fit_centres(points: DataFrame, ks: list[int], seed: int = SEED) -> dict[int,
     """Centres of K-Means for every k of ks, all moved in the same passes over `points`.
 
     The first centres come from a sample of SAMPLE rows at most, drawn by a hash of the customer.
-    Passes end when no centre of any k moves by more than TOLERANCE, or after MOST_STEPS.
+    Passes end when the centres of every k have moved by less than TOLERANCE, or after MOST_STEPS.
     """
     drawn = points.orderBy(F.xxhash64("CustomerID", F.lit(seed)), "CustomerID").limit(SAMPLE)
     sample = np.array([tuple(r) for r in drawn.select(*SCALED).collect()], float).reshape(-1, len(SCALED))
@@ -106,7 +129,7 @@ def fit_centres(points: DataFrame, ks: list[int], seed: int = SEED) -> dict[int,
             old = centres[k]
             centres[k] = [
                 [sums[k, j][x] / sums[k, j]["rows"] for x in SCALED] if (k, j) in sums else c for j, c in enumerate(old)]
-            if max(sum((a - b) ** 2 for a, b in zip(*pair)) for pair in zip(old, centres[k])) > TOLERANCE**2:
+            if sum((a - b) ** 2 for pair in zip(old, centres[k]) for a, b in zip(*pair)) > TOLERANCE**2:
                 still.append(k)
         moving = still
     return centres
@@ -122,7 +145,9 @@ def assign_clusters(rfm: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
     """`rfm` with the vector and a Cluster column: the nearest of k centres."""
     vectors = with_features(rfm, clip=True)
     centres = fit_centres(vectors, [k], seed).get(k)
-    return vectors.withColumn("Cluster", _nearest(centres)["cluster"] if centres else F.lit(None).cast("int"))
+    if not centres:
+        return vectors.withColumn("Cluster", F.lit(None).cast("int"))
+    return vectors.withColumn("Cluster", with_nearest(centres))
 
 
 def fit_clusters(rfm: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
@@ -165,26 +190,31 @@ def inertia(assigned: DataFrame) -> DataFrame:
 
 
 def _silhouettes(points: DataFrame, centres: dict[int, list[list[float]]], sums: dict[tuple[int, int], Row]) -> dict[int, float]:
-    """Mean silhouette with squared distances for every k, from the sums of its clusters; one pass for all k."""
-    norm = sum((F.col(x) ** 2 for x in SCALED), F.lit(0.0))
-
-    def far(r: Row) -> Column:
-        return norm + r["squares"] / r["rows"] - 2 * sum((F.col(x) * (r[x] / r["rows"]) for x in SCALED), F.lit(0.0))
-
-    def one(k: int) -> Column:
-        held = [sums.get((k, j)) for j in range(k)]
-        value = F.lit(None).cast("double")
-        for j, own in enumerate(held):
-            others = [far(r) for i, r in enumerate(held) if r and i != j]
-            if not own or not others:
-                continue
-            a = far(own) * own["rows"] / max(own["rows"] - 1, 1)
-            b = F.array_min(F.array(*others))
-            score = F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)) if own["rows"] > 1 else F.lit(0.0)
-            value = F.when(_nearest(centres[k])["cluster"] == j, score).otherwise(value)
-        return F.avg(value).alias(str(k))
-
-    return {int(k): v for k, v in points.agg(*[one(k) for k in centres]).first().asDict().items()} if centres else {}
+    """Mean silhouette with squared distances for every k, from the sums of its clusters; one pass for all k.
+
+    The mean squared distance of a point to a cluster is its norm, plus the mean norm of the cluster,
+    less twice the product with the cluster's mean.
+    """
+    rows_of = {
+        k: [[*c, *(own[x] / own["rows"] for x in SCALED), own["squares"] / own["rows"], own["rows"]]
+            for j, c in enumerate(of_k) if (own := sums.get((k, j)))]
+        for k, of_k in centres.items()}
+    rows_of = {k: rows for k, rows in rows_of.items() if len(rows) > 1}
+    if not rows_of:
+        return {}
+    mean_at, square_at, size_at = len(SCALED), 2 * len(SCALED), 2 * len(SCALED) + 1
+
+    def far(row: Column) -> Column:
+        product = [F.col(x) * row[mean_at + i] for i, x in enumerate(SCALED)]
+        return F.col("norm") + row[square_at] - 2 * sum(product[1:], product[0])
+
+    sides = _each_k(points, rows_of).withColumn("norm", _norm()).withColumn("own", F.col("rows")[F.col("near.cluster")])
+    size = F.col("own")[size_at]
+    a = far(F.col("own")) * size / F.greatest(size - 1, F.lit(1.0))
+    b = F.array_min(F.transform(F.filter("rows", lambda _, j: j != F.col("near.cluster")), far))
+    score = F.when(F.col("n") > 1, F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).otherwise(0.0)
+    found = sides.select("k", size.alias("n"), a.alias("a"), b.alias("b")).groupBy("k").agg(F.avg(score).alias("mean"))
+    return {r["k"]: r["mean"] for r in found.collect()}
 
 
 def elbow(rfm: DataFrame, ks: range = range(1, 11), seed: int = SEED) -> DataFrame:
