@@ -115,6 +115,7 @@ _TX_COLUMNS = ("Invoice, StockCode, Description, Quantity, " + _STAMP +
 _CUSTOMER_COLUMNS = ("CustomerID, recency, frequency, CAST(monetary AS DOUBLE) AS monetary, "
                      'r_score AS "R-Score", f_score AS "F-Score", m_score AS "M-Score", total AS "RFM_Score", Segment')
 _FILE_COLUMNS = _CUSTOMER_COLUMNS + ", Cluster, Cluster_Name"
+# Descriptions that are charges.
 _PRODUCTS = "upper(Description) NOT IN ('POSTAGE','MANUAL','DOTCOM POSTAGE','CRUK COMMISSION')"
 _PRODUCTS_EXACT = "Description NOT IN ('POSTAGE','MANUAL','DOTCOM POSTAGE','CRUK COMMISSION')"
 _WEEKDAY_LIST = ", ".join(f"({i}, '{d}')" for i, d in enumerate(WEEKDAYS, 1))
