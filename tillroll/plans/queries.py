@@ -183,17 +183,6 @@ _on_transactions("revenue_home_and_international", revenue.home_and_internationa
 
 # ---- SQL reports --------------------------------------------------------------
 
-_REPORT_QUERIES = {
-    "report_monthly_revenue": "Monthly Revenue Trend",
-    "report_top_customers": "Top 10 Customers by Total Spend",
-    "report_segments": "Revenue and Orders by RFM Segment",
-    "report_clusters": "Average Order Value by K-Means Cluster",
-    "report_top_products": "Top 15 Products by Revenue",
-    "report_retention": "Customer Retention Rate",
-    "report_countries": "Revenue by Country (Top 10)",
-}
-
-
 def _report(title):
     def build(spark, folder):
         if "JOIN rfm" in REPORTS[title].sql:
@@ -203,8 +192,8 @@ def _report(title):
     return build
 
 
-for _name, _title in _REPORT_QUERIES.items():
-    _register(_name, _report(_title))
+for _title, _named in REPORTS.items():
+    _register(_named.query, _report(_title))
 
 # ---- RFM ----------------------------------------------------------------------
 

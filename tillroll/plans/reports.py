@@ -13,6 +13,9 @@ from tillroll.sources.views import run_query
 
 @dataclass(frozen=True)
 class Report:
+    """A report: the name of its registered query, its statement, and what it tells."""
+
+    query: str
     sql: str
     insight: str
 
@@ -20,6 +23,7 @@ class Report:
 # The dictionary keys are fixed values: the names users look reports up by.
 REPORTS = {
     "Monthly Revenue Trend": Report(
+        query="report_monthly_revenue",
         sql="""
 WITH baskets AS (
   SELECT date_format(InvoiceDate, 'yyyy-MM') AS month, Invoice, CustomerID, SUM(TotalPrice) AS spend
@@ -37,6 +41,7 @@ ORDER BY month""",
         insight="Compare order and active-customer counts with revenue to tell larger baskets from more buyers.",
     ),
     "Top 10 Customers by Total Spend": Report(
+        query="report_top_customers",
         sql="""
 WITH spenders AS (
   SELECT CustomerID, SUM(TotalPrice) AS spend, COUNT(DISTINCT Invoice) AS num_orders
@@ -54,6 +59,7 @@ LIMIT 10""",
         insight="Shows how far revenue depends on a few accounts, and in which segment they sit.",
     ),
     "Revenue and Orders by RFM Segment": Report(
+        query="report_segments",
         sql="""
 WITH baskets AS (
   SELECT CustomerID, Invoice, SUM(TotalPrice) AS spend
@@ -72,6 +78,7 @@ ORDER BY total_revenue DESC, r.Segment""",
         insight="Revenue per customer ranks the segments by what winning back or keeping one customer is worth.",
     ),
     "Average Order Value by K-Means Cluster": Report(
+        query="report_clusters",
         sql="""
 WITH baskets AS (
   SELECT CustomerID, Invoice, SUM(TotalPrice) AS spend, COUNT(*) AS line_count
@@ -91,6 +98,7 @@ ORDER BY avg_order_value DESC, cluster""",
         insight="Clusters with large orders call for account care, those with small ones for volume campaigns.",
     ),
     "Top 15 Products by Revenue": Report(
+        query="report_top_products",
         sql="""
 WITH sold AS (
   SELECT Description, Invoice, SUM(TotalPrice) AS spend, SUM(Quantity) AS units,
@@ -112,6 +120,7 @@ LIMIT 15""",
         insight="The products to watch first for stock and promotion.",
     ),
     "Customer Retention Rate": Report(
+        query="report_retention",
         sql="""
 WITH buyers AS (
   SELECT CustomerID, COUNT(DISTINCT Invoice) AS orders
@@ -132,6 +141,7 @@ FROM tally""",
         insight="The share of buyers who never came back is the room a second-purchase offer has.",
     ),
     "Revenue by Country (Top 10)": Report(
+        query="report_countries",
         sql="""
 WITH baskets AS (
   SELECT Country, CustomerID, Invoice, SUM(TotalPrice) AS spend
