@@ -26,5 +26,5 @@ def test_stages_stand_odd_and_empty_rows(spark, odd, folder, name):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
     assert set(__spark_entry__.oracle_sql()) <= set(names)

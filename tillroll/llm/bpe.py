@@ -28,8 +28,8 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Entries that the caches of pieces and of pairs hold before they are emptied.
-CACHE = 150_000
+#: Entries that the caches of pieces and of pairs hold before they are emptied, and characters of the pieces.
+CACHE, CACHE_CHARS = 150_000, 2_000_000
 #: Rows whose tokens are held at once; a batch is answered in parts of so many.
 ROWS = 256
 #: Characters of a text that are split into pieces at once.
@@ -51,11 +51,18 @@ class _Pieces(dict):
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.held = 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         self[piece] = ids = self.encode(piece.encode().decode("latin-1"))
+        self.held += len(piece)
         return ids
 
+    def bound(self) -> None:
+        if len(self) > CACHE or self.held > CACHE_CHARS:
+            self.clear()
+            self.held = 0
+
 
 class Vocabulary:
     """Tables of a tokenizers JSON file with a byte-level BPE model; texts of its bytes as Latin-1.
@@ -173,14 +180,13 @@ class Vocabulary:
 
     def encode(self, text: str) -> list[int]:
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
         out: list[int] = []
         for k, part in enumerate(self.special_split.split(text) if self.special_split else [text]):
             if k % 2:
                 out.append(self.special[part])
             else:
                 for some in self._parts(part):
+                    known.bound()
                     out.extend(chain.from_iterable(map(known.__getitem__, self.pieces.findall(some))))
         return out
 

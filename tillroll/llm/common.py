@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,9 +24,26 @@ from tillroll.sources.staging import stage
 #: (each a few numbers wide); beyond that Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes of the Arrow batches that pass between Spark and its Python workers, and the setting for it. Rows
+#: are texts of any length, so a number of rows would not bound them.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+SPARKS_OWN = {"64MB", "67108864", "67108864b"}
+
 _shipped: set[str] = set()
 
 
+def _given_back(function: Callable) -> Callable:
+    """function, after which a worker gives the memory it no longer uses back, for it is reused by other stages."""
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -48,7 +69,13 @@ def meeting_route() -> Column:
 
 
 def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """df.mapInArrow(function, schema), with this package sent to the executors first."""
+    """df.mapInArrow(function, schema), with this package sent to the executors first.
+
+    Batches get at most BATCH_BYTES, unless the session was given another limit than Spark's own.
+    """
+    setting = df.sparkSession.conf
+    if setting.get(BATCH_SETTING) in SPARKS_OWN:
+        setting.set(BATCH_SETTING, str(BATCH_BYTES))
     context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:
         package = Path(tillroll.__file__).parent
@@ -58,7 +85,7 @@ def map_batches(df: DataFrame, function: Callable, schema: str | StructType) ->
                 out.write(path, path.relative_to(package.parent))
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_given_back(function), schema)
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
