@@ -65,8 +65,9 @@ _NATIONAL = f"(?<![\\p{{L}}\\p{{N}}_+])(?<![0-9][.,/-])(?!{_NUMBER}{_STOP})(?:"
     "(?:0[1-9][0-9]{3}|\\(0[1-9][0-9]{3}\\)) ?[0-9]{3}[ -]?[0-9]{3}",
     "(?:0[1-9][0-9]{1,4}(?:[ /-]| [/-] )|\\(0[1-9][0-9]{1,4}\\)[ /-]?)(?:[0-9]{4,9}(?:-[0-9]{1,4})?|[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3})",
 )) + ")"
+# A domain has 127 labels at most, which also bounds the depth to which Java follows the repeated group.
 KINDS = {
-    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?){1,126}",
     "ip": f"{_START}(?<!\\.){_OCTET}(?:\\.{_OCTET}){{3}}{_STOP}(?!\\.[0-9])",
     "date": f"{_START}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{2}}[./-][0-9]{{2}}[./-][0-9]{{4}}|{_SHORT_DATE}){_STOP}",
     "iban": _iban_pattern(),
