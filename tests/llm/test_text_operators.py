@@ -326,3 +326,38 @@ def test_token_columns(odd):
     rows = bpe.decode(encoded, PATH).collect()
     assert len(rows) == 11 and all(r.decoded == (r.text or "") for r in rows)
     assert all(r.ids == [] for r in rows if not r.text)
+
+
+# ---- limits that once crashed -------------------------------------------------
+
+
+def test_addresses_with_very_many_labels(docs):
+    rows = [(1, "x@" + "a." * 100_000 + "a"), (2, "x@" + "a" * 100_000 + ".com"), (3, "mail bob@example.co.uk."), (4, "x@b..com y@c-.de")]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(rows)).collect()}
+    assert len(got[1].text) == len(rows[0][1]) and [f.kind for f in got[1].found] == ["email"]
+    assert got[3].text.endswith("@example.co.uk.") and "bob" not in got[3].text and got[4].text == rows[3][1]
+
+
+def test_very_many_languages(spark, docs):
+    names = [f"l{k:03d}" for k in range(100)]
+    pick = random.Random(1)
+    own = {n: ["".join(pick.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(12)] for n in names}
+    rows = [(k, " ".join(pick.choices(own[n], k=20)), n) for k, n in enumerate(names * 8)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 100 and max(max(x) for x in model.lexicon.values()) == 99
+    got = langid.identify(docs([(k, " ".join(own[n])) for k, n in enumerate(names)]), model).orderBy("doc_id").collect()
+    assert sum(r.lang_pred == n for r, n in zip(got, names)) >= 95
+
+
+def test_letters_and_their_marks(docs):
+    model = langid.train([("en", "the house and the garden"), ("fr", "une maison avec le jardin")] * 5)
+    got = {r.doc_id: r for r in langid.identify(docs([(1, "½ ² Ⅷ 3 _"), (2, "état ½")]), model).collect()}
+    assert got[1].lang_pred == langid.UNKNOWN and got[2].n_words == 1
+
+
+def test_cached_pieces_are_bounded(pair, monkeypatch):
+    own, library = pair
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 100)
+    monkeypatch.setattr(bpe, "PART", 50)
+    text = " ".join(f"word{k}" for k in range(500))
+    assert own.encode(text) == library.encode(text, add_special_tokens=False).ids and own.known.held < 400

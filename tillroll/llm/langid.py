@@ -1,6 +1,6 @@
 """Language of words and texts by a linear-chain conditional random field.
 
-Words (runs of letters, lower-cased) get a score for each language from the sum of the weights of
+Words (runs of letters with their marks, lower-cased) get a score for each language from the sum of the weights of
 their n-grams of two to four characters, those at a border being affixes, and of their entries in
 one lexicon per language. Learned transitions say how likely a neighbour has the same language,
 and forward-backward turns both into a probability for each word and language, so that a text
@@ -9,13 +9,13 @@ may switch. Weights, transitions and lexicons are learned from a bounded sample
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 from tillroll.llm.common import map_batches
 from tillroll.llm.words import constants, mix
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
-#: The sample: so many rows of each language, and of each so many characters.
+#: The sample: so many rows of each language, and of each a stretch of so many characters.
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 1500
 #: Most frequent words of a language's sample in its lexicon.
@@ -65,17 +65,21 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Crf:
-    """A learned model. step[i, j] weighs language j after i; lexicon gives a bit per language."""
+    """A learned model of any number of languages. step[i, j] weighs language j after i; lexicon lists
+    the languages of a word by number."""
 
     languages: list[str]
     grams: np.ndarray
     entries: np.ndarray
     step: np.ndarray
-    lexicon: dict[str, int]
+    lexicon: dict[str, tuple[int, ...]]
 
     def member(self, words: list[str]) -> np.ndarray:
-        masks = np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))
-        return (masks[:, None] >> np.arange(len(self.languages)) & 1).astype(np.float32)
+        found = np.zeros((len(words), len(self.languages)), np.float32)
+        for at, word in enumerate(words):
+            for k in self.lexicon.get(word, ()):
+                found[at, k] = 1
+        return found
 
     def scores(self, words: list[str]) -> np.ndarray:
         """One row per word: its score for each language."""
@@ -117,10 +121,10 @@ def train(rows: list[tuple[str, str]]) -> Crf:
     counts = [Counter() for _ in languages]
     for k, found in texts:
         counts[k].update(found)
-    lexicon: dict[str, int] = {}
+    lexicon: dict[str, tuple[int, ...]] = {}
     for k, count in enumerate(counts):
         for word, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
-            lexicon[word] = lexicon.get(word, 0) | 1 << k
+            lexicon[word] = (*lexicon.get(word, ()), k)
     kinds = len(languages)
     model = Crf(languages, np.zeros((2**BITS, kinds), np.float32), np.zeros((kinds, kinds), np.float32),
                 np.zeros((kinds, kinds), np.float32), lexicon)
@@ -304,14 +308,18 @@ def held_out(doc_id) -> F.Column:
 
 def learn(docs: DataFrame) -> Crf:
     """A model from docs (doc_id, text, lang): of each language SAMPLE_ROWS rows or all, chosen by
-    a hash of the id, that are not held out and have a language, an id and a text."""
+    a hash of the id, that are not held out and have a language, an id and a text. Of a long text
+    a stretch is taken, which begins where a hash of the text says. A row per language passes through
+    the driver."""
     usable = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     usable = usable.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("draw"), F.col("text").cast("string").alias("text"))
     rate = F.lit(0)
     for row in usable.groupBy("lang").count().collect():
         share = int(2**20 * min(1, 1.3 * SAMPLE_ROWS / row["count"]))
         rate = F.when(F.col("lang") == row["lang"], max(share, 1)).otherwise(rate)
-    drawn = usable.filter(F.pmod("draw", F.lit(2**20)) < rate).select("lang", "draw", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    begin = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    stretch = F.substring("text", begin, F.lit(SAMPLE_CHARS))
+    drawn = usable.filter(F.pmod("draw", F.lit(2**20)) < rate).select("lang", "draw", stretch.alias("text"))
     rows = sorted(tuple(r) for r in drawn.collect())
     taken, kept = Counter(), []
     for lang, _, text in rows:
