@@ -211,6 +211,18 @@ def test_repair_against_brute_force(spark):
     compare(spark, conversations(1, 150, 9))
 
 
+def test_lines_of_the_repaired_conversations(spark):
+    rows = conversations(3, 40, 9)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    lines = defaultdict(list)
+    for r in turn_repair.repair(turn_repair.damage(frame)).orderBy("key", "seq").collect():
+        lines[r.key] += r.lines
+    wanted = {r.conv_id: r.repaired_sha256 for r in turn_repair.report(frame).collect()}
+    for conv, digest in wanted.items():
+        own = lines["" if conv is None else f"={conv}"]
+        assert hashlib.sha256("\n".join(own).encode()).hexdigest() == digest
+
+
 def test_conversations_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(turn_repair, "BLOCK_BITS", 2)
     monkeypatch.setattr(turn_repair, "FAN_BITS", 1)

@@ -298,11 +298,11 @@ def _exit_row(block: dict) -> list[dict]:
 
 def _edit_rows(block: dict) -> list[dict]:
     rows, _ = unroll(block["symbols"], block["copies"], block["state"], tuple(block["end"]), block["block"] == block["last_block"])
-    return [{"seq": seq} | row for seq, row in zip(block["seqs"], rows)]
+    return [{"key": block["key"], "seq": seq} | row for seq, row in zip(block["seqs"], rows)]
 
 
 def cheapest_edits(rows: DataFrame) -> DataFrame:
-    """(seq, edits, cost, before, own, after) for each of the ordered rows.
+    """(key, seq, edits, cost, before, own, after) for each of the ordered rows.
 
     edits are the initials of Delete, Insert, Keep and Rerole for the row and its copies, with
     insertions before it (and behind the last row of a conversation); before and after are the roles
@@ -329,7 +329,7 @@ def cheapest_edits(rows: DataFrame) -> DataFrame:
     ready = alone.unionByName(cut.join(states, ["key", "block"]))
     return _each_block(
         ready, _edit_rows,
-        "seq bigint, edits string, cost bigint, before array<string>, own string, after array<string>")
+        "key string, seq bigint, edits string, cost bigint, before array<string>, own string, after array<string>")
 
 
 def repair(rows: DataFrame) -> DataFrame:
@@ -345,28 +345,32 @@ def repair(rows: DataFrame) -> DataFrame:
     inserted = lambda c: F.transform(c, lambda role: F.concat(role, F.lit(":")))
     own = F.when(F.col("own") == "-", F.array().cast("array<string>")).otherwise(F.array(F.concat(
         F.when(F.col("own") == "", F.col("role")).otherwise(F.col("own")), F.lit(":"), F.col("text"))))
-    return found.drop("symbol").join(cheapest_edits(found), "seq").withColumn(
+    return found.drop("symbol").join(cheapest_edits(found).drop("key"), "seq").withColumn(
         "lines", F.concat(inserted("before"), own, inserted("after"))).drop("before", "own", "after")
 
 
 _LEGAL = {("s", "u"), ("u", "a"), ("a", "u")}
 
 
-def digests(repaired: DataFrame) -> DataFrame:
-    """(key, illegal, cost, audit, repaired_sha256) of each repaired conversation.
+def digests(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """(key, illegal, cost, audit, repaired_sha256) of each conversation, from its ordered rows and their edits.
 
     A hash of all lines in order is sequential by its nature: the rows of a conversation pass in
-    their order through one task, which keeps the hash's state and the audit, not the rows.
+    their order through one task, each behind its edits; the task keeps the hash's state and the
+    audit, not the rows. So texts move once.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([
                 {"key": key, "illegal": illegal, "cost": cost, "audit": "".join(audit), "repaired_sha256": digest.hexdigest()}], kinds)
 
-        key, begun = None, False
+        key, begun, edit = None, False, {}
         done: list[pa.RecordBatch] = []
         for batch in batches:
             for row in batch.to_pylist():
+                if row["copies"] is None:
+                    edit = row
+                    continue
                 if not begun or row["key"] != key:
                     if begun:
                         done.append(result())
@@ -374,10 +378,11 @@ def digests(repaired: DataFrame) -> DataFrame:
                     illegal, cost, audit, digest = 0, 0, [], hashlib.sha256()
                 illegal += row["copies"] - 1 + (previous is not None and (previous, row["initial"]) not in _LEGAL)
                 previous = row["initial"]
-                cost += row["cost"]
-                audit.append(row["edits"])
-                if row["piece"] is not None:
-                    digest.update(("\n" + row["piece"] if written else row["piece"]).encode())
+                cost += edit["cost"]
+                audit.append(edit["edits"])
+                own = [] if edit["own"] == "-" else [f"{edit['own'] or row['role']}:{row['text']}"]
+                for line in [*(f"{r}:" for r in edit["before"]), *own, *(f"{r}:" for r in edit["after"])]:
+                    digest.update(("\n" + line if written else line).encode())
                     written = True
             yield from done
             done = []
@@ -385,10 +390,9 @@ def digests(repaired: DataFrame) -> DataFrame:
             yield result()
 
     kinds = pa.schema([("key", pa.string()), ("illegal", pa.int64()), ("cost", pa.int64()), ("audit", pa.string()), ("repaired_sha256", pa.string())])
-    narrow = repaired.select("key", "seq", "initial", "copies", "cost", "edits", F.when(
-        F.size("lines") > 0, F.concat_ws("\n", "lines")).alias("piece"))
+    both = edits.unionByName(rows.select("key", "seq", "role", "text", "initial", "copies"), allowMissingColumns=True)
     return map_batches(
-        narrow.repartition("key").sortWithinPartitions("key", "seq"), emit,
+        both.repartition("key").sortWithinPartitions("key", "seq", F.asc_nulls_first("copies")), emit,
         "key string, illegal bigint, cost bigint, audit string, repaired_sha256 string")
 
 
@@ -399,16 +403,16 @@ def report(conversations: DataFrame) -> DataFrame:
     that damage leaves without rows gets zeros, an empty audit and the hash of the empty text. Null
     is a conv_id of its own.
     """
-    repaired = staged(repair(damage(conversations)), "repaired-rows")
+    rows = ordered_rows(damage(conversations))
     everyone = conversations.groupBy("conv_id").agg(F.first(key_of("conv_id")).alias("key"))
     extra = F.col("copies") - 1
-    faults = repaired.groupBy("key").agg(
+    faults = rows.groupBy("key").agg(
         F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).alias("gaps"),
         F.sum(F.when(F.col("fault") == "blank", F.col("copies")).otherwise(0)).alias("blank"),
         F.sum(F.when(F.col("fault") == "blank", 0).otherwise(extra + F.when(F.col("fault") == "duplicate", 1).otherwise(0))).alias("duplicate"),
         F.count_if(F.col("fault") == "truncated").alias("truncated"))
     counts = ["gaps", "blank", "duplicate", "truncated"]
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    return everyone.join(faults, "key", "left").join(digests(repaired), "key", "left").select(
+    return everyone.join(faults, "key", "left").join(digests(rows, cheapest_edits(rows)), "key", "left").select(
         "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in [*counts, "illegal", "cost"]),
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
