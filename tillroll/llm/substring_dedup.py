@@ -107,13 +107,20 @@ def _emit_kept(size: int) -> Callable:
     return emit
 
 
-def repeated_windows(docs: DataFrame, size: int = 20) -> DataFrame:
-    """(doc, copy, at): starts, in words, of windows whose sequence also starts earlier.
+def _texts(docs: DataFrame) -> DataFrame:
+    """keyed_texts(docs), with copy 0 throughout where every row has a doc of its own: it travels with
+    every window, and need not tell rows apart then."""
+    texts = keyed_texts(docs)
+    shared = texts.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    return texts.withColumn("copy", F.lit(0).cast("long")) if shared.isEmpty() else texts
+
+
+def repeated_windows(texts: DataFrame, size: int = 20) -> DataFrame:
+    """(doc, copy, at): starts, in words, of windows whose sequence also starts earlier; texts are _texts(docs).
 
     Earlier is a smaller doc (see keyed_texts), the same doc and a smaller copy, or the same row
     and a smaller start.
     """
-    texts = keyed_texts(docs)
     anchors = map_batches(texts, _emit_anchors(size), _ROWS_SQL)
     meet = Window.partitionBy("hash", "meeting")
     twice = anchors.withColumn("meeting", meeting_route()).withColumn("rows", F.count("*").over(meet))
@@ -136,8 +143,9 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     doc_id but not the text count as documents in the order of a hash of the text. Empty input
     gives no rows; other columns are ignored.
     """
-    starts = repeated_windows(docs, size).groupBy("doc", "copy").agg(F.collect_set("at").alias("starts"))
-    joined = keyed_texts(docs).join(starts, ["doc", "copy"], "left")
+    texts = _texts(docs)
+    starts = repeated_windows(texts, size).groupBy("doc", "copy").agg(F.collect_set("at").alias("starts"))
+    joined = texts.join(starts, ["doc", "copy"], "left")
     doc_id = F.when(F.col("doc") != 2**63 - 1, F.col("doc")).alias("doc_id")
     out = joined.select(doc_id, "text", "starts")
     return map_batches(out, _emit_kept(size), "doc_id long, n_words long, n_removed long, kept_text string")
