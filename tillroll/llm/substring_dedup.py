@@ -1,10 +1,10 @@
 """Removal of word windows that occurred before, by level-wise doubling.
 
-Level one takes runs of half a window. Of those that start in a window, the one with the
-smallest hash stands for the window (its anchor); equal windows have equal anchors, so a window
-whose anchor occurs once cannot repeat. Only windows over anchors that occur twice are extended
-to the whole length, twice that of the first level, and compared there. No longer level follows:
-a repeat longer than a window consists of windows that repeat.
+Lengths double up to that of a window, for 20 words 5, 10, 20. Of the runs of one length that start
+in a window, the one with the smallest hash stands for the window (its anchor); equal windows have
+equal anchors, so a window whose anchor occurs once cannot repeat. Only windows over anchors that
+occur twice are extended to the next length; those that reach the whole one are compared there. No
+longer level follows: a repeat longer than a window consists of windows that repeat.
 
 The text is read per document; between documents only hashes, ids and positions are exchanged.
 """
@@ -20,30 +20,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import keyed_texts, map_batches, meeting_route
-from tillroll.llm.words import Words, batches_of, routes, windows, words
+from tillroll.llm.words import Words, batches_of, mix, routes, windows, words
 
 _ROWS = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("copy", pa.int64()), ("at", pa.int32()), ("route", pa.int32())])
 _ROWS_SQL = "hash long, doc long, copy long, at int, route int"
+_WINDOWS_SQL = "anchor long, doc long, copy long, at int, hashes array<long>"
 
 
-def _anchors(found: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start of each window that lies in one text, its anchor's start, the hash of every half run)."""
-    half = size // 2
-    runs = windows(found.hash, half)
+def levels(size: int) -> list[int]:
+    """Lengths of runs, each half of the next (rounded up), the last being size; the first has fewer than 8 words."""
+    found = [size]
+    while found[0] >= 8:
+        found.insert(0, -(-found[0] // 2))
+    return found
+
+
+def _anchors(found: Words, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each window that lies in one text, its anchor's start, the hash of every run of length)."""
+    runs = windows(found.hash, length)
     if len(found.hash) < size:
         return np.empty(0, np.int64), np.empty(0, np.int64), runs
-    least = np.lib.stride_tricks.sliding_window_view(runs, size - half + 1).argmin(axis=1)
+    least = np.lib.stride_tricks.sliding_window_view(runs, size - length + 1).argmin(axis=1)
     owner = found.owner()
     start = np.flatnonzero(owner[: len(least)] == owner[size - 1 :])
     return start, start + least[start], runs
 
 
-def _emit_anchors(size: int) -> Callable:
+def _survivors(batch: pa.RecordBatch, low: int, high: int, found: Words, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_anchors() of texts low..high-1, of those windows alone whose anchor is listed in the batch's last column."""
+    bounds, repeated = batch.column(3).offsets.to_numpy(), batch.column(3).flatten().to_numpy()
+    own = np.repeat(np.arange(high - low), np.diff(bounds[low : high + 1]))
+    wanted = np.zeros(len(found.hash) + 1, bool)
+    wanted[found.first[own] + repeated[bounds[low] - bounds[0] : bounds[high] - bounds[0]]] = True
+    start, at, runs = _anchors(found, size, length)
+    kept = wanted[at]
+    return start[kept], at[kept], runs
+
+
+def _emit_anchors(size: int, length: int, before: int | None) -> Callable:
+    """Anchors of `length` words of all windows, or of those over repeated anchors of `before` words."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, copy = (batch.column(k).to_numpy() for k in (0, 1))
-            for low, _, found in words(batch.column(2)):
-                _, at, runs = _anchors(found, size)
+            for low, high, found in words(batch.column(2)):
+                start, at, runs = _anchors(found, size, length)
+                if before:
+                    alive = np.zeros(len(found.hash) + 1, bool)
+                    alive[_survivors(batch, low, high, found, size, before)[0]] = True
+                    at = at[alive[start]]
                 at = np.unique(at)
                 own = found.owner()[at]
                 key = runs[at]
@@ -53,29 +78,39 @@ def _emit_anchors(size: int) -> Callable:
     return emit
 
 
-def _emit_windows(size: int) -> Callable:
-    """Windows over repeated anchors: (hash, doc, copy, start, route). Of windows alike in one
-    block of texts all but the earliest are known to be repeats, and their route is above 1."""
+def _emit_windows(size: int, length: int) -> Callable:
+    """Windows over repeated anchors of `length` words: a row for each place of an anchor, with the first
+    window's start and the hashes of its windows, which start one after another. Of windows alike in
+    one block of texts all but the earliest are known to be repeats; they have no hash. A row without
+    any hash has a number of its own for an anchor, as it need not meet others."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, copy = (batch.column(k).to_numpy() for k in (0, 1))
-            bounds, repeated = batch.column(3).offsets.to_numpy(), batch.column(3).flatten().to_numpy()
             for low, high, found in words(batch.column(2)):
-                own = np.repeat(np.arange(high - low), np.diff(bounds[low : high + 1]))
-                wanted = np.zeros(len(found.hash) + 1, bool)
-                wanted[found.first[own] + repeated[bounds[low] : bounds[high]]] = True
-                start, at, _ = _anchors(found, size)
-                start = start[wanted[at]]
+                start, at, runs = _survivors(batch, low, high, found, size, length)
                 own = found.owner()[start]
                 key, of, twin = windows(found.hash, size)[start], doc[low + own], copy[low + own]
                 order = np.lexsort((start - found.first[own], twin, of))
-                key, of, twin, start, own = (x[order] for x in (key, of, twin, start, own))
+                key, of, twin, start, own, at = (x[order] for x in (key, of, twin, start, own, at))
                 begin = (start - found.first[own]).astype(np.int32)
                 fresh = np.ones(len(key), bool)  # rows alike in doc and copy are one document
                 fresh[1:] = (of[1:] != of[:-1]) | (twin[1:] != twin[:-1]) | (begin[1:] != begin[:-1])
-                key, of, twin, begin = (x[fresh] for x in (key, of, twin, begin))
-                yield batches_of(_ROWS, [[key, of, twin, begin, routes(key, start[fresh])]])
+                key, of, twin, begin, start, at, own = (x[fresh] for x in (key, of, twin, begin, start, at, own))
+                place = at - found.first[own]
+                opens = np.ones(len(key), bool)
+                opens[1:] = (of[1:] != of[:-1]) | (twin[1:] != twin[:-1]) | (place[1:] != place[:-1])
+                first = np.flatnonzero(opens)
+                known = routes(key, start) > 1
+                anchor = runs[at[first]]
+                if len(first):
+                    alone = np.logical_and.reduceat(known, first)
+                    anchor[alone] = mix(anchor[alone] ^ mix(start[first[alone]].view(np.uint64)))
+                hashes = pa.ListArray.from_arrays(
+                    pa.array(np.append(first, len(key)), pa.int32()), pa.array(key.view(np.int64), pa.int64(), mask=known))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(of[first], pa.int64()), pa.array(twin[first], pa.int64()),
+                     pa.array(begin[first], pa.int32()), hashes], names=["anchor", "doc", "copy", "at", "hashes"])
 
     return emit
 
@@ -121,16 +156,23 @@ def repeated_windows(texts: DataFrame, size: int = 20) -> DataFrame:
     Earlier is a smaller doc (see keyed_texts), the same doc and a smaller copy, or the same row
     and a smaller start.
     """
-    anchors = map_batches(texts, _emit_anchors(size), _ROWS_SQL)
-    meet = Window.partitionBy("hash", "meeting")
-    twice = anchors.withColumn("meeting", meeting_route()).withColumn("rows", F.count("*").over(meet))
-    twice = twice.filter("route > 0 OR rows > 1")
-    # One list for each document, no longer than its words.
-    twice = twice.groupBy("doc", "copy").agg(F.collect_list("at").alias("at"))
-    joined = texts.join(twice, ["doc", "copy"]).select("doc", "copy", "text", "at")
-    found = map_batches(joined, _emit_windows(size), _ROWS_SQL)
-    turn = F.rank().over(meet.orderBy("doc", "copy", "at"))
-    return found.withColumn("meeting", meeting_route()).withColumn("turn", turn).filter("route > 1 OR turn > 1").select("doc", "copy", "at")
+    shorter = levels(size)[:-1]
+    if not shorter:
+        shorter = [size]
+    rows, before = texts, None
+    for length in shorter:
+        anchors = map_batches(rows, _emit_anchors(size, length, before), _ROWS_SQL)
+        twice = anchors.withColumn("meeting", meeting_route())
+        twice = twice.withColumn("rows", F.count("*").over(Window.partitionBy("hash", "meeting"))).filter("route > 0 OR rows > 1")
+        # One list for each document, no longer than its words.
+        twice = twice.groupBy("doc", "copy").agg(F.collect_list("at").alias("at"))
+        rows, before = texts.join(twice, ["doc", "copy"]).select("doc", "copy", "text", "at"), length
+    # Equal windows have equal anchors at equal places, so they meet where rows are dealt by anchor.
+    found = map_batches(rows, _emit_windows(size, before), _WINDOWS_SQL).repartition("anchor")
+    single = found.select("anchor", "doc", "copy", "at", F.posexplode("hashes").alias("k", "hash"))
+    single = single.select("anchor", "hash", "doc", "copy", (F.col("at") + F.col("k")).alias("at"))
+    turn = F.rank().over(Window.partitionBy("anchor", "hash").orderBy("doc", "copy", "at"))
+    return single.withColumn("turn", turn).filter("hash IS NULL OR turn > 1").select("doc", "copy", "at")
 
 
 def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
