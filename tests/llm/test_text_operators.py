@@ -87,6 +87,48 @@ def test_articles_of_the_table(spark, folder):
         assert row.text == "\n\n".join(x for x in want if x)
 
 
+def test_best_run_by_trying_all_runs():
+    pick = random.Random(7)
+    for _ in range(400):
+        scores = [pick.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(pick.randrange(14))]
+        begin, end = html_text.best_run(scores)
+        every = [sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        assert sum(scores[begin:end]) == max([0, *every])
+
+
+def renamed(page):
+    return page.replace('class="ad"', 'class="k3"')
+
+
+def unnamed(page):
+    for name in ("nav", "footer"):
+        page = page.replace(f"<{name}>", "<div>").replace(f"</{name}>", "</div>")
+    return page.replace(' class="ad"', "")
+
+
+def commented(page):
+    return page.replace("</article>", "</article><div><p>I liked this very much and will come back again soon</p></div>")
+
+
+@pytest.mark.parametrize("change", [renamed, unnamed, commented, lambda page: commented(unnamed(page))])
+def test_blocks_that_no_list_knows_are_kept_out(spark, folder, change):
+    # The table with 250 pages. An article of fewer words than the comment behind it cannot be told from it.
+    path = f"{folder.rstrip('/').replace('sf0.001', 'sf0.01')}/pages.parquet"
+    pages = [r.html for r in spark.read.parquet(path).orderBy("page_id").collect()]
+    known = html_text.learn(pages)
+    for learned_from, judged in ((pages[::2], pages[1::2]), (pages[1::2], pages[::2])):
+        weights = html_text.learn([change(p) for p in learned_from])
+        right = sum(html_text.main_text(change(p), weights) == html_text.main_text(p, known) for p in judged)
+        assert right >= 0.96 * len(judged)
+
+
+def test_listed_elements_that_hold_articles_give_text():
+    page = "<body><div>menu</div><article><div class='comment'><p>" + "word " * 30 + "</p></div></article></body>"
+    assert html_text.main_text(page, html_text.learn([page] * 5)) == "menu"  # words of listed elements alone mark nothing, so nothing is learned
+    page = page.replace("<p>word", "<p>word</p></div>first words here<div class='comment'><p>word")
+    assert html_text.main_text(page, html_text.learn([page] * 5)).split().count("word") == 31
+
+
 def test_archives_round_trip(spark, tmp_path):
     big, other = "a" * 1500, "b" * 999
     rows = [(1, "u1", big), (2, "u2", big), (3, None, other), (4, "u4", other), (5, "u5", None), (6, "u\r\n6", "WARC/1.1\r\n\r\né" + big),
@@ -179,6 +221,25 @@ def test_order_of_rules_changes_no_verdict(docs):
     assert both[0] == both[1] and (3, True) in both[0]
 
 
+def measured(rows):
+    rows = rows.withColumn("words", quality.words(F.col("text"))).withColumn("n_words", F.size("words").cast("long"))
+    return rows.select("*", *(f(F.col("text")).alias(f.__name__) for f in (quality.word_chars, quality.n_symbols, quality.n_dup_lines)))
+
+
+def test_rules_run_by_rejections_for_their_work(docs):
+    rows = [(k, f"text number {k} " + "GOOD " * 30 * (k % 2) + "some more words") for k in range(40)]
+    bad = F.col("text").contains("GOOD")
+    slow, cheap = quality.Rule("a_slow", bad, 100 * F.length("text")), quality.Rule("z_cheap", bad, F.lit(1))
+    never = quality.Rule("never", F.lit(False), F.lit(1))
+    orders = {tuple(r.name for r in quality.order_rules(docs(rows[k:] + rows[:k]), [slow, never, cheap])) for k in (0, 7, 19)}
+    assert orders == {("z_cheap", "never", "a_slow")}
+    # Copies of one text count once, and every order of the rows gives the same order of rules.
+    copied = rows + [(100, rows[0][1])] * 60
+    found = [[r.name for r in quality.order_rules(measured(docs(x)), quality.rules())] for x in (rows, rows[::-1], copied)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(quality.rules())
+    assert quality.order_rules(docs([]), [never]) == [never] and quality.measure(docs([])).collect() == []
+
+
 # ---- personal data -------------------------------------------------------------
 
 def test_pseudonyms_keep_formats_and_links(docs):

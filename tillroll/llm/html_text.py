@@ -2,16 +2,22 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative, with weights
 learned from labelled pages: those with one article or main element that holds words. A tag
-weighs the more the rarer it is inside them. One linear scan finds the run with the largest
-sum; it looks at the same weights on every page, and article elements are a tag like others.
-Only a main element bounds the scan, as a page has one and says by it what is its content.
-Scripts, menus and other elements that never hold the article's text count as a single tag and
-give no text.
+weighs the more the rarer it is inside them, and a word the less the more often words that stand
+directly in such an element (a link, a list item, a paragraph) lie outside. Words of elements whose
+name or class is on a list (menus, adverts, comments) have a learned weight of their own.
+Where these miss the marked element on some page, how much a word weighs against the tags is
+searched for: the best run of as many labelled pages as possible is then the marked element, with
+words outside it counted twice to leave a margin.
+One linear scan finds the run with the largest sum; it looks at the same weights on every page,
+and article elements are a tag like others. Only a main element bounds the scan, as a page has one
+and says by it what is its content. Scripts and the like give no text, nor do listed elements
+unless the labels show that such elements hold the article's text.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections import Counter
@@ -58,6 +64,8 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)?|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Elements by which words are told apart.
+PLACES = BLOCKS | {"a"}
 _CLOSES_P = BLOCKS - {"html", "body", "head"}
 _ALONE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
@@ -91,8 +99,8 @@ def _mark(name: str, rest: str) -> str:
 
 @dataclass
 class Page:
-    """Tokens of a page: (word or /name of a tag, words, text, block, element that marks them); tags
-    have no text. `marks` counts the outermost article and main elements that hold words, `left` the
+    """Tokens of a page: (`word` and the element it stands in, `listed`, or /name of a tag; words, text, block, element that marks
+    them); tags have no text. `marks` counts the outermost article and main elements that hold words, `left` the
     tags within what is left out."""
 
     tokens: list[tuple[str, int, str | None, int, str]] = field(default_factory=list)
@@ -101,7 +109,7 @@ class Page:
 
 
 def read(page: str) -> Page:
-    """The tokens of a page. What is left out shows as its first tag only. Tokens are marked `main`
+    """The tokens of a page. A listed element shows as its first tag and its words. Tokens are marked `main`
     inside a main element, else `article` inside an article element, else not."""
     out = Page()
     stack: list[tuple[str, bool, str]] = []  # name, left out, mark
@@ -118,12 +126,15 @@ def read(page: str) -> Page:
         name = match["name"]
         if name is None:
             text = match.group()
-            if not hidden and not text.startswith(("<!", "<?")):
+            if not text.startswith(("<!", "<?")):
                 text = html.unescape(text)
                 count = len(text.split())
-                out.marks += bool(count and mark() and not filled)
-                filled = bool(mark()) and (filled or count > 0)
-                out.tokens.append(("word", count, text, block, mark()))
+                if not hidden:
+                    out.marks += bool(count and mark() and not filled)
+                    filled = bool(mark()) and (filled or count > 0)
+                    out.tokens.append((f"word {next((x[0] for x in reversed(stack) if x[0] in PLACES), '')}", count, text, block, mark()))
+                elif count:
+                    out.tokens.append(("listed", count, text, block, mark()))
         else:
             name, rest = name.lower(), match["rest"] or ""
             if match["close"]:
@@ -167,32 +178,97 @@ def read(page: str) -> Page:
 
 @dataclass
 class Weights:
-    """What a word and a tag of each name add to the sum of a run."""
+    """What a word and a tag of each name add to the sum of a run. by_place holds the part of a word's
+    weight for words in some elements, `listed` is for those of listed elements, which give no text if
+    they weigh nothing."""
 
     by_tag: dict[str, float]
     tag: float = -0.5
     word: float = 1.0
+    by_place: dict[str, float] = field(default_factory=dict)
+    listed: float = 0.0
 
     def of(self, kind: str, words: int) -> float:
-        return self.by_tag.get(kind, self.tag) if kind[0] == "/" else words * self.word
+        if kind[0] == "/":
+            return self.by_tag.get(kind, self.tag)
+        return words * (self.listed if kind == "listed" else self.word * self.by_place.get(kind, 1.0))
+
+    def shows(self, kind: str) -> bool:
+        return kind != "listed" or self.listed > 0
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """(begin, end) of the run with the largest positive sum, the first one to reach it; (0, 0) if there is none."""
+    best = total = 0.0
+    begin, span = 0, (0, 0)
+    for k, score in enumerate(scores):
+        total += score
+        if total <= 0:
+            total, begin = 0.0, k + 1
+        elif total > best:
+            best, span = total, (begin, k + 1)
+    return span
+
+
+#: The least part of a word's weight: where nothing else scores, words in an unlikely place are still found.
+LEAST_PLACE = 0.02
+#: What the search tries: parts of the first word weight, the most and the least that a known tag weighs. Counts
+#: alone come with the first part, the last most and the first least.
+WORD_PARTS = [2.0 ** -k for k in range(9)]
+MOST_TAG, LEAST_TAG = [-0.001, -0.01, -0.1], [-3.0, -math.inf]
 
 
 def learn(pages: list[str]) -> Weights:
     """Weights from labelled pages: logarithms of how often a word or tag occurs inside the marked
-    element against outside, kept positive for words and negative for tags."""
+    element against outside, positive for words and negative for tags. If the best run is then not the
+    marked element on every page, the weight of words and the bounds of the tags' are those that miss
+    it on the fewest pages, words outside counted twice; of equally good ones with the first such
+    bounds the middle."""
     inside, outside = Counter(), Counter()
+    labelled = []
     for page in pages:
         found = read(page)
         if found.marks != 1:
             continue
+        labelled.append(found.tokens)
         for kind, words, _, _, mark in found.tokens:
-            (inside if mark else outside)[kind] += words if kind == "word" else 1
+            (inside if mark else outside)[kind] += 1 if kind[0] == "/" else words
         outside.update(found.left)
-    if not inside["word"]:
+    places = [k for k in {*inside, *outside} if k.startswith("word ")]
+    words_in, words_out = (sum(side[k] for k in places) for side in (inside, outside))
+    if not words_in:
         return Weights({})
-    ratio = {k: math.log((inside[k] + 1) / (outside[k] + 1)) for k in {*inside, *outside, "word"}}
-    word = min(3.0, max(0.5, ratio.pop("word")))
-    return Weights({k: max(-3.0, min(-0.1, v)) for k, v in ratio.items()}, word=word, tag=-word / 2)
+    first = min(3.0, max(0.5, math.log((words_in + 1) / (words_out + 1))))
+    ratio = {k: math.log((inside[k] + 1) / (outside[k] + 1)) for k in {*inside, *outside, "listed"} if k not in places}
+    listed = ratio.pop("listed")
+    by_place = {k: max(LEAST_PLACE, min(1.0, (inside[k] + 1) / (outside[k] + 1))) for k in places}
+
+    def weights(part: float, most: float, least: float) -> Weights:
+        word = first * part
+        return Weights(
+            {k: max(least, min(most, v)) for k, v in ratio.items()}, word=word, tag=-word / 2,
+            by_place=by_place, listed=max(0.0, min(word, listed)))
+
+    def misses(tried: Weights, margin: int) -> int:
+        wrong = 0
+        for tokens in labelled:
+            begin, end = best_run([
+                tried.of(kind, words if mark or kind[0] == "/" else margin * words) for kind, words, _, _, mark in tokens])
+            wrong += any((begin <= k < end) != bool(mark) for k, (kind, words, _, _, mark) in enumerate(tokens)
+                         if words and tried.shows(kind))
+        return wrong
+
+    chosen = weights(WORD_PARTS[0], MOST_TAG[-1], LEAST_TAG[0])
+    if not misses(chosen, 1):
+        return chosen
+    best: list[Weights] = []
+    fewest = len(labelled) + 1
+    for least, most in itertools.product(LEAST_TAG, MOST_TAG):
+        wrong = [misses(weights(part, most, least), 2) for part in WORD_PARTS]
+        if min(wrong) < fewest:
+            fewest = min(wrong)
+            best = [weights(part, most, least) for part, n in zip(WORD_PARTS, wrong, strict=True) if n == fewest]
+    return best[len(best) // 2]
 
 
 def main_text(page: str | None, weights: Weights) -> str:
@@ -200,19 +276,12 @@ def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     tokens = read(page).tokens
-    if any(words and mark == "main" for _, words, _, _, mark in tokens):
+    if any(words and kind != "listed" and mark == "main" for kind, words, _, _, mark in tokens):
         tokens = [t for t in tokens if t[4] == "main"]
-    best = total = 0.0
-    begin, span = 0, (0, 0)
-    for k, (kind, words, _, _, _) in enumerate(tokens):
-        total += weights.of(kind, words)
-        if total <= 0:
-            total, begin = 0.0, k + 1
-        elif total > best:
-            best, span = total, (begin, k + 1)
+    begin, end = best_run([weights.of(kind, words) for kind, words, *_ in tokens])
     blocks: dict[int, list[str]] = {}
-    for _, _, text, block, _ in tokens[span[0] : span[1]]:
-        if text is not None:
+    for kind, _, text, block, _ in tokens[begin:end]:
+        if text is not None and weights.shows(kind):
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(line for line in lines if line)
