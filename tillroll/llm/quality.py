@@ -1,14 +1,14 @@
 """Quality rules as a short-circuit cascade of Spark expressions.
 
-Each rule rejects a text by one figure. A sample shows what share of texts a rule rejects and
-how long it takes; rules run in the order of rejections per cost, and a text that one rejects is
-not measured for the next ones. The order changes the work and which rule is named first, never
+Each rule rejects a text by one figure. A sample shows what share of texts a rule rejects and how
+much work it takes, counted in characters read rather than timed, so that equal data give equal
+orders; rules run in the order of rejections per work, and a text that one rejects is not measured
+for the next ones. Figures that are returned anyway are columns by then and cost next to nothing. The order changes the work and which rule is named first, never
 whether a text is kept.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import let
 
-#: Texts that order the rules, chosen by a hash.
+#: Different texts that order the rules, those with the smallest hashes.
 SAMPLE_ROWS = 2000
 
 _SPACES = " \t\n\x0b\x0c\r"
@@ -69,12 +69,18 @@ def n_repeat_words(found: Column) -> Column:
     return F.when(count >= 2, found_twice).otherwise(0).cast("long")
 
 
+#: Work besides reading characters, in characters: to start a pattern on a word, to hash a word into a set.
+PATTERN_WORK, SET_WORK = 20, 10
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A name and an expression over the columns text, words, n_words that is true for a bad text."""
+    """A name, an expression that is true for a bad text, and the work of finding that out, in characters
+    read. Both are over the columns text, words, n_words, word_chars, n_symbols, n_dup_lines."""
 
     name: str
     fails: Column
+    work: Column
 
 
 def _chars(pattern: str) -> Column:
@@ -83,41 +89,37 @@ def _chars(pattern: str) -> Column:
 
 def rules() -> list[Rule]:
     """The rules of the registered query. All are false for a text without words."""
-    n = F.col("n_words")
+    n, chars, one = F.col("n_words"), F.length("text"), F.lit(1)
     return [
-        Rule("symbols", 10 * n_symbols(F.col("text")) > n),
-        Rule("mean_word", (word_chars(F.col("text")) > 15 * n) | (word_chars(F.col("text")) < 2 * n)),
-        Rule("dup_lines", 2 * n_dup_lines(F.col("text")) > F.size(F.split("text", "\n", -1))),
-        Rule("shouting", 2 * _chars("[A-Z]") > _chars("[A-Za-z]")),
-        Rule("no_letters", 10 * F.size(F.filter("words", lambda w: ~w.rlike("\\p{L}"))) > 6 * n),
-        Rule("few_forms", (n >= 50) & (10 * F.size(F.array_distinct("words")) < n)),
+        Rule("symbols", 10 * F.col("n_symbols") > n, one),
+        Rule("mean_word", (F.col("word_chars") > 15 * n) | (F.col("word_chars") < 2 * n), one),
+        Rule("dup_lines", (F.col("n_dup_lines") > 0) & (2 * F.col("n_dup_lines") > F.size(F.split("text", "\n", -1))),
+             F.when(F.col("n_dup_lines") > 0, chars).otherwise(one)),
+        Rule("shouting", 2 * _chars("[A-Z]") > _chars("[A-Za-z]"), 2 * chars),
+        Rule("no_letters", 10 * F.size(F.filter("words", lambda w: ~w.rlike("\\p{L}"))) > 6 * n, chars + PATTERN_WORK * n),
+        Rule("few_forms", (n >= 50) & (10 * F.size(F.array_distinct("words")) < n),
+             F.when(n >= 50, chars + SET_WORK * n).otherwise(one)),
     ]
 
 
 def order_rules(docs: DataFrame, found: list[Rule]) -> list[Rule]:
-    """The rules by rejections per second on a sample of docs (text, words, n_words).
+    """The rules by rejections per work on a sample of docs, a table with the columns that they need.
 
-    A rule's cost is the time of a pass that evaluates it beyond one that evaluates nothing.
+    The sample has at most SAMPLE_ROWS different texts in the order of their hashes, so neither the
+    order of rows nor copies of a text decide. One pass counts for all rules. Ties go by name.
     """
+    if not found:
+        return []
     total = docs.count()
-    share = int(2**20 * min(1, SAMPLE_ROWS / max(total, 1))) + 1
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(2**20)) < share).limit(2 * SAMPLE_ROWS).persist()
-    try:
-        rows = sample.count()
-
-        def measured(fails: Column) -> tuple[int, float]:
-            begin = time.perf_counter()
-            count = sample.agg(F.count_if(fails)).first()[0]
-            return count, time.perf_counter() - begin
-
-        _, empty = measured(F.length("text") < 0)
-        worth = []
-        for rule in found:
-            rejected, spent = measured(rule.fails)
-            worth.append((-(rejected + 0.5) / (rows + 1) / max(spent - empty, 1e-3), rule.name, rule))
-    finally:
-        sample.unpersist()
-    return [rule for *_, rule in sorted(worth, key=lambda x: x[:2])]
+    share = int(2**20 * min(1, 2 * SAMPLE_ROWS / max(total, 1))) + 1
+    drawn = docs.withColumn("draw", F.xxhash64("text")).filter(F.pmod(F.hash("text"), F.lit(2**20)) < share)
+    sample = drawn.dropDuplicates(["draw"]).orderBy("draw").limit(SAMPLE_ROWS)
+    row = sample.agg(F.count(F.lit(1)), *(x for r in found for x in (F.count_if(r.fails), F.avg(r.work)))).first()
+
+    def worth(k: int) -> float:
+        return (row[2 * k + 1] + 0.5) / (row[0] + 1) / max(row[2 * k + 2] or 0, 1)
+
+    return [found[k] for k in sorted(range(len(found)), key=lambda k: (-worth(k), found[k].name))]
 
 
 def cascade(ordered: list[Rule]) -> Column:
@@ -138,10 +140,11 @@ def measure(docs: DataFrame, ordered: list[Rule] | None = None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id"), text.alias("text")).withColumn("words", words(F.col("text")))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    ordered = order_rules(rows, rules()) if ordered is None else ordered
     rows = rows.select(
         "doc_id", "n_words", "text", "words", word_chars(F.col("text")).alias("word_chars"), n_symbols(F.col("text")).alias("n_symbols"),
-        n_dup_lines(F.col("text")).alias("n_dup_lines"), n_repeat_words(F.col("words")).alias("n_repeat_words"))
+        n_dup_lines(F.col("text")).alias("n_dup_lines"))
+    ordered = order_rules(rows, rules()) if ordered is None else ordered
+    rows = rows.withColumn("n_repeat_words", n_repeat_words(F.col("words")))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     rows = rows.withColumn("rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(ordered)))
     return rows.select(
