@@ -76,6 +76,25 @@ def test_lost_ranks_raise(spark, monkeypatch):
         month_ranks.rows_at_monthly_ranks(standings, "metric", "amount", "id", lambda n: [n // 2])
 
 
+def standings_of(spark):
+    rng = random.Random(10)
+    rows = [(rng.choice("fm"), rng.randint(1, 40), c, date(2010, rng.randint(1, 3), 1), None) for c in range(1, 900)]
+    return spark.createDataFrame(rows, "metric string, amount long, id long, from_month date, until_month date")
+
+
+def test_cells_keep_the_order_of_value_and_tie(spark):
+    placed, _ = month_ranks.with_cells(standings_of(spark), "metric", "amount", "id", 16)
+    for metric in "fm":
+        rows = placed.filter(F.col("metric") == metric).orderBy("amount", "id").collect()
+        cells = [r["cell"] for r in rows]
+        assert cells == sorted(cells) and set(cells) == set(range(16))
+
+
+def test_cells_are_found_in_compiled_code(spark):
+    placed, _ = month_ranks.with_cells(standings_of(spark), "metric", "amount", "id", 16)
+    assert "lambda" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
 def matrix(spark, rows):
     return spark.createDataFrame([(s, *map(float, r)) for s, r in zip(SEGMENTS, rows)],
                                  "Segment string, " + ", ".join(f"`{s}` double" for s in SEGMENTS))

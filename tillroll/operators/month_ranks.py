@@ -18,9 +18,8 @@ from pyspark.sql.window import Window
 from tillroll.operators.ranking import local_table, position, sketch
 from tillroll.sources.staging import stage
 
-#: Edges passed on each of the three levels on which the cell of a value is found.
-FAN = 16
-CELLS = FAN**3
+#: Cells of the value range: a power of two, so that a cell is found by halving.
+CELLS = 4096
 
 
 def entries_and_exits(standings: DataFrame, *keys: str) -> DataFrame:
@@ -45,20 +44,21 @@ def standing_in(month: Column) -> Column:
     return F.aggregate(past, F.lit(0).cast("bigint"), lambda n, e: n + e["delta"])
 
 
-def _levels(marks: list[float]) -> dict:
-    """Edges of the cells as nested arrays: every FAN**2th, every FANth, all of them. NaN is never passed."""
+def _edges(marks: list[float]) -> list[float]:
+    """Lower edges of the cells, as many as CELLS. NaN is never passed."""
     edges = [float("-inf"), *sorted(set(marks[1:-1]))]
-    edges += [float("nan")] * (CELLS - len(edges))
-    return {
-        "level1": edges[:: FAN * FAN],
-        "level2": [edges[k : k + FAN * FAN : FAN] for k in range(0, len(edges), FAN * FAN)],
-        "level3": [edges[k : k + FAN] for k in range(0, len(edges), FAN)],
-    }
+    return edges + [float("nan")] * (CELLS - len(edges))
 
 
-def _passed(edges: Column, place: Column) -> Column:
-    """Index of the last edge not above a place."""
-    return F.size(F.filter(edges, lambda x: (x <= place) & ~F.isnan(x))) - 1
+def _last_passed(rows: DataFrame, edges: str, place: str, name: str) -> DataFrame:
+    """rows with the index of the last edge not above a place, by halving: compiled code that
+    compares a place with one edge of each step."""
+    rows, step = rows.withColumn(name, F.lit(0)), CELLS // 2
+    while step:
+        passed = F.get(edges, F.col(name) + step) <= F.col(place)
+        rows = rows.withColumn(name, F.col(name) + F.when(passed, step).otherwise(0))
+        step //= 2
+    return rows
 
 
 def with_cells(standings: DataFrame, group: str, value: str, tie: str, cells: int) -> tuple[DataFrame, set]:
@@ -71,16 +71,11 @@ def with_cells(standings: DataFrame, group: str, value: str, tie: str, cells: in
     place = position(standings, value, tie)
     found = standings.groupBy(group).agg(
         sketch(place, cells).alias("marks"), F.collect_set("from_month").alias("months")).collect()
-    doubles = T.ArrayType(T.DoubleType())
-    schema = T.StructType([
-        standings.schema[group], T.StructField("level1", doubles), T.StructField("level2", T.ArrayType(doubles)),
-        T.StructField("level3", T.ArrayType(doubles))])
-    edges = local_table(spark, [{group: r[group]} | _levels(r["marks"]) for r in found], schema)
+    schema = T.StructType([standings.schema[group], T.StructField("_edges", T.ArrayType(T.DoubleType()))])
+    edges = local_table(spark, [{group: r[group], "_edges": _edges(r["marks"])} for r in found], schema)
     placed = standings.withColumn("_at", place).join(F.broadcast(edges), group)
-    placed = placed.withColumn("_one", _passed(F.col("level1"), F.col("_at")))
-    placed = placed.withColumn("_two", F.col("_one") * FAN + _passed(F.col("level2")[F.col("_one")], F.col("_at")))
-    cell = F.col("_two") * FAN + _passed(F.col("level3")[F.col("_two")], F.col("_at"))
-    return placed.select(*standings.columns, cell.alias("cell")), {(r[group], m) for r in found for m in r["months"]}
+    placed = _last_passed(placed, "_edges", "_at", "cell")
+    return placed.select(*standings.columns, "cell"), {(r[group], m) for r in found for m in r["months"]}
 
 
 def _wanted(events: DataFrame, group: str, entered: set, ranks: Callable[[int], list[int]]) -> list[tuple]:
