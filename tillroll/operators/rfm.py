@@ -126,18 +126,35 @@ def _as_literals(cuts: DataFrame) -> dict[str, Column]:
     return columns
 
 
+def with_amounts(customers: DataFrame) -> DataFrame:
+    """`customers` with the integers that are compared with the cut-offs, so that a table that is
+    unfolded later computes them once for each row it has before."""
+    return customers.withColumns({_amount(m): F.expr(e) for m, e in _RANKED.items()})
+
+
+def _amount(metric: str) -> str:
+    return f"_{metric}_amount"
+
+
 def apply_cuts(customers: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
     """Adds the three scores by comparing each customer with the cut-offs of its
     group: no sort and no shuffle of the customer table."""
-    beside = customers.join(F.broadcast(cuts), by) if by else customers.withColumns(_as_literals(cuts))
+    amounts = [_amount(m) for m in _RANKED]
+    ready = customers if set(amounts) <= set(customers.columns) else with_amounts(customers)
+    beside = ready.join(F.broadcast(cuts), by) if by else ready.withColumns(_as_literals(cuts))
+    tie = F.col("CustomerID")
 
     def above(metric: str) -> list[Column]:
-        own = F.struct(F.expr(_RANKED[metric]).alias("amount"), F.col("CustomerID"))
-        return [own > F.col(f"{metric}{k}") for k in _CUTS]
+        own, passed = F.col(_amount(metric)), []
+        for k in _CUTS:
+            cut, last = F.col(f"{metric}{k}.amount"), F.col(f"{metric}{k}.CustomerID")
+            later = F.coalesce(tie > last, tie.isNotNull() & last.isNull())
+            passed.append((own > cut) | ((own == cut) & later))
+        return passed
 
     late = [QUINTILES * F.col("recency") > F.col(f"r{k}") for k in _CUTS]
     return beside.select(
-        *customers.columns,
+        *[c for c in customers.columns if c not in amounts],
         (QUINTILES - _passed(late)).cast("int").alias("R-Score"),
         (1 + _passed(above("f"))).cast("int").alias("F-Score"),
         (1 + _passed(above("m"))).cast("int").alias("M-Score"),

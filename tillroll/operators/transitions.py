@@ -16,7 +16,9 @@ from tillroll.functions.scoring import SEGMENTS
 from tillroll.operators.month_ranks import (
     entries_and_exits, rows_at_monthly_ranks, standing_by_month, standing_in,
 )
-from tillroll.operators.rfm import QUINTILES, apply_cuts, ranked_amounts, recency_edges, with_total_and_segment
+from tillroll.operators.rfm import (
+    QUINTILES, apply_cuts, ranked_amounts, recency_edges, with_amounts, with_total_and_segment,
+)
 from tillroll.schemas import MONEY
 from tillroll.sources.staging import stage
 
@@ -67,11 +69,8 @@ def unfold_months(changes: DataFrame) -> DataFrame:
     return (
         changes.withColumn("Month", every)
         .join(F.broadcast(months), "Month", "left_semi")
-        .select(
-            "CustomerID", "Month",
-            elapsed_days(month_end(F.col("Month")), F.col("last_purchase")).alias("recency"),
-            "frequency", "monetary",
-        )
+        .withColumn("recency", elapsed_days(month_end(F.col("Month")), F.col("last_purchase")))
+        .drop("from_month", "until_month", "last_purchase")
     )
 
 
@@ -115,8 +114,10 @@ def monthly_segments(transactions: DataFrame) -> DataFrame:
     changes = stage(standing_changes(transactions), "standing-changes")
     cuts = monthly_cuts(changes)
     # Customers are placed before their months are unfolded, so `next_segments` finds
-    # each customer's months side by side without moving the long table.
-    by_customer = unfold_months(changes.repartition("CustomerID"))
+    # each customer's months side by side without moving the long table. They are put in order
+    # before that too, so that sorting the long table only finds it sorted.
+    placed = with_amounts(changes).repartition("CustomerID").sortWithinPartitions("CustomerID", "from_month")
+    by_customer = unfold_months(placed)
     scored = with_total_and_segment(apply_cuts(by_customer, cuts, ["Month"]))
     return scored.select("CustomerID", "Month", "Segment")
 
