@@ -422,3 +422,29 @@ def test_cached_pieces_are_bounded(pair, monkeypatch):
     monkeypatch.setattr(bpe, "PART", 50)
     text = " ".join(f"word{k}" for k in range(500))
     assert own.encode(text) == library.encode(text, add_special_tokens=False).ids and own.known.held < 400
+
+
+def test_frequent_pieces_outlive_rare_ones(pair, monkeypatch):
+    with open(PATH, encoding="utf-8") as file:
+        own = bpe.Vocabulary(file.read())
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 100)
+    found, encode = [], own.known.encode
+    own.known.encode = lambda piece: found.append(piece) or encode(piece)
+    texts = [f"often qz{k} zq{k}" for k in range(200)]
+    assert [own.encode(x) for x in texts] == [pair[1].encode(x, add_special_tokens=False).ids for x in texts]
+    assert found.count("often") == 1 and len(own.known) + len(own.known.older) < 100
+
+
+def test_a_worker_that_encodes_and_decodes_in_turns_builds_one_vocabulary(monkeypatch):
+    monkeypatch.setattr(bpe, "_built", {})
+    with open(PATH, encoding="utf-8") as file:
+        content = file.read()
+    assert not bpe._vocabulary(content, False).encodes
+    both = bpe._vocabulary(content, True)
+    assert both.encodes and bpe._vocabulary(content, False) is both and bpe._vocabulary(content, True) is both
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from([chr(k) for k in range(128)] + list("  \n\t'sdl"))))
+def test_ascii_texts_are_split_alike(pair, text):
+    assert pair[0].ascii_pieces.findall(text) == pair[0].pieces.findall(text)

@@ -11,6 +11,7 @@ each token from one array by a table of offsets.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,8 +29,15 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Entries that the caches of pieces and of pairs hold before they are emptied, and characters of the pieces.
-CACHE, CACHE_CHARS = 150_000, 2_000_000
+#: The same split of a text in ASCII, for the quicker engine.
+ASCII_PIECES = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+"
+    r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+)
+#: Entries that the cache of pairs holds before it is emptied.
+CACHE = 150_000
+#: Pieces, and characters of them, that are found or asked for again before those not asked for since are let go.
+RECENT, CACHE_CHARS = 150_000, 2_000_000
 #: Rows whose tokens are held at once; a batch is answered in parts of so many.
 ROWS = 256
 #: Characters of a text that are split into pieces at once.
@@ -46,20 +54,25 @@ def _byte_symbols() -> dict[str, int]:
 
 
 class _Pieces(dict):
-    """Ids of pieces, found when first asked for."""
+    """Ids of pieces, found when first asked for. The frequent ones stay when the rest is let go."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.older: dict[str, tuple[int, ...]] = {}
         self.held = 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        self[piece] = ids = self.encode(piece.encode().decode("latin-1"))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece.encode().decode("latin-1"))
+        self[piece] = ids
         self.held += len(piece)
         return ids
 
     def bound(self) -> None:
-        if len(self) > CACHE or self.held > CACHE_CHARS:
+        if len(self) > RECENT or self.held > CACHE_CHARS:
+            self.older = dict(self)
             self.clear()
             self.held = 0
 
@@ -85,6 +98,7 @@ class Vocabulary:
         self.length = [len(texts.get(k, b"")) for k in range(self.size)]
         self.bytes = np.frombuffer(b"".join(texts.get(k, b"") for k in range(self.size)), np.uint8)
         self.offset = np.concatenate(([0], np.cumsum(self.length)))
+        self.encodes = encodes
         if not encodes:
             return
 
@@ -111,7 +125,7 @@ class Vocabulary:
 
         self.special = special
         self.special_split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.pieces = regex.compile(PIECES)
+        self.pieces, self.ascii_pieces = regex.compile(PIECES), re.compile(ASCII_PIECES)
         self.safe_cut = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
         self.known = _Pieces(self.encode_piece)
         self.fits: dict[int, bool] = {}
@@ -187,7 +201,8 @@ class Vocabulary:
             else:
                 for some in self._parts(part):
                     known.bound()
-                    out.extend(chain.from_iterable(map(known.__getitem__, self.pieces.findall(some))))
+                    pieces = self.ascii_pieces if some.isascii() else self.pieces
+                    out.extend(chain.from_iterable(map(known.__getitem__, pieces.findall(some))))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -201,14 +216,17 @@ class Vocabulary:
         return b"".join(out).decode("utf-8", "replace")
 
 
-_built: dict[tuple[str, bool], Vocabulary] = {}
+_built: dict[str, Vocabulary] = {}
 
 
 def _vocabulary(content: str, encodes: bool) -> Vocabulary:
-    if (content, encodes) not in _built:
+    """The vocabulary this worker has; one that encodes decodes as well, so tasks of both kinds that
+    take turns in a worker build it once and keep what it has found."""
+    known = _built.get(content)
+    if known is None or encodes and not known.encodes:
         _built.clear()
-        _built[content, encodes] = Vocabulary(content, encodes)
-    return _built[content, encodes]
+        known = _built[content] = Vocabulary(content, encodes)
+    return known
 
 
 def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
