@@ -448,3 +448,12 @@ def test_a_worker_that_encodes_and_decodes_in_turns_builds_one_vocabulary(monkey
 @given(st.text(alphabet=st.sampled_from([chr(k) for k in range(128)] + list("  \n\t'sdl"))))
 def test_ascii_texts_are_split_alike(pair, text):
     assert pair[0].ascii_pieces.findall(text) == pair[0].pieces.findall(text)
+
+
+def test_digest_rows_parse_the_archives_once(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://a/{k}", "x" * 1200) for k in range(4)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "warc"))
+    rows = warc.digest_rows(warc.captures(warc.read(spark, str(tmp_path / "warc"))))
+    assert "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in rows.collect()} == {
+        (3, "response", None), *((k, "revisit", 3) for k in range(3))}

@@ -187,6 +187,8 @@ def digest_rows(found: DataFrame) -> DataFrame:
         "record_id", F.when(number != "", number.cast("long")).alias("page_id"), "response.payload_bytes",
         "response.payload_digest", "response.record_type",
         F.coalesce("response.refers_to", "record_id").alias("origin"))
+    # Both sides of the join are these narrow rows, so the archives aren't parsed once for each.
+    rows = staged(rows, "digest-rows")
     origins = rows.filter("record_type = 'response'").select(F.col("record_id").alias("origin"), F.col("page_id").alias("of"))
     refers_to = F.when(F.col("record_type") == "revisit", F.col("of")).alias("refers_to")
     return rows.join(origins, "origin", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", refers_to)
